@@ -77,14 +77,17 @@ def iter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
     """Rows of Arrow batches as dictionaries, one at a time; bytes stay views on the batch."""
     for batch in batches:
         names = batch.schema.names
-        columns = batch.columns
-        for i in range(batch.num_rows):
-            row = {}
-            for name, column in zip(names, columns, strict=True):
-                cell = column[i]
-                is_bytes = pa.types.is_binary(cell.type) or pa.types.is_large_binary(cell.type)
-                row[name] = cell.as_buffer() if is_bytes and cell.is_valid else cell.as_py()
-            yield row
+        columns = [_views(c) if _is_bytes(c.type) else c.to_pylist() for c in batch.columns]
+        for cells in zip(*columns, strict=True):
+            yield dict(zip(names, cells, strict=True))
+
+
+def _is_bytes(kind: pa.DataType) -> bool:
+    return pa.types.is_binary(kind) or pa.types.is_large_binary(kind)
+
+
+def _views(column: pa.Array) -> Iterator[pa.Buffer | None]:
+    return (cell.as_buffer() if cell.is_valid else None for cell in column)
 
 
 def batched(rows: Iterator[dict[str, Any]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

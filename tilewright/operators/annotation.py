@@ -45,14 +45,9 @@ def class_counts(
     counts: DataFrame, key: str = "image_id", classes: Sequence[int] = VALID_CLASSES
 ) -> DataFrame:
     """Wide zero-filled counts per image; the total covers valid classes only."""
-    zero = F.lit(0).cast("bigint")
-    sums = [
-        F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(zero)).cast("bigint").alias(f"class_{c}")
-        for c in classes
-    ]
-    wide = counts.groupBy(key).agg(*sums)
-    total = sum((F.col(f"class_{c}") for c in classes), zero)
-    return wide.withColumn("total_pixels", total)
+    sums = [F.expr(f"sum(if(label = {c}, n, 0L))").alias(f"class_{c}") for c in classes]
+    total = " + ".join(f"class_{c}" for c in classes)
+    return counts.groupBy(key).agg(*sums).select("*", F.expr(total).alias("total_pixels"))
 
 
 def class_distribution(

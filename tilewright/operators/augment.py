@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -155,22 +156,22 @@ def _sample(image: np.ndarray, y: np.ndarray, x: np.ndarray, nearest: bool) -> n
     return upper * (1 - part_y) + lower * part_y
 
 
-def _bell(radius: int, sigma: float) -> np.ndarray:
+@lru_cache(maxsize=64)
+def _smoother(size: int, radius: int, sigma: float) -> np.ndarray:
+    """Matrix that smooths one axis with a bell of the given radius and mirrored edges."""
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    return weights / weights.sum()
+    weights /= weights.sum()
+    source = axis_reflection(size, radius, size + 2 * radius)
+    matrix = np.zeros((size, size))
+    for offset, weight in enumerate(weights):
+        np.add.at(matrix, (np.arange(size), source[offset : offset + size]), weight)
+    return matrix
 
 
-def _smooth(field: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Separable convolution over the first two axes with mirrored edges."""
-    radius = len(weights) // 2
-    for axis in (0, 1):
-        size = field.shape[axis]
-        padded = np.take(field, axis_reflection(size, radius, size + 2 * radius), axis=axis)
-        total = np.zeros(field.shape, dtype=np.float64)
-        for offset, weight in enumerate(weights):
-            total += weight * np.take(padded, np.arange(offset, offset + size), axis=axis)
-        field = total
-    return field
+def _smooth(field: np.ndarray, radius: int, sigma: float) -> np.ndarray:
+    rows = _smoother(field.shape[0], radius, sigma)
+    cols = _smoother(field.shape[1], radius, sigma)
+    return np.einsum("ij,jk...->ik...", rows, np.einsum("kl,jl...->jk...", cols, field, optimize=True), optimize=True)
 
 
 def _augment(sigma: float, alpha: float, hook: Callable | None):
@@ -191,9 +192,9 @@ def _augment(sigma: float, alpha: float, hook: Callable | None):
         grid_y, grid_x = np.mgrid[0:side, 0:side].astype(np.float64)
         if row["elastic_seed"] is not None:
             noise = np.random.default_rng(row["elastic_seed"])
-            weights = _bell(max(1, int(3 * sigma)), sigma)
-            shift_y = _smooth(noise.uniform(-1, 1, (side, side)), weights) * alpha
-            shift_x = _smooth(noise.uniform(-1, 1, (side, side)), weights) * alpha
+            reach = max(1, int(3 * sigma))
+            shift_y = _smooth(noise.uniform(-1, 1, (side, side)), reach, sigma) * alpha
+            shift_x = _smooth(noise.uniform(-1, 1, (side, side)), reach, sigma) * alpha
             image = _sample(image, grid_y + shift_y, grid_x + shift_x, nearest=False)
             mask = _sample(mask, grid_y + shift_y, grid_x + shift_x, nearest=True)
         if row["zoom"] is not None:
@@ -203,7 +204,7 @@ def _augment(sigma: float, alpha: float, hook: Callable | None):
             image = _sample(image, zoomed_y, zoomed_x, nearest=False)
             mask = _sample(mask, zoomed_y, zoomed_x, nearest=True)
         if row["blur_size"] is not None:
-            image = _smooth(image, _bell(row["blur_size"] // 2, row["blur_sigma"]))
+            image = _smooth(image, row["blur_size"] // 2, row["blur_sigma"])
         if row["noise_std"] is not None:
             noise = np.random.default_rng(row["noise_seed"])
             image = image + noise.normal(0.0, row["noise_std"] * top, image.shape)

@@ -10,12 +10,11 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.functions.blocks import flat_map
-from tilewright.functions.pixels import double
 
 # Class names in class order, and the epsilon of the scores.
 CLASS_NAMES = ("background", "loose_cell", "aggregate")
@@ -33,29 +32,24 @@ def cells(num_classes: int) -> list[str]:
 
 
 def count_pixels(
-    pixels: DataFrame, by: Sequence[str], num_classes: int, n: Column | None = None
+    pixels: DataFrame, by: Sequence[str], num_classes: int, n: str | None = None
 ) -> DataFrame:
     """Wide confusion matrix per group: ``c_<gt>_<pred>`` columns, zero where nothing fell.
 
-    ``pixels`` has ``gt, pred``; with ``n`` it holds counts instead of single pixels. Labels
-    outside the classes are counted apart instead of landing in a wrong cell.
+    ``pixels`` has ``gt, pred``; with ``n`` that column holds counts instead of single pixels.
+    Labels outside the classes are counted apart instead of landing in a wrong cell. One
+    shuffle: the matrix of a group is one row of partial sums per task.
     """
-    weight = n if n is not None else F.lit(1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    inside = F.col("gt").between(0, num_classes - 1) & F.col("pred").between(0, num_classes - 1)
+    weight = n or "1L"
     sums = [
-        F.sum(F.when((F.col("gt") == g) & (F.col("pred") == p), weight).otherwise(zero))
-        .cast("bigint")
-        .alias(cell(g, p))
+        F.expr(f"sum(if(gt = {g} and pred = {p}, {weight}, 0L))").alias(cell(g, p))
         for g in range(num_classes)
         for p in range(num_classes)
     ]
-    strange = F.sum(F.when(inside, zero).otherwise(weight)).cast("bigint").alias(OUT_OF_RANGE)
-    # First one row per (group, gt, pred) with a plain count, which is the cheap part of the
-    # scan; the wide sums then run over those rows only.
-    if n is None:
-        counted = pixels.groupBy(*by, "gt", "pred").agg(F.count(F.lit(1)).alias("_n"))
-        return count_pixels(counted, by, num_classes, F.col("_n"))
+    top = num_classes - 1
+    strange = F.expr(
+        f"sum(if(gt between 0 and {top} and pred between 0 and {top}, 0L, {weight}))"
+    ).alias(OUT_OF_RANGE)
     return pixels.groupBy(*by).agg(*sums, strange)
 
 
@@ -101,50 +95,54 @@ def count_blocks(aligned: DataFrame) -> DataFrame:
 
 def long_matrix(wide: DataFrame, by: Sequence[str], num_classes: int) -> DataFrame:
     """Full K x K grid per group as rows ``gt, pred, n``."""
-    entries = [
-        F.struct(F.lit(g).alias("gt"), F.lit(p).alias("pred"), F.col(cell(g, p)).alias("n"))
+    entries = ", ".join(
+        f"struct({g} as gt, {p} as pred, {cell(g, p)} as n)"
         for g in range(num_classes)
         for p in range(num_classes)
-    ]
-    return wide.select(*by, F.inline(F.array(*entries)))
+    )
+    return wide.select(*by, F.expr(f"inline(array({entries}))"))
 
 
-def object_matrix(wide: DataFrame, num_classes: int) -> DataFrame:
-    """Collapse to background (class 0) against object (any other class), from the wide matrix."""
-    out = wide
-    for g in (0, 1):
-        for p in (0, 1):
-            parts = [
-                F.col(cell(a, b))
-                for a in range(num_classes)
-                for b in range(num_classes)
-                if (a > 0) == bool(g) and (b > 0) == bool(p)
-            ]
-            out = out.withColumn(f"o_{g}_{p}", sum(parts[1:], parts[0]))
-    return out
-
-
-def dice(tp: Column, fp: Column, fn: Column, eps: float = EPSILON) -> Column:
-    """Dice from exact counts; a class that is nowhere scores 1."""
-    two_tp = double(2.0) * tp.cast("double")
-    return F.when(tp + fp + fn == 0, double(1.0)).otherwise(
-        (two_tp + double(eps)) / (two_tp + fp + fn + double(eps))
+def _total(names: Sequence[str]) -> str:
+    return "(" + (" + ".join(names) or "0L") + ")"
+
+
+def object_cell(g: int, p: int, num_classes: int) -> str:
+    """SQL for one cell of background (class 0) against object (any other class)."""
+    return _total(
+        [
+            cell(a, b)
+            for a in range(num_classes)
+            for b in range(num_classes)
+            if (a > 0) == bool(g) and (b > 0) == bool(p)
+        ]
     )
 
 
-def iou(tp: Column, fp: Column, fn: Column, eps: float = EPSILON) -> Column:
-    return F.when(tp + fp + fn == 0, double(1.0)).otherwise(
-        (tp.cast("double") + double(eps)) / (tp.cast("double") + fp + fn + double(eps))
+def object_matrix(wide: DataFrame, num_classes: int) -> DataFrame:
+    """Add ``o_<g>_<p>``: the matrix collapsed to background against object."""
+    return wide.select(
+        "*",
+        *[
+            F.expr(object_cell(g, p, num_classes)).alias(f"o_{g}_{p}")
+            for g in (0, 1)
+            for p in (0, 1)
+        ],
     )
 
 
-def _class_counts(num_classes: int, class_id: int) -> tuple[Column, Column, Column]:
-    zero = F.lit(0).cast("bigint")
-    others = [c for c in range(num_classes) if c != class_id]
-    tp = F.col(cell(class_id, class_id))
-    fp = sum((F.col(cell(c, class_id)) for c in others), zero)
-    fn = sum((F.col(cell(class_id, c)) for c in others), zero)
-    return tp, fp, fn
+def dice_sql(eps: float = EPSILON) -> str:
+    """Dice from exact counts; a class that is nowhere scores 1."""
+    return (
+        "if(tp + fp + fn = 0, 1D, (2D * cast(tp as double) + {e}) / "
+        "(2D * cast(tp as double) + fp + fn + {e}))"
+    ).format(e=f"{eps!r}D")
+
+
+def iou_sql(eps: float = EPSILON) -> str:
+    return (
+        "if(tp + fp + fn = 0, 1D, (cast(tp as double) + {e}) / (cast(tp as double) + fp + fn + {e}))"
+    ).format(e=f"{eps!r}D")
 
 
 def class_name(class_id: int) -> str:
@@ -155,62 +153,45 @@ def class_scores(
     wide: DataFrame, by: Sequence[str], num_classes: int, *, with_object: bool = True, eps: float = EPSILON
 ) -> DataFrame:
     """Rows ``class, tp, fp, fn, dice, iou`` per group, with the object class last."""
-    source = object_matrix(wide, num_classes)
     entries = []
     for c in range(num_classes):
-        tp, fp, fn = _class_counts(num_classes, c)
-        entries.append((class_name(c), tp, fp, fn))
+        others = [o for o in range(num_classes) if o != c]
+        fp, fn = _total([cell(o, c) for o in others]), _total([cell(c, o) for o in others])
+        entries.append((class_name(c), cell(c, c), fp, fn))
     if with_object:
-        entries.append(("object", F.col("o_1_1"), F.col("o_0_1"), F.col("o_1_0")))
-    structs = [
-        F.struct(F.lit(name).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-        for name, tp, fp, fn in entries
-    ]
-    rows = source.select(*by, F.inline(F.array(*structs)))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return rows.withColumn("dice", dice(tp, fp, fn, eps)).withColumn("iou", iou(tp, fp, fn, eps))
+        tp, fp, fn = (object_cell(*at, num_classes) for at in ((1, 1), (0, 1), (1, 0)))
+        entries.append(("object", tp, fp, fn))
+    structs = ", ".join(
+        f"struct('{name}' as class, {tp} as tp, {fp} as fp, {fn} as fn)" for name, tp, fp, fn in entries
+    )
+    rows = wide.select(*by, F.expr(f"inline(array({structs}))"))
+    return rows.select("*", F.expr(dice_sql(eps)).alias("dice"), F.expr(iou_sql(eps)).alias("iou"))
 
 
 def direct_scores(
     pixels: DataFrame, by: Sequence[str], num_classes: int, *, eps: float = EPSILON
 ) -> DataFrame:
     """Scores straight from labels: intersection, predicted area and true area per class."""
-    pairs = pixels.groupBy(*by, "gt", "pred").agg(F.count(F.lit(1)).alias("_n"))
-    zero = F.lit(0).cast("bigint")
     aggs = []
     for c in range(num_classes):
-        is_gt, is_pred = F.col("gt") == c, F.col("pred") == c
-        for label, hit in (("both", is_gt & is_pred), ("pred", is_pred), ("gt", is_gt)):
-            aggs.append(F.sum(F.when(hit, F.col("_n")).otherwise(zero)).cast("bigint").alias(f"{label}_{c}"))
-    areas = pairs.groupBy(*by).agg(*aggs)
-    rows = areas.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(class_name(c)).alias("class"),
-                        F.col(f"both_{c}").alias("intersection"),
-                        F.col(f"pred_{c}").alias("pred_area"),
-                        F.col(f"gt_{c}").alias("gt_area"),
-                    )
-                    for c in range(num_classes)
-                ]
-            )
-        ),
+        for label, hit in (("both", f"gt = {c} and pred = {c}"), ("pred", f"pred = {c}"), ("gt", f"gt = {c}")):
+            aggs.append(F.expr(f"count_if({hit})").alias(f"{label}_{c}"))
+    structs = ", ".join(
+        f"struct('{class_name(c)}' as class, both_{c} as intersection, pred_{c} as pred_area, gt_{c} as gt_area)"
+        for c in range(num_classes)
     )
-    both, union = F.col("intersection").cast("double"), F.col("pred_area") + F.col("gt_area")
-    absent = union == 0
-    return rows.withColumn(
-        "dice",
-        F.when(absent, double(1.0)).otherwise(
-            (double(2.0) * both + double(eps)) / (union + double(eps))
-        ),
-    ).withColumn(
-        "iou",
-        F.when(absent, double(1.0)).otherwise(
-            (both + double(eps)) / (union - F.col("intersection") + double(eps))
-        ),
+    rows = pixels.groupBy(*by).agg(*aggs).select(*by, F.expr(f"inline(array({structs}))"))
+    e = f"{eps!r}D"
+    return rows.select(
+        "*",
+        F.expr(
+            f"if(pred_area + gt_area = 0, 1D, (2D * cast(intersection as double) + {e}) / "
+            f"(pred_area + gt_area + {e}))"
+        ).alias("dice"),
+        F.expr(
+            f"if(pred_area + gt_area = 0, 1D, (cast(intersection as double) + {e}) / "
+            f"(pred_area + gt_area - intersection + {e}))"
+        ).alias("iou"),
     )
 
 
@@ -267,12 +248,10 @@ def row_sum_mismatches(wide: DataFrame, areas: DataFrame, num_classes: int) -> D
 
     ``areas`` has ``image_id, class_0..``. No rows means the matrices are complete.
     """
+    classes = range(num_classes)
     sums = [
-        sum((F.col(cell(g, p)) for p in range(1, num_classes)), F.col(cell(g, 0))).alias(f"sum_{g}")
-        for g in range(num_classes)
+        F.expr(_total([cell(g, p) for p in classes])).alias(f"sum_{g}") for g in classes
     ]
+    same = " and ".join(f"sum_{g} <=> class_{g}" for g in classes)
     joined = wide.select("image_id", *sums).join(areas, "image_id", "full_outer")
-    off = F.lit(False)
-    for g in range(num_classes):
-        off = off | ~F.col(f"sum_{g}").eqNullSafe(F.col(f"class_{g}"))
-    return joined.filter(off)
+    return joined.filter(f"not ({same})")

@@ -17,7 +17,7 @@ def per_image_matrices(
     """One wide confusion matrix per image from label blocks on the same grid."""
     counted = confusion.count_blocks(confusion.align_blocks(truth_blocks, predicted_blocks))
     return confusion.count_pixels(
-        counted, ["image_id"], num_classes, F.col("n")
+        counted, ["image_id"], num_classes, "n"
     ).withColumn("magnification", naming.magnification(F.col("image_id")))
 
 

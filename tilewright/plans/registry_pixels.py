@@ -92,8 +92,9 @@ def metrics_table(spark, sf_dir):
 
 @query(
     f"""WITH {s.SQL_LINEITEM_PIXELS}, grid AS (SELECT unnest([0,0,0,1,1,1,2,2,2]) AS gt, unnest([0,1,2,0,1,2,0,1,2]) AS pred),
-im AS (SELECT DISTINCT image_id FROM px), n AS (SELECT image_id, gt, pred, count(*) AS n FROM px GROUP BY 1, 2, 3)
-SELECT image_id, gt, pred, coalesce(n, 0) AS n FROM im, grid LEFT JOIN n USING (image_id, gt, pred)"""
+im AS (SELECT image_id, gt, pred FROM (SELECT DISTINCT image_id FROM px), grid),
+n AS (SELECT image_id, gt, pred, count(*) AS n FROM px GROUP BY 1, 2, 3)
+SELECT image_id, gt, pred, coalesce(n, 0) AS n FROM im LEFT JOIN n USING (image_id, gt, pred)"""
 )
 def confusion_matrix(spark, sf_dir):
     """Exact 3 x 3 matrix per image, zero cells included."""
@@ -454,13 +455,14 @@ SELECT image_id, y, x, CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN
 
 
 @query(
-    f"""WITH {s.SQL_DOC_PIXELS} SELECT image_id, quantile_cont(CAST(v AS DOUBLE), 1e-2) AS p_low,
-quantile_cont(CAST(v AS DOUBLE), 99e-2) AS p_high FROM doc_px GROUP BY 1"""
+    f"""WITH {s.SQL_DOC_PIXELS} SELECT image_id, {s.sql_rounded('quantile_cont(CAST(v AS DOUBLE), 1e-2)')} AS p_low,
+{s.sql_rounded('quantile_cont(CAST(v AS DOUBLE), 99e-2)')} AS p_high FROM doc_px GROUP BY 1"""
 )
 def block_percentiles(spark, sf_dir):
     """Exact percentiles through a histogram per block."""
     blocks = tiles.crop_tiles(tiles.cut_tiles(s.document_images(spark, sf_dir), TILE))
-    return intensity.block_percentiles(blocks)
+    limits = intensity.block_percentiles(blocks)
+    return limits.select("image_id", s.rounded(F.col("p_low")).alias("p_low"), s.rounded(F.col("p_high")).alias("p_high"))
 
 
 SQL_NORMALISED = f"""WITH {s.SQL_VECTOR_PIXELS},

@@ -41,6 +41,15 @@ def sql_uniform(key: str, word: int = 0) -> str:
     return f"(CAST({sql_draw(key, word)} AS DOUBLE) / 4294967296e0)"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than there are cores; larger scans stay as read.
+
+    Array work takes far longer per byte than reading, and one small file is one split.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # --- pixels out of lineitem: one row is one pixel of the image of its supplier ---------------
 
 
@@ -79,7 +88,7 @@ px AS (
 
 def document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image rows of whole texts: ``doc_<id>_4x`` and so on, as tall as the text is long."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), suffix(F.col("doc_id"))).alias("image_id"),
         F.encode("text", "UTF-8").alias("_bytes"),
     )
@@ -129,7 +138,7 @@ SQL_VECTOR_NAME = f"'vec_' || vec_id || {sql_suffix('vec_id')}"
 
 def vector_grays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, image_id, label, grays``: one row per picture, 64 gray values in an array."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         "vec_id", vector_name().alias("image_id"), "label", F.transform("embedding", gray_value).alias("grays")
     )
 
