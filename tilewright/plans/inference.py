@@ -83,12 +83,12 @@ def predict_folder(
     blocks = spark.read.parquet(f"{store}/blocks")
     if export:
         masks = tiles.assemble_images(blocks)
-        images.write_png(spark, masks, f"{store}/predictions")
+        images.write_png(masks, f"{store}/predictions")
         raw = (
             prepared.mapInArrow(flat_map(_as_bytes, IMAGE_SCHEMA), IMAGE_SCHEMA)
             if normalise
             else prepared
         )
-        images.write_png(spark, prediction_overlays(raw, masks), f"{store}/overlays")
+        images.write_png(prediction_overlays(raw, masks), f"{store}/overlays")
     return blocks
 

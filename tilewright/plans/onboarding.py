@@ -27,7 +27,10 @@ def quality_report(spark: SparkSession, raw_dir: str, masks_dir: str) -> DataFra
         )
 
     raw, masks = side(raw_dir, "raw"), side(masks_dir, "mask")
-    pairs = catalogue.pair_files(raw.select("image_id", "path"), masks.select("image_id", "path"))
+    # Pairing looks at the listing only; the header of each file is read once, afterwards.
+    pairs = catalogue.pair_files(
+        images.scan_images(spark, raw_dir), images.scan_images(spark, masks_dir)
+    )
     described = (
         pairs.join(raw.drop("image_id").withColumnRenamed("path", "raw_path"), "raw_path")
         .join(masks.drop("image_id").withColumnRenamed("path", "mask_path"), "mask_path")

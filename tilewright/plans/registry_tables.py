@@ -354,10 +354,10 @@ def _sql_split(meta: str) -> str:
     return f"""{meta},
 m AS (SELECT image_id, magnification, condition,
              coalesce(nullif(trim(condition), ''), 'unknown') AS cond FROM meta),
-g AS (SELECT magnification, cond, count(*) AS n,
+sg AS (SELECT magnification, cond, count(*) AS n,
              bool_or(coalesce(trim(condition), '') <> '') AS named FROM m GROUP BY 1, 2),
 e AS (SELECT bool_and(n >= 3 AND round_even(n * 7e-1, 0) >= 1 AND round_even(n * 15e-2, 0) >= 1
-             AND n - round_even(n * 7e-1, 0) - round_even(n * 15e-2, 0) >= 1) AND bool_or(named) AS joint FROM g),
+             AND n - round_even(n * 7e-1, 0) - round_even(n * 15e-2, 0) >= 1) AND bool_or(named) AS joint FROM sg),
 st AS (SELECT m.*, CASE WHEN joint THEN magnification || '|' || cond ELSE magnification END AS stratum FROM m, e),
 r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || image_id), image_id) AS rn,
              count(*) OVER (PARTITION BY stratum) AS group_size FROM st),
@@ -395,7 +395,7 @@ SELECT magnification, cond AS condition, n, CAST(round_even(n * 7e-1, 0) AS BIGI
        CAST(n - round_even(n * 7e-1, 0) - round_even(n * 15e-2, 0) AS BIGINT) AS n_test,
        n >= 3 AND round_even(n * 7e-1, 0) >= 1 AND round_even(n * 15e-2, 0) >= 1
          AND n - round_even(n * 7e-1, 0) - round_even(n * 15e-2, 0) >= 1 AS fills_all
-FROM g"""
+FROM sg"""
 )
 def strata(spark, sf_dir):
     """Joint strata and whether they fill all splits."""

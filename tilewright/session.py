@@ -14,6 +14,7 @@ def build_session(app_name: str = "tilewright", cpus: str = "*", **conf: str) ->
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else cpus)

@@ -145,8 +145,12 @@ def scan_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def image_path(origin):
-    """The plain path of a decoded image; its origin is URL-encoded, a literal ``+`` is not."""
-    return F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B")))
+    """The path of a decoded image, spelled as the file listing spells it.
+
+    Its origin is URL-encoded (a literal ``+`` is not), and local files have three slashes there.
+    """
+    plain = F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
 
 
 DECODED_SCHEMA = T.StructType([T.StructField("path", T.StringType()), *IMAGE_SCHEMA.fields])
@@ -216,31 +220,48 @@ def encode_png(array: np.ndarray) -> bytes:
     )
 
 
-WRITTEN_SCHEMA = T.StructType(
-    [T.StructField("image_id", T.StringType()), T.StructField("path", T.StringType())]
+FILE_SCHEMA = T.StructType(
+    [T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType())]
 )
 
 
-def write_png(spark: SparkSession, images: DataFrame, folder: str) -> None:
-    """One PNG per uint8 image row, named by its id, written by the tasks that hold the rows.
+def encode_images(images: DataFrame) -> DataFrame:
+    """``name, content``: a PNG file per uint8 image row, named by its id."""
+
+    def one(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        yield {"name": f"{row['image_id']}.png", "content": encode_png(pixels(row))}
+
+    return images.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(one, FILE_SCHEMA), FILE_SCHEMA)
 
-    A file appears under its final name only when complete, and a repeated task writes it again
-    with the same content.
+
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write rows ``name, content`` as files of ``folder``, from the tasks that hold the rows.
+
+    A name may contain sub-folders. A file appears under its final name only when complete, and a
+    repeated task writes it again with the same content.
     """
-    target = qualify(spark, folder)
+    target = qualify(files.sparkSession, folder)
 
-    def write(batches) -> Iterator:
+    def write(batches: Iterator) -> Iterator:
         from pyarrow import fs as arrow_fs
 
         filesystem, base = arrow_fs.FileSystem.from_uri(target)
-        filesystem.create_dir(base, recursive=True)
+        made = set()
         for row in iter_rows(batches):
-            path = f"{base}/{row['image_id']}.png"
-            partial = f"{base}/_{row['image_id']}.{uuid.uuid4().hex}.partial"
+            parent, _, name = f"{base}/{row['name']}".rpartition("/")
+            if parent not in made:
+                filesystem.create_dir(parent, recursive=True)
+                made.add(parent)
+            partial = f"{parent}/_{uuid.uuid4().hex}.partial"
             with filesystem.open_output_stream(partial) as out:
-                out.write(encode_png(pixels(row)))
-            filesystem.move(partial, path)
+                out.write(row["content"])
+            filesystem.move(partial, f"{parent}/{name}")
         return iter(())
 
-    written = images.select(*IMAGE_SCHEMA.names).mapInArrow(write, WRITTEN_SCHEMA)
+    written = files.select("name", "content").mapInArrow(write, FILE_SCHEMA)
     written.write.format("noop").mode("overwrite").save()
+
+
+def write_png(images: DataFrame, folder: str) -> None:
+    """One PNG per uint8 image row."""
+    write_files(encode_images(images), folder)

@@ -49,10 +49,10 @@ def _name_column(header: list[str]) -> int:
 
 
 def read_metadata_strict(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Clean rows and errors of one metadata file.
+    """Clean rows and errors of a metadata file, or of a folder of files with a header each.
 
     Clean: ``image_id, image, magnification, condition`` with the last row per stem. Errors:
-    ``line_no, error``. Values are split at every comma; there is no quoting.
+    ``file, line_no, error``. Values are split at every comma; there is no quoting.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no metadata file at {path}")
@@ -63,10 +63,11 @@ def read_metadata_strict(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 
     lines = numbered_lines(spark, path).filter((F.col("line_no") > 1) & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), ",")
-    rows = lines.select("line_no", "value", parts.alias("_parts"))
+    rows = lines.select("file", "line_no", "value", parts.alias("_parts"))
     whole = F.size("_parts") > needed
     cell = lambda at: F.trim(F.get("_parts", F.lit(at)))
     parsed = rows.select(
+        "file",
         "line_no",
         F.when(whole, cell(name_at)).alias("image"),
         F.when(whole, cell(magnification_at)).alias("magnification"),
@@ -92,8 +93,10 @@ def read_metadata_strict(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
             ),
         ),
     )
-    errors = checked.filter("error is not null").select("line_no", "error")
-    latest = F.max_by(F.struct("image", "magnification", "condition"), "line_no").alias("_row")
+    errors = checked.filter("error is not null").select("file", "line_no", "error")
+    latest = F.max_by(
+        F.struct("image", "magnification", "condition"), F.struct("file", "line_no")
+    ).alias("_row")
     clean = (
         checked.filter("error is null")
         .groupBy(naming.stem(F.col("image")).alias("image_id"))
