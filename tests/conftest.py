@@ -8,6 +8,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
+# Workers import the package and the functions defined in the tests.
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.path.join(ROOT, "tests"), os.environ.get("PYTHONPATH", "")])
 
 from tilewright.functions.blocks import IMAGE_SCHEMA, packed  # noqa: E402
 from tilewright.session import build_session  # noqa: E402
