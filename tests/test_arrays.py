@@ -108,11 +108,12 @@ def rough_logits(batch):
     return rng_like.astype(np.float32)
 
 
-@pytest.mark.parametrize("shape", [(128, 128), (100, 150), (70, 200), (50, 50), (20, 17)])
-@pytest.mark.parametrize(("tile", "overlap"), [(64, 0.25), (16, 0.6)])
-def test_stitch_equals_whole_canvas(image_rows, pasted, shape, tile, overlap):
+@pytest.mark.parametrize("shape", [(128, 128), (100, 150), (50, 50), (20, 17)])
+@pytest.mark.parametrize(("tile", "overlap"), [(64, 0.25), (16, 0.6), (16, 0.0)])
+@pytest.mark.parametrize("by_tile", [False, True])
+def test_stitch_equals_whole_canvas(image_rows, pasted, shape, tile, overlap, by_tile):
     image = np.random.default_rng(5).integers(0, 256, shape, dtype=np.uint8)
-    got = pasted(scoring.predict_stitched(image_rows({"a": image}), rough_logits, tile=tile, overlap=overlap))
+    got = pasted(scoring.predict_stitched(image_rows({"a": image}), rough_logits, tile=tile, overlap=overlap, by_tile=by_tile))
     stride = max(1, round(tile * (1 - overlap)))
     assert got["a"].shape == shape
     assert (got["a"] == brute_stitch(image, rough_logits, tile, stride)).all()

@@ -8,6 +8,7 @@ channel last, ``dtype`` is ``uint8``, ``uint16`` or ``float32``. The helpers bel
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -62,14 +63,17 @@ def pixels(row: dict[str, Any]) -> np.ndarray:
     return flat.reshape(row["height"], row["width"], row["channels"])
 
 
+_dtype_name = lru_cache(maxsize=None)(lambda dtype: dtype.name)
+
+
 def packed(array: np.ndarray) -> dict[str, Any]:
     """Row fields describing ``array``."""
     return {
         "height": array.shape[0],
         "width": array.shape[1],
         "channels": 1 if array.ndim == 2 else array.shape[2],
-        "dtype": array.dtype.name,
-        "data": np.ascontiguousarray(array).tobytes(),
+        "dtype": _dtype_name(array.dtype),
+        "data": array.tobytes(),
     }
 
 
@@ -92,25 +96,22 @@ def _views(column: pa.Array) -> Iterator[pa.Buffer | None]:
 
 def batched(rows: Iterator[dict[str, Any]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Pack rows into Arrow batches that stay small in bytes as well as in rows."""
-    names = schema.names
-    columns: list[list] = [[] for _ in names]
+    heavy = [f.name for f in schema if _is_bytes(f.type)]
+    waiting: list[dict[str, Any]] = []
     size = 0
     for row in rows:
-        for column, name in zip(columns, names, strict=True):
-            value = row[name]
-            column.append(value)
-            if isinstance(value, bytes):
-                size += len(value)
-        if size >= OUTPUT_BATCH_BYTES or len(columns[0]) >= OUTPUT_BATCH_ROWS:
-            yield _batch(columns, schema)
-            columns = [[] for _ in names]
-            size = 0
-    if columns[0]:
-        yield _batch(columns, schema)
-
-
-def _batch(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
+        waiting.append(row)
+        for name in heavy:
+            size += len(row[name] or b"")
+        if size >= OUTPUT_BATCH_BYTES or len(waiting) >= OUTPUT_BATCH_ROWS:
+            yield _batch(waiting, schema)
+            waiting, size = [], 0
+    if waiting:
+        yield _batch(waiting, schema)
+
+
+def _batch(rows: list[dict[str, Any]], schema: pa.Schema) -> pa.RecordBatch:
+    arrays = [pa.array([r[f.name] for r in rows], type=f.type) for f in schema]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
@@ -122,3 +123,63 @@ def flat_map(fn: Callable[[dict[str, Any]], Iterator[dict[str, Any]]], schema: T
         return batched((out for row in iter_rows(batches) for out in fn(row)), arrow_schema)
 
     return run
+
+
+CODE_COUNTS = T.StructType(
+    [
+        T.StructField("image_id", T.StringType()),
+        T.StructField("code", T.LongType()),
+        T.StructField("n", T.LongType()),
+    ]
+)
+
+
+def count_codes(codes: Callable[[dict[str, Any]], np.ndarray]):
+    """For ``mapInArrow``: ``image_id, code, n`` of small non-negative codes per row.
+
+    Neighbouring rows of one image are added up before anything leaves the task, and results are
+    built as columns.
+    """
+    schema = to_arrow_schema(CODE_COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, total = None, np.zeros(0, dtype=np.int64)
+        done: list[tuple[str, np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def close() -> None:
+            nonlocal held
+            found = np.flatnonzero(total)
+            if len(found):
+                done.append((image, found, total[found]))
+                held += len(found)
+
+        for row in iter_rows(batches):
+            if row["image_id"] != image:
+                close()
+                image, total = row["image_id"], np.zeros(0, dtype=np.int64)
+                if held >= OUTPUT_BATCH_ROWS:
+                    yield _columns(done, schema)
+                    done, held = [], 0
+            counts = np.bincount(codes(row), minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
+        close()
+        if done:
+            yield _columns(done, schema)
+
+    return run
+
+
+def _columns(parts: list[tuple[str, np.ndarray, np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+    lengths = [len(p[1]) for p in parts]
+    places = np.repeat(np.arange(len(parts)), lengths)
+    names = pa.array([p[0] for p in parts], type=pa.string()).take(pa.array(places))
+    return pa.RecordBatch.from_arrays(
+        [
+            names,
+            pa.array(np.concatenate([p[1] for p in parts]).astype(np.int64)),
+            pa.array(np.concatenate([p[2] for p in parts])),
+        ],
+        schema=schema,
+    )

@@ -2,41 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tilewright.functions.blocks import flat_map
+from tilewright.functions.blocks import CODE_COUNTS, count_codes
 
 # The class ids a mask may hold.
 VALID_CLASSES = (0, 1, 2, 3)
 
-LABEL_COUNTS = T.StructType(
-    [
-        T.StructField("image_id", T.StringType()),
-        T.StructField("label", T.IntegerType()),
-        T.StructField("n", T.LongType()),
-    ]
-)
-
-
-def _histogram_block(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-    values = np.frombuffer(row["data"], dtype=np.dtype(row["dtype"]))
-    counts = np.bincount(values)
-    for value in np.flatnonzero(counts):
-        yield {"image_id": row["image_id"], "label": int(value), "n": int(counts[value])}
+def _values(row: dict[str, Any]) -> np.ndarray:
+    return np.frombuffer(row["data"], dtype=np.dtype(row["dtype"]))
 
 
 def label_counts(blocks: DataFrame) -> DataFrame:
     """``image_id, label, n`` of integer image or block rows, added up over blocks."""
     return (
         blocks.select("image_id", "dtype", "data")
-        .mapInArrow(flat_map(_histogram_block, LABEL_COUNTS), LABEL_COUNTS)
-        .groupBy("image_id", "label")
+        .mapInArrow(count_codes(_values), CODE_COUNTS)
+        .groupBy("image_id", F.col("code").cast("int").alias("label"))
         .agg(F.sum("n").cast("bigint").alias("n"))
     )
 

@@ -6,15 +6,14 @@ means over images) is computed from those few rows per image.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tilewright.functions.blocks import flat_map
+from tilewright.functions.blocks import CODE_COUNTS, count_codes
 
 # Class names in class order, and the epsilon of the scores.
 CLASS_NAMES = ("background", "loose_cell", "aggregate")
@@ -53,29 +52,13 @@ def count_pixels(
     return pixels.groupBy(*by).agg(*sums, strange)
 
 
-BLOCK_COUNTS = T.StructType(
-    [
-        T.StructField("image_id", T.StringType()),
-        T.StructField("gt", T.IntegerType()),
-        T.StructField("pred", T.IntegerType()),
-        T.StructField("n", T.LongType()),
-    ]
-)
-
-
-def _count_block(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-    gt = np.frombuffer(row["gt"], dtype=np.uint8).astype(np.intp)
+def _pair_codes(row: dict[str, Any]) -> np.ndarray:
+    """Truth and prediction of a pixel as one number: 256 * truth + prediction."""
+    gt = np.frombuffer(row["gt"], dtype=np.uint8)
     pred = np.frombuffer(row["pred"], dtype=np.uint8)
     if gt.size != pred.size:
         raise ValueError(f"{row['image_id']}: {gt.size} truth pixels, {pred.size} predicted")
-    counts = np.bincount(gt * 256 + pred, minlength=0)
-    for code in np.flatnonzero(counts):
-        yield {
-            "image_id": row["image_id"],
-            "gt": int(code) // 256,
-            "pred": int(code) % 256,
-            "n": int(counts[code]),
-        }
+    return gt.astype(np.int64) * 256 + pred
 
 
 def align_blocks(truth: DataFrame, predicted: DataFrame) -> DataFrame:
@@ -87,9 +70,15 @@ def align_blocks(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def count_blocks(aligned: DataFrame) -> DataFrame:
-    """``image_id, gt, pred, n`` from byte blocks; at most one row per label pair and block."""
-    return aligned.select("image_id", "gt", "pred").mapInArrow(
-        flat_map(_count_block, BLOCK_COUNTS), BLOCK_COUNTS
+    """``image_id, gt, pred, n`` from byte blocks, not yet added up over tasks."""
+    counted = aligned.select("image_id", "gt", "pred").mapInArrow(
+        count_codes(_pair_codes), CODE_COUNTS
+    )
+    return counted.select(
+        "image_id",
+        F.expr("cast(code div 256 as int)").alias("gt"),
+        F.expr("cast(code % 256 as int)").alias("pred"),
+        "n",
     )
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.session import shared_dir
+from tilewright.session import scratch_path
 
 CHUNK = "_chunk"
 SEQ = "_seq"
@@ -74,20 +74,31 @@ def lay_out(
     """Sort by group and order over all tasks and number the rows.
 
     Adds ``_chunk`` (range partition) and ``_seq`` (increasing in sort order). The result is
-    checkpointed: the numbers come from one physical layout and must not be drawn twice. The
-    order columns should be (nearly) unique per group, since equal values share a chunk.
+    stored in the shared folder: the numbers come from one physical layout and must not be drawn
+    twice, also not when an executor is lost. The order columns should be (nearly) unique per
+    group, since equal values share a chunk.
     """
     spark = df.sparkSession
-    shared_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
-    return (
+    path = scratch_path(spark, "layout")
+    (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn(SEQ, F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumn(CHUNK, F.shiftright(SEQ, 33))
+        .write.parquet(path)
     )
+    return spark.read.parquet(path).withColumn(CHUNK, F.shiftright(SEQ, 33))
+
+
+def attach_to_groups(laid: DataFrame, values: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Left join of one row per group onto a ``lay_out`` table.
+
+    The values go to the chunks of their group first and to the rows chunk by chunk, so a large
+    group is never joined in one task.
+    """
+    chunks = laid.select(*group, CHUNK).distinct()
+    return _attach(laid, _attach(chunks, values, group), [*group, CHUNK])
 
 
 def add_rank(laid: DataFrame, group: Sequence[str], *, rank: str = "rn") -> DataFrame:

@@ -149,9 +149,10 @@ def select_patches(
     quota = object_quota(per_image, object_ratio)
     wanted = F.when(F.col("is_object"), F.lit(quota)).otherwise(F.lit(per_image - quota))
     first = Window.partitionBy("image_id", "is_object").orderBy("attempt")
+    # The plain bound lets the optimiser cut the candidates down before they are shuffled.
     picked = (
         candidates.withColumn("_order", F.row_number().over(first))
-        .filter(F.col("_order") <= wanted)
+        .filter((F.col("_order") <= max(quota, per_image - quota)) & (F.col("_order") <= wanted))
         .drop("_order")
         .withColumn("_key", draw_key(seed, F.lit("pick"), F.col("image_id"), F.col("attempt")))
     )

@@ -14,9 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tilewright.functions.blocks import TILE_SCHEMA, batched, iter_rows, packed, pixels
+from tilewright.functions.blocks import (
+    BLOCK_SCHEMA,
+    IMAGE_SCHEMA,
+    TILE_SCHEMA,
+    batched,
+    flat_map,
+    iter_rows,
+    packed,
+    pixels,
+)
 from tilewright.operators.stitching import stitch_tiles
-from tilewright.operators.tiles import crop_tiles, cut_overlapping, cut_tiles
+from tilewright.operators.tiles import (
+    axis_grid,
+    axis_reflection,
+    crop_tiles,
+    cut_overlapping,
+    cut_tiles,
+)
 
 Predictor = Callable[[np.ndarray], np.ndarray]
 
@@ -72,10 +87,85 @@ def predict_labels(
     )
 
 
+def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
+    """Cut, score and average one image row from top to bottom.
+
+    Only the band of canvas that the current line of tiles touches is held, so the memory is
+    tile x width x classes, whatever the height.
+    """
+
+    def stitch(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        image = pixels(row)
+        height, width = image.shape[:2]
+        rows, top = axis_grid(height, tile, stride)
+        cols, left = axis_grid(width, tile, stride)
+        canvas_width = (cols - 1) * stride + tile
+        source_y = axis_reflection(height, top, (rows - 1) * stride + tile)
+        source_x = axis_reflection(width, left, canvas_width)
+        band = count = None
+        for i in range(rows):
+            strip = image[source_y[i * stride : i * stride + tile]][:, source_x]
+            pieces = [strip[:, j * stride : j * stride + tile] for j in range(cols)]
+            logits = np.concatenate(
+                [
+                    _predicted(predict, pieces[at : at + batch_size])
+                    for at in range(0, cols, batch_size)
+                ]
+            )
+            if band is None:
+                band = np.zeros((tile, canvas_width, logits.shape[-1]), dtype=np.float32)
+                count = np.zeros((tile, canvas_width, 1), dtype=np.float32)
+            for j in range(cols):
+                band[:, j * stride : j * stride + tile] += logits[j]
+                count[:, j * stride : j * stride + tile] += 1
+            ready = stride if i + 1 < rows else tile
+            first, last = max(i * stride, top), min(i * stride + ready, top + height)
+            if first < last:
+                lines = slice(first - i * stride, last - i * stride)
+                part = (band[lines] / count[lines])[:, left : left + width]
+                yield {
+                    "image_id": row["image_id"],
+                    "tile_y": i,
+                    "tile_x": 0,
+                    "y0": first - top,
+                    "x0": 0,
+                    **packed(np.argmax(part, axis=-1).astype(np.uint8)),
+                }
+            band[: tile - stride], count[: tile - stride] = band[stride:].copy(), count[stride:].copy()
+            band[tile - stride :], count[tile - stride :] = 0, 0
+
+    return stitch
+
+
+def _predicted(predict: Predictor, pieces: list[np.ndarray]) -> np.ndarray:
+    stack = np.stack(pieces)
+    if stack.ndim == 3:
+        stack = stack[..., np.newaxis]
+    result = np.asarray(predict(stack))
+    if result.shape[:3] != stack.shape[:3] or result.ndim != 4:
+        raise ValueError(f"predictor returned shape {result.shape} for a batch of {stack.shape}")
+    return result.astype(np.float32)
+
+
 def predict_stitched(
-    images: DataFrame, predict: Predictor, *, tile: int, overlap: float, batch_size: int = 4
+    images: DataFrame,
+    predict: Predictor,
+    *,
+    tile: int,
+    overlap: float,
+    batch_size: int = 4,
+    by_tile: bool = False,
 ) -> DataFrame:
-    """Label blocks from overlapping tiles with averaged logits (the inference path)."""
+    """Label blocks from overlapping tiles with averaged logits (the inference path).
+
+    An image row is scored and averaged where it was read, without a shuffle. ``by_tile`` instead
+    deals the tiles of every image out to all tasks and averages them after a shuffle: for a few
+    huge images on many cores.
+    """
     stride = max(1, round(tile * (1 - overlap)))
-    tiles = cut_overlapping(images, tile, stride)
-    return stitch_tiles(score_tiles(tiles, predict, batch_size=batch_size, as_labels=False))
+    if by_tile:
+        tiles = cut_overlapping(images, tile, stride).repartition("image_id", "tile_y", "tile_x")
+        return stitch_tiles(score_tiles(tiles, predict, batch_size=batch_size, as_labels=False))
+    return images.select(*IMAGE_SCHEMA.names).mapInArrow(
+        flat_map(_band_stitcher(predict, tile, stride, batch_size), BLOCK_SCHEMA), BLOCK_SCHEMA
+    )

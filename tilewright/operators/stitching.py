@@ -10,6 +10,7 @@ Long form: one row per pixel, tile and class, for logits that are columns alread
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -32,6 +33,7 @@ from tilewright.functions.blocks import (
 PIECE_SCHEMA = T.StructType([*BLOCK_SCHEMA.fields, T.StructField("cover", T.IntegerType())])
 
 
+@lru_cache(maxsize=4096)
 def axis_pieces(
     index: int, count: int, tile: int, stride: int, low: int, high: int
 ) -> list[tuple[int, int, int]]:

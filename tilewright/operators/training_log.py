@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.ordering import CHUNK, SEQ, add_running_max, lay_out
+from tilewright.operators.ordering import (
+    CHUNK,
+    SEQ,
+    add_running_max,
+    attach_to_groups,
+    lay_out,
+)
 
 START_SCORE = -1.0
 
@@ -31,7 +37,7 @@ def early_stop(
     due = F.col(epoch) - F.coalesce(F.col("last_improved"), F.lit(0)) >= patience
     stops = last.filter(due).groupBy(*run).agg(F.min(epoch).alias("stop_epoch"))
     return (
-        last.join(stops, list(run), "left")
+        attach_to_groups(last, stops, run)
         .filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
         .drop("_before", CHUNK, SEQ)
     )

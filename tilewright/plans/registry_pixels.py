@@ -404,8 +404,8 @@ SELECT image_id, count(*) AS n, CAST(sum(label) AS BIGINT) AS total,
 
 
 @query(SQL_STITCH)
-def stitch_blocks(spark, sf_dir):
-    """Overlapping tiles scored, averaged in block form, argmax, cropped."""
+def stitch_in_place(spark, sf_dir):
+    """Every picture scored with overlap and averaged where it was read."""
     blocks = scoring.predict_stitched(
         s.document_images(spark, sf_dir), positional_logits, tile=STITCH_TILE, overlap=STITCH_OVERLAP, batch_size=64
     )
@@ -414,6 +414,17 @@ def stitch_blocks(spark, sf_dir):
     )
 
 
+@query(SQL_STITCH)
+def stitch_blocks(spark, sf_dir):
+    """Tiles dealt out to all tasks, averaged in block form after a shuffle."""
+    blocks = scoring.predict_stitched(
+        s.document_images(spark, sf_dir), positional_logits, tile=STITCH_TILE, overlap=STITCH_OVERLAP, batch_size=64, by_tile=True
+    )
+    return block_sums(blocks).groupBy("image_id").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("n", "total", "weighted")]
+    )
+
+
 @query()
 def stitch_argmax(spark, sf_dir):
     """The long form on embedding pictures."""
