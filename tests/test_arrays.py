@@ -57,6 +57,25 @@ def test_tile_round_trip(image_rows, pasted, shape):
     assert (pasted(tiles.crop_tiles(cut))["a"] == image).all()
 
 
+@pytest.mark.parametrize("shape", [(20, 31), (64, 64), (5, 7), (1, 3)])
+@pytest.mark.parametrize("by_tile", [False, True])
+def test_labels_are_those_of_the_tiles(image_rows, pasted, shape, by_tile):
+    """The place in the tile reaches the predictor the same way on both paths."""
+    image = np.random.default_rng(3).integers(0, 256, shape, dtype=np.uint8)
+
+    def predict(batch):
+        i, j = np.mgrid[0 : batch.shape[1], 0 : batch.shape[2]]
+        return (batch[..., 0].astype(int) + i + 2 * j) % 5
+
+    got = pasted(scoring.predict_labels(image_rows({"a": image}), predict, tile=8, by_tile=by_tile))["a"]
+    top, left = (-shape[0] % 8) // 2, (-shape[1] % 8) // 2
+    y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
+    assert (got == (image.astype(int) + (y + top) % 8 + 2 * ((x + left) % 8)) % 5).all()
+    blocks = tiles.cut_blocks(image_rows({"a": image}), 8)
+    assert (pasted(blocks)["a"] == image).all()
+    assert sorted(blocks.collect()) == sorted(tiles.crop_tiles(tiles.cut_tiles(image_rows({"a": image}), 8)).collect())
+
+
 def test_tiles_match_numpy_padding(image_rows, arrays):
     image = np.random.default_rng(2).integers(0, 256, (10, 13), dtype=np.uint8)
     cut = tiles.cut_tiles(image_rows({"a": image}), 4).collect()

@@ -69,11 +69,8 @@ def align_blocks(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
-def count_blocks(aligned: DataFrame) -> DataFrame:
-    """``image_id, gt, pred, n`` from byte blocks, not yet added up over tasks."""
-    counted = aligned.select("image_id", "gt", "pred").mapInArrow(
-        count_codes(_pair_codes), CODE_COUNTS
-    )
+def split_codes(counted: DataFrame) -> DataFrame:
+    """``image_id, gt, pred, n`` from codes 256 * truth + prediction."""
     return counted.select(
         "image_id",
         F.expr("cast(code div 256 as int)").alias("gt"),
@@ -82,6 +79,13 @@ def count_blocks(aligned: DataFrame) -> DataFrame:
     )
 
 
+def count_blocks(aligned: DataFrame) -> DataFrame:
+    """``image_id, gt, pred, n`` from byte blocks, not yet added up over tasks."""
+    return split_codes(
+        aligned.select("image_id", "gt", "pred").mapInArrow(count_codes(_pair_codes), CODE_COUNTS)
+    )
+
+
 def long_matrix(wide: DataFrame, by: Sequence[str], num_classes: int) -> DataFrame:
     """Full K x K grid per group as rows ``gt, pred, n``."""
     entries = ", ".join(
@@ -232,15 +236,22 @@ def image_score_stats(per_image: DataFrame, num_classes: int = 3) -> DataFrame:
     )
 
 
-def row_sum_mismatches(wide: DataFrame, areas: DataFrame, num_classes: int) -> DataFrame:
-    """Images whose matrix row sums differ from the class counts of their mask.
+def row_sums(wide: DataFrame, areas: DataFrame, num_classes: int) -> DataFrame:
+    """Row sums of each matrix next to the class counts of its mask, and whether they agree.
 
-    ``areas`` has ``image_id, class_0..``. No rows means the matrices are complete.
+    ``areas`` has ``image_id, class_0..``. An image on one side only does not agree.
     """
     classes = range(num_classes)
     sums = [
         F.expr(_total([cell(g, p) for p in classes])).alias(f"sum_{g}") for g in classes
     ]
     same = " and ".join(f"sum_{g} <=> class_{g}" for g in classes)
-    joined = wide.select("image_id", *sums).join(areas, "image_id", "full_outer")
-    return joined.filter(f"not ({same})")
+    joined = wide.select("image_id", *sums).join(
+        areas.select("image_id", *[f"class_{g}" for g in classes]), "image_id", "full_outer"
+    )
+    return joined.withColumn("complete", F.expr(same))
+
+
+def row_sum_mismatches(wide: DataFrame, areas: DataFrame, num_classes: int) -> DataFrame:
+    """Images whose matrix does not add up to their mask; no rows means all is counted."""
+    return row_sums(wide, areas, num_classes).filter("not complete")

@@ -16,14 +16,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tilewright.functions.blocks import (
     BLOCK_SCHEMA,
+    CODE_COUNTS,
     IMAGE_SCHEMA,
     TILE_SCHEMA,
     batched,
+    count_codes,
     flat_map,
     iter_rows,
     packed,
     pixels,
 )
+from tilewright.operators.confusion import split_codes
 from tilewright.operators.stitching import stitch_tiles
 from tilewright.operators.tiles import (
     axis_grid,
@@ -40,15 +43,9 @@ def _scored(predict: Predictor, batch_size: int, as_labels: bool):
     arrow_schema = to_arrow_schema(TILE_SCHEMA)
 
     def flush(waiting: list[dict[str, Any]]) -> Iterator[dict[str, Any]]:
-        stack = np.stack([pixels(r) for r in waiting])
-        if stack.ndim == 3:
-            stack = stack[..., np.newaxis]
-        result = np.asarray(predict(stack))
-        if result.shape[:3] != stack.shape[:3] or result.ndim != (3 if as_labels else 4):
-            raise ValueError(f"predictor returned shape {result.shape} for a batch of {stack.shape}")
-        result = result.astype(np.uint8 if as_labels else np.float32)
+        result = _predicted(predict, [pixels(r) for r in waiting], 3 if as_labels else 4)
         for row, scored in zip(waiting, result, strict=True):
-            yield {**row, **packed(scored)}
+            yield {**row, **packed(scored.astype(np.uint8) if as_labels else scored)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict[str, Any]]:
@@ -78,15 +75,71 @@ def score_tiles(
     )
 
 
+def _label_blocks(
+    image: np.ndarray, predict: Predictor, tile: int, batch_size: int
+) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """``tile_y, tile_x, y0, x0, labels`` of side-by-side tiles, a line of tiles at a time."""
+    height, width = image.shape[:2]
+    rows, top = axis_grid(height, tile, tile)
+    cols, left = axis_grid(width, tile, tile)
+    source_y = axis_reflection(height, top, rows * tile)
+    source_x = axis_reflection(width, left, cols * tile)
+    for i in range(rows):
+        strip = image[source_y[i * tile : (i + 1) * tile]][:, source_x]
+        pieces = [strip[:, j * tile : (j + 1) * tile] for j in range(cols)]
+        y0, y1 = max(0, i * tile - top), min(height, (i + 1) * tile - top)
+        for at in range(0, cols, batch_size):
+            labels = _predicted(predict, pieces[at : at + batch_size], 3).astype(np.uint8)
+            for j, tile_labels in enumerate(labels, start=at):
+                x0, x1 = max(0, j * tile - left), min(width, (j + 1) * tile - left)
+                shift_y, shift_x = top - i * tile, left - j * tile
+                part = tile_labels[y0 + shift_y : y1 + shift_y, x0 + shift_x : x1 + shift_x]
+                yield i, j, y0, x0, part
+
+
 def predict_labels(
-    images: DataFrame, predict: Predictor, *, tile: int, batch_size: int = 4
+    images: DataFrame, predict: Predictor, *, tile: int, batch_size: int = 4, by_tile: bool = False
 ) -> DataFrame:
-    """Label blocks from side-by-side tiles (the evaluation path); no shuffle."""
-    return crop_tiles(
-        score_tiles(cut_tiles(images, tile), predict, batch_size=batch_size, as_labels=True)
+    """Label blocks from side-by-side tiles (the evaluation path).
+
+    An image row is cut, scored and cropped where it was read. ``by_tile`` deals the tiles of
+    every image out to all tasks first.
+    """
+    if by_tile:
+        dealt = cut_tiles(images, tile).repartition("image_id", "tile_y", "tile_x")
+        return crop_tiles(score_tiles(dealt, predict, batch_size=batch_size, as_labels=True))
+
+    def label(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        for i, j, y0, x0, part in _label_blocks(pixels(row), predict, tile, batch_size):
+            yield {
+                "image_id": row["image_id"],
+                "tile_y": i,
+                "tile_x": j,
+                "y0": y0,
+                "x0": x0,
+                **packed(part),
+            }
+
+    return images.select(*IMAGE_SCHEMA.names).mapInArrow(
+        flat_map(label, BLOCK_SCHEMA), BLOCK_SCHEMA
     )
 
 
+def count_pairs(pairs: DataFrame, predict: Predictor, *, tile: int, batch_size: int = 4) -> DataFrame:
+    """``image_id, gt, pred, n`` for image rows with a ``mask`` column, counted in place."""
+
+    def codes(row: dict[str, Any]) -> np.ndarray:
+        image = pixels(row)
+        mask = np.frombuffer(row["mask"], dtype=np.uint8).reshape(image.shape[:2])
+        found = np.empty(mask.shape, dtype=np.uint8)
+        for _, _, y0, x0, part in _label_blocks(image, predict, tile, batch_size):
+            found[y0 : y0 + part.shape[0], x0 : x0 + part.shape[1]] = part
+        return (mask.astype(np.int64) * 256 + found).ravel()
+
+    counted = pairs.select(*IMAGE_SCHEMA.names, "mask").mapInArrow(count_codes(codes), CODE_COUNTS)
+    return split_codes(counted)
+
+
 def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
     """Cut, score and average one image row from top to bottom.
 
@@ -108,7 +161,7 @@ def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
             pieces = [strip[:, j * stride : j * stride + tile] for j in range(cols)]
             logits = np.concatenate(
                 [
-                    _predicted(predict, pieces[at : at + batch_size])
+                    _predicted(predict, pieces[at : at + batch_size], 4)
                     for at in range(0, cols, batch_size)
                 ]
             )
@@ -137,14 +190,15 @@ def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
     return stitch
 
 
-def _predicted(predict: Predictor, pieces: list[np.ndarray]) -> np.ndarray:
+def _predicted(predict: Predictor, pieces: list[np.ndarray], dims: int) -> np.ndarray:
+    """One mini-batch through the predictor: labels (3 dimensions) or float logits (4)."""
     stack = np.stack(pieces)
     if stack.ndim == 3:
         stack = stack[..., np.newaxis]
     result = np.asarray(predict(stack))
-    if result.shape[:3] != stack.shape[:3] or result.ndim != 4:
+    if result.shape[:3] != stack.shape[:3] or result.ndim != dims:
         raise ValueError(f"predictor returned shape {result.shape} for a batch of {stack.shape}")
-    return result.astype(np.float32)
+    return result.astype(np.float32) if dims == 4 else result
 
 
 def predict_stitched(

@@ -15,7 +15,8 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner
     """Join ``facts`` to ``lookup`` (unique per key) with hot keys spread over several tasks.
 
     Rows of a hot key get a salt from their own content, and the one matching lookup row is
-    repeated per salt. ``how`` is ``inner``, ``left`` or ``left_semi``/``left_anti``.
+    repeated per salt. ``how`` is ``inner``, ``left`` or ``left_semi``/``left_anti``. Key counts
+    read only the key column of ``facts``; binary columns do not take part in the salt.
     """
     counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
@@ -23,7 +24,8 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner
         F.col(key), F.lit(True).alias("_hot")
     )
     hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
+    light = [name for name, kind in facts.dtypes if kind != "binary"]
+    salt = F.pmod(F.xxhash64(*light), F.lit(SALTS)).cast("int")
     left = facts.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), salt).otherwise(0)
     )
@@ -40,3 +42,13 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner
         .drop("_hot")
     )
     return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
+
+
+# Names of at most this many files may be brought to the driver or broadcast.
+LISTED_FILES = 10_000
+
+
+def short_list(names: DataFrame) -> list[str] | None:
+    """The values of a one-column table, or None when there are more than ``LISTED_FILES``."""
+    found = names.take(LISTED_FILES + 1)
+    return [r[0] for r in found] if len(found) <= LISTED_FILES else None

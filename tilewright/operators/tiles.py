@@ -106,17 +106,44 @@ def crop_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select(*TILE_SCHEMA.names).mapInArrow(flat_map(_crop, BLOCK_SCHEMA), BLOCK_SCHEMA)
 
 
-def incomplete_images(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Images whose blocks do not add up to their area. ``sizes``: image_id, height, width."""
+def tile_spans(size: int, tile: int) -> list[tuple[int, int]]:
+    """Ranges of one axis that side-by-side tiles cover once their padding is dropped."""
+    count, before = axis_grid(size, tile, tile)
+    return [(max(0, i * tile - before), min(size, (i + 1) * tile - before)) for i in range(count)]
+
+
+def cut_blocks(images: DataFrame, tile: int) -> DataFrame:
+    """``crop_tiles(cut_tiles(...))`` in one step, for rows that need no padding in between."""
+
+    def cut(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        image = pixels(row)
+        across = tile_spans(image.shape[1], tile)
+        for i, (top, bottom) in enumerate(tile_spans(image.shape[0], tile)):
+            for j, (left, right) in enumerate(across):
+                yield {
+                    "image_id": row["image_id"],
+                    "tile_y": i,
+                    "tile_x": j,
+                    "y0": top,
+                    "x0": left,
+                    **packed(image[top:bottom, left:right]),
+                }
+
+    return images.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(cut, BLOCK_SCHEMA), BLOCK_SCHEMA)
+
+
+def coverage(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``image_id, area, covered`` per image. ``sizes``: image_id, height, width."""
     covered = blocks.groupBy("image_id").agg(
         F.sum(F.col("height").cast("bigint") * F.col("width")).alias("covered")
     )
     area = (F.col("height").cast("bigint") * F.col("width")).alias("area")
-    return (
-        sizes.select("image_id", area)
-        .join(covered, "image_id", "left")
-        .filter(~F.col("area").eqNullSafe(F.col("covered")))
-    )
+    return sizes.select("image_id", area).join(covered, "image_id", "left")
+
+
+def incomplete_images(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Images whose blocks do not add up to their area."""
+    return coverage(blocks, sizes).filter(~F.col("area").eqNullSafe(F.col("covered")))
 
 
 def _paste(key, table):

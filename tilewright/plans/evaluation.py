@@ -11,14 +11,19 @@ from tilewright.operators.scoring import Predictor
 from tilewright.sources import images, split_lists
 
 
+def named_matrices(counted: DataFrame, num_classes: int) -> DataFrame:
+    """One wide matrix per image from ``image_id, gt, pred, n``, with its magnification."""
+    return confusion.count_pixels(counted, ["image_id"], num_classes, "n").withColumn(
+        "magnification", naming.magnification(F.col("image_id"))
+    )
+
+
 def per_image_matrices(
     truth_blocks: DataFrame, predicted_blocks: DataFrame, num_classes: int
 ) -> DataFrame:
     """One wide confusion matrix per image from label blocks on the same grid."""
     counted = confusion.count_blocks(confusion.align_blocks(truth_blocks, predicted_blocks))
-    return confusion.count_pixels(
-        counted, ["image_id"], num_classes, "n"
-    ).withColumn("magnification", naming.magnification(F.col("image_id")))
+    return named_matrices(counted, num_classes)
 
 
 def evaluate_images(
@@ -30,14 +35,30 @@ def evaluate_images(
     batch_size: int = 4,
     num_classes: int = 3,
 ) -> DataFrame:
-    """Per-image matrices for prepared images and remapped masks.
+    """Per-image matrices for prepared images and remapped masks from two tables.
 
-    Raw pixels never move: both sides are cut into tiles where they were read, and only label
-    tiles, one byte per pixel, are joined.
+    Raw pixels never move: images are scored where they were read, masks are cut on the same grid,
+    and only label blocks, one byte per pixel, are joined.
     """
     predicted = scoring.predict_labels(image_rows, predict, tile=tile, batch_size=batch_size)
-    truth = tiles.crop_tiles(tiles.cut_tiles(mask_rows, tile))
-    return per_image_matrices(truth, predicted, num_classes)
+    return per_image_matrices(tiles.cut_blocks(mask_rows, tile), predicted, num_classes)
+
+
+def evaluate_pairs(
+    pairs: DataFrame,
+    predict: Predictor,
+    *,
+    tile: int,
+    batch_size: int = 4,
+    num_classes: int = 3,
+) -> DataFrame:
+    """Per-image matrices for rows that hold image and mask together.
+
+    Scoring and counting happen in the task that reads the row; a few counts per image are all
+    that is shuffled.
+    """
+    counted = scoring.count_pairs(pairs, predict, tile=tile, batch_size=batch_size)
+    return named_matrices(counted, num_classes)
 
 
 def evaluate_split(
@@ -64,12 +85,17 @@ def evaluate_split(
     if gap["n"]:
         raise FileNotFoundError(f"{gap['n']} listed image(s) lack files, first {gap['first']}")
     keep = members.select("image_id")
-    pictures = images.decode_images(spark, raw_dir).join(keep, "image_id", "left_semi")
+
+    def chosen(files: DataFrame) -> DataFrame:
+        listed = files.join(keep, "image_id", "left_semi")
+        return catalogue.one_file_per_stem(listed)
+
+    pictures = images.decode_chosen(spark, raw_dir, chosen(raw_files))
     if normalise:
         pictures = intensity.prepare_images(pictures, channels)
     else:
         pictures = intensity.convert_channels(pictures, channels)
-    masks = images.decode_masks(spark, masks_dir).join(keep, "image_id", "left_semi")
+    masks = images.one_channel(images.decode_chosen(spark, masks_dir, chosen(mask_files)))
     return evaluate_images(
         pictures,
         intensity.remap_masks(masks, class_mapping),

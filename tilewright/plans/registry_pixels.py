@@ -173,17 +173,17 @@ def binary_scores(spark, sf_dir):
 
 
 @query(
-    """SELECT count(*) AS mismatches FROM lineitem WHERE l_suppkey < 0"""
+    f"""WITH {s.SQL_LINEITEM_PIXELS}, a AS (SELECT image_id, count(*) FILTER (gt = 0) AS n0, count(*) FILTER (gt = 1) AS n1,
+count(*) FILTER (gt = 2) AS n2 FROM px GROUP BY 1)
+SELECT image_id, n0 AS sum_0, n1 AS sum_1, n2 AS sum_2, n0 AS class_0, n1 AS class_1, n2 AS class_2, TRUE AS complete FROM a"""
 )
 def row_sum_check(spark, sf_dir):
-    """Images whose matrix rows do not add up to the mask's class counts (none)."""
+    """Matrix row sums next to the mask's own class counts."""
     area = s.lineitem_pixels(spark, sf_dir).groupBy("image_key", F.col("gt").alias("label")).agg(
         F.count(F.lit(1)).alias("n")
     )
     areas = s.name_images(annotation.class_counts(area, "image_key", (0, 1, 2)))
-    return confusion.row_sum_mismatches(_per_image(spark, sf_dir), areas, 3).agg(
-        F.count(F.lit(1)).alias("mismatches")
-    )
+    return confusion.row_sums(_per_image(spark, sf_dir), areas, 3)
 
 
 @query(
@@ -283,10 +283,12 @@ p AS (SELECT image_id, least(v % 4, 2) AS gt, (v + (y + top) % {TILE} + 2 * ((x
 SELECT image_id, gt, pred, count(*) AS n FROM p GROUP BY 1, 2, 3"""
 )
 def block_confusion(spark, sf_dir):
-    """Tiles scored, cropped, joined with mask blocks and counted."""
+    """Tiles dealt out, scored, cropped, joined with mask blocks, counted."""
     images = s.document_images(spark, sf_dir)
-    predicted = scoring.predict_labels(images, positional_labels, tile=TILE, batch_size=64)
-    truth = tiles.crop_tiles(tiles.cut_tiles(_doc_truth(spark, sf_dir), TILE))
+    predicted = scoring.predict_labels(
+        images, positional_labels, tile=TILE, batch_size=64, by_tile=True
+    )
+    truth = tiles.cut_blocks(_doc_truth(spark, sf_dir), TILE)
     counted = confusion.count_blocks(confusion.align_blocks(truth, predicted))
     return counted.groupBy("image_id", "gt", "pred").agg(F.sum("n").cast("bigint").alias("n"))
 
@@ -317,6 +319,16 @@ def evaluate_tiles(spark, sf_dir):
     return confusion.report(per_image)
 
 
+@query(SQL_EVALUATE)
+def evaluate_pairs(spark, sf_dir):
+    """F4 for rows that hold image and mask: scored and counted in place."""
+    images, masks = s.document_images(spark, sf_dir), _doc_truth(spark, sf_dir)
+    per_image = evaluation.evaluate_pairs(
+        patches.pair_pixels(images, masks), positional_labels, tile=TILE, batch_size=64
+    )
+    return confusion.report(per_image)
+
+
 @query(
     f"""WITH {s.SQL_DOC_PIXELS}, c AS (SELECT image_id, least(v % 4, 2) AS gt FROM doc_px)
 SELECT image_id, count(*) FILTER (gt = 0) AS class_0, count(*) FILTER (gt = 1) AS class_1,
@@ -377,12 +389,13 @@ def tile_roundtrip(spark, sf_dir):
     )
 
 
-@query("SELECT count(*) AS incomplete FROM documents WHERE doc_id < 0")
+@query(
+    f"""WITH {s.SQL_DOC_PIXELS} SELECT image_id, count(*) AS area, count(*) AS covered FROM doc_px GROUP BY 1"""
+)
 def tile_coverage(spark, sf_dir):
-    """Pictures whose blocks do not cover their area (none)."""
+    """The area of every picture and what its blocks cover."""
     images = s.document_images(spark, sf_dir)
-    blocks = tiles.crop_tiles(tiles.cut_tiles(images, TILE))
-    return tiles.incomplete_images(blocks, images).agg(F.count(F.lit(1)).alias("incomplete"))
+    return tiles.coverage(tiles.crop_tiles(tiles.cut_tiles(images, TILE)), images)
 
 
 SQL_STITCH = f"""WITH {s.SQL_DOC_PIXELS},
@@ -471,7 +484,7 @@ SELECT image_id, y, x, CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN
 )
 def block_percentiles(spark, sf_dir):
     """Exact percentiles through a histogram per block."""
-    blocks = tiles.crop_tiles(tiles.cut_tiles(s.document_images(spark, sf_dir), TILE))
+    blocks = tiles.cut_blocks(s.document_images(spark, sf_dir), TILE)
     limits = intensity.block_percentiles(blocks)
     return limits.select("image_id", s.rounded(F.col("p_low")).alias("p_low"), s.rounded(F.col("p_high")).alias("p_high"))
 
@@ -933,7 +946,5 @@ SELECT 'overall' AS "group", class, 1e0 AS dice, 1e0 AS iou, n_images FROM c, t"
 def blob_evaluation(spark, sf_dir):
     """Cutting raw grays at the band ends finds every blob, so all scores are 1."""
     pairs = _blobs(spark, sf_dir)
-    per_image = evaluation.evaluate_images(
-        pairs, synthetic.masks_of(pairs), synthetic.threshold_labels, tile=32, batch_size=16
-    )
+    per_image = evaluation.evaluate_pairs(pairs, synthetic.threshold_labels, tile=32, batch_size=16)
     return confusion.report(per_image).filter("grain = 'overall'").select("group", "class", "dice", "iou", "n_images")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions import naming
 from tilewright.functions.blocks import IMAGE_SCHEMA, flat_map, iter_rows, packed, pixels
+from tilewright.operators.skew import short_list
 from tilewright.session import qualify
 
 # The supported extensions in any case, checked while listing.
@@ -190,10 +192,30 @@ def decode_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return decoded.mapInArrow(flat_map(one, DECODED_SCHEMA), DECODED_SCHEMA)
 
 
-def decode_masks(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Decoded masks; a mask with several channels is an error."""
-    message = F.concat(F.lit("a mask has one channel: "), F.col("path"))
-    return decode_images(spark, path).withColumn(
+def decode_chosen(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame:
+    """Image rows of the files in ``chosen`` (one ``path`` per row).
+
+    A short list is handed to the reader, so nothing else is opened. A long one becomes a
+    semi-join after decoding.
+    """
+    paths = chosen.select("path").distinct()
+    listed = short_list(paths)
+    if listed is None:
+        return decode_images(spark, path).join(paths, "path", "left_semi")
+    if not listed:
+        return decode_images(spark, path).limit(0)
+    return decode_images(spark, [as_pattern(p) for p in listed])
+
+
+def as_pattern(path: str) -> str:
+    """A listed path as a reader pattern: glob characters stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def one_channel(masks: DataFrame) -> DataFrame:
+    """The same mask rows; one with several channels is an error."""
+    message = F.concat(F.lit("a mask has one channel: "), F.col("image_id"))
+    return masks.withColumn(
         "channels",
         F.when(F.coalesce(F.col("channels"), F.lit(1)) == 1, F.col("channels")).otherwise(
             F.raise_error(message).cast("int")
@@ -201,6 +223,11 @@ def decode_masks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def decode_masks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Decoded masks; a mask with several channels is an error."""
+    return one_channel(decode_images(spark, path))
+
+
 def encode_png(array: np.ndarray) -> bytes:
     """An 8-bit gray or RGB picture as PNG bytes."""
     height, width = array.shape[:2]
