@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.draws import draw_key
-from tilewright.operators.ordering import CHUNK, SEQ, add_rank, hash_rank, lay_out
+from tilewright.operators.ordering import hash_rank, ordered_rank
 
 
 def assign_batches(
@@ -27,7 +27,7 @@ def assign_batches(
     else:
         total = df.agg(F.count(F.lit(1))).scalar()
         ranked = (
-            add_rank(lay_out(df, [], key), [], rank="_rn").drop(CHUNK, SEQ).withColumn("_total", total)
+            ordered_rank(df, [], key, rank="_rn").withColumn("_total", total)
         )
     full = F.floor(F.col("_total") / F.lit(batch_size)) * batch_size
     place = F.col("_rn") - 1

@@ -8,7 +8,6 @@ summaries are ever brought together per group.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,25 +16,31 @@ from tilewright.session import scratch_path
 
 CHUNK = "_chunk"
 SEQ = "_seq"
+AT = "_at"
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys that may be null; ``right`` is unique per key."""
-    renamed = right
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"_r_{key}")
-    condition = reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
-    )
-    return left.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in keys])
+def at_key(*keys: str) -> Column:
+    """Group and chunk as one value. As a struct it is never null itself, so null groups join
+    like any other, and windows and joins on it share one shuffle."""
+    return F.struct(*keys)
+
+
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of a table that is unique per key; ``left`` carries the key as ``_at``."""
+    kept = [c for c in right.columns if c not in keys]
+    return left.join(right.select(at_key(*keys).alias(AT), *kept), AT, "left")
+
+
+def prefix(group: Sequence[str]):
+    """Window over the chunks before the current one; it runs on chunk summaries only."""
+    return Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _offsets(counts: DataFrame, group: Sequence[str]) -> DataFrame:
     """Rows before each chunk, and rows in the group. One row per group and chunk comes in."""
-    before = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumns(
         {
-            "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint"),
+            "_before": F.coalesce(F.sum("_n").over(prefix(group)), F.lit(0)).cast("bigint"),
             "_size": F.sum("_n").over(Window.partitionBy(*group)).cast("bigint"),
         }
     )
@@ -56,15 +61,16 @@ def hash_rank(
     The leading ``digits`` of the digest are the chunk: digests are uniform, so a group of any
     size is spread over ``16 ** digits`` equal chunks, without sampling.
     """
+    keys = [*group, CHUNK]
     chunked = df.withColumn(CHUNK, F.substring(hash_col, 1, digits))
-    counts = chunked.groupBy(*group, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    local = Window.partitionBy(*group, CHUNK).orderBy(hash_col, *ties)
-    ranked = chunked.withColumn("_local", F.row_number().over(local))
+    counts = chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    local = Window.partitionBy(AT).orderBy(hash_col, *ties)
+    ranked = chunked.withColumn(AT, at_key(*keys)).withColumn("_local", F.row_number().over(local))
     return (
-        _attach(ranked, _offsets(counts, group), [*group, CHUNK])
+        attach(ranked, _offsets(counts, group), keys)
         .withColumn(rank, F.col("_before") + F.col("_local"))
         .withColumn(size, F.col("_size"))
-        .drop(CHUNK, "_local", "_before", "_size", "_n")
+        .drop(AT, CHUNK, "_local", "_before", "_size", "_n")
     )
 
 
@@ -73,8 +79,8 @@ def lay_out(
 ) -> DataFrame:
     """Sort by group and order over all tasks and number the rows.
 
-    Adds ``_chunk`` (range partition) and ``_seq`` (increasing in sort order). The result is
-    stored in the shared folder: the numbers come from one physical layout and must not be drawn
+    Adds ``_chunk`` (range partition), ``_seq`` (increasing in sort order) and the key ``_at`` of
+    group and chunk. The result is stored in the shared folder: the numbers come from one physical layout and must not be drawn
     twice, also not when an executor is lost. The order columns should be (nearly) unique per
     group, since equal values share a chunk.
     """
@@ -88,7 +94,8 @@ def lay_out(
         .withColumn(SEQ, F.monotonically_increasing_id())
         .write.parquet(path)
     )
-    return spark.read.parquet(path).withColumn(CHUNK, F.shiftright(SEQ, 33))
+    laid = spark.read.parquet(path).withColumn(CHUNK, F.shiftright(SEQ, 33))
+    return laid.withColumn(AT, at_key(*group, CHUNK))
 
 
 def attach_to_groups(laid: DataFrame, values: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -97,45 +104,24 @@ def attach_to_groups(laid: DataFrame, values: DataFrame, group: Sequence[str]) -
     The values go to the chunks of their group first and to the rows chunk by chunk, so a large
     group is never joined in one task.
     """
-    chunks = laid.select(*group, CHUNK).distinct()
-    return _attach(laid, _attach(chunks, values, group), [*group, CHUNK])
+    keys = [*group, CHUNK]
+    chunks = laid.select(*keys).distinct().withColumn(AT, at_key(*group))
+    return attach(laid, attach(chunks, values, group).drop(AT), keys)
 
 
 def add_rank(laid: DataFrame, group: Sequence[str], *, rank: str = "rn") -> DataFrame:
     """Dense position of each row in its group, from a ``lay_out`` table."""
-    counts = laid.groupBy(*group, CHUNK).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(SEQ).alias("_first")
-    )
+    keys = [*group, CHUNK]
+    counts = laid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(SEQ).alias("_first"))
     return (
-        _attach(laid, _offsets(counts, group), [*group, CHUNK])
+        attach(laid, _offsets(counts, group), keys)
         .withColumn(rank, F.col("_before") + F.col(SEQ) - F.col("_first") + 1)
         .drop("_n", "_first", "_before", "_size")
     )
 
 
-def add_running_max(
-    laid: DataFrame, group: Sequence[str], value: Column, out: str, *, inclusive: bool
-) -> DataFrame:
-    """Running maximum of ``value`` in sort order, up to and with or without the current row."""
-    end = 0 if inclusive else -1
-    valued = laid.withColumn("_v", value)
-    tops = valued.groupBy(*group, CHUNK).agg(F.max("_v").alias("_top"))
-    before = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.withColumn("_carry", F.max("_top").over(before)).drop("_top")
-    local = (
-        Window.partitionBy(*group, CHUNK).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, end)
-    )
-    return (
-        _attach(
-            valued.withColumn("_run", F.max("_v").over(local)), carried, [*group, CHUNK]
-        )
-        .withColumn(out, F.greatest("_carry", "_run"))
-        .drop("_v", "_run", "_carry")
-    )
-
-
 def ordered_rank(
     df: DataFrame, group: Sequence[str], order: Sequence[str], *, rank: str = "rn"
 ) -> DataFrame:
     """Position of each row in its group by a natural order."""
-    return add_rank(lay_out(df, group, order), group, rank=rank).drop(CHUNK, SEQ)
+    return add_rank(lay_out(df, group, order), group, rank=rank).drop(AT, CHUNK, SEQ)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.operators.ordering import (
+    AT,
     CHUNK,
     SEQ,
-    add_running_max,
+    attach,
     attach_to_groups,
     lay_out,
+    prefix,
 )
 
 START_SCORE = -1.0
@@ -28,18 +30,36 @@ def early_stop(
     the beginning. ``epoch`` counts from 1 without gaps. Runs of any length are scanned in chunks.
     """
     laid = lay_out(log, run, [epoch])
-    best = add_running_max(laid, run, F.col(score), "_before", inclusive=False)
-    improved = F.col(score) > F.coalesce(F.col("_before"), F.lit(START_SCORE).cast("double"))
-    flagged = best.withColumn("improved", improved)
-    last = add_running_max(
-        flagged, run, F.when(F.col("improved"), F.col(epoch)), "last_improved", inclusive=True
+    keys = [*run, CHUNK]
+    # The last improvement inside a chunk is where the chunk first reaches its top, provided that
+    # top beats everything before the chunk. So chunk summaries give both carried values.
+    tops = laid.groupBy(*keys).agg(
+        F.max(score).alias("_top"), F.min_by(epoch, F.struct(-F.col(score), epoch)).alias("_top_at")
+    )
+    start = F.lit(START_SCORE).cast("double")
+    carried = (
+        tops.withColumn("_best", F.max("_top").over(prefix(run)))
+        .withColumn("_new", F.when(F.col("_top") > F.coalesce("_best", start), F.col("_top_at")))
+        .withColumn("_last", F.max("_new").over(prefix(run)))
+        .select(*keys, "_best", "_last")
+    )
+    local = Window.partitionBy(AT).orderBy(SEQ)
+    earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = local.rowsBetween(Window.unboundedPreceding, 0)
+    best = F.greatest("_best", "_run")
+    scanned = (
+        attach(laid.withColumn("_run", F.max(score).over(earlier)), carried, keys)
+        .withColumn("improved", F.col(score) > F.coalesce(best, start))
+        .withColumn("_here", F.max(F.when(F.col("improved"), F.col(epoch))).over(so_far))
+        .withColumn("last_improved", F.greatest("_last", "_here"))
+        .drop("_run", "_best", "_last", "_here")
     )
     due = F.col(epoch) - F.coalesce(F.col("last_improved"), F.lit(0)) >= patience
-    stops = last.filter(due).groupBy(*run).agg(F.min(epoch).alias("stop_epoch"))
+    stops = scanned.filter(due).groupBy(*run).agg(F.min(epoch).alias("stop_epoch"))
     return (
-        attach_to_groups(last, stops, run)
+        attach_to_groups(scanned, stops, run)
         .filter(F.col("stop_epoch").isNull() | (F.col(epoch) <= F.col("stop_epoch")))
-        .drop("_before", CHUNK, SEQ)
+        .drop(AT, CHUNK, SEQ)
     )
 
 
