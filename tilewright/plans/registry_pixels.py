@@ -490,7 +490,7 @@ def block_percentiles(spark, sf_dir):
 
 
 SQL_NORMALISED = f"""WITH {s.SQL_VECTOR_PIXELS},
-q AS (SELECT image_id, quantile_cont(CAST(v AS DOUBLE), 1e-2) AS lo, quantile_cont(CAST(v AS DOUBLE), 99e-2) AS hi FROM vec_px GROUP BY 1),
+q AS (SELECT image_id, {s.sql_rounded('quantile_cont(CAST(v AS DOUBLE), 1e-2)')} AS lo, {s.sql_rounded('quantile_cont(CAST(v AS DOUBLE), 99e-2)')} AS hi FROM vec_px GROUP BY 1),
 n AS (SELECT image_id, y, x, v, CASE WHEN hi <= lo THEN 0e0 ELSE (greatest(least(CAST(v AS DOUBLE), hi), lo) - lo) / (hi - lo) END AS scaled
       FROM vec_px JOIN q USING (image_id))"""
 
@@ -498,7 +498,10 @@ n AS (SELECT image_id, y, x, v, CASE WHEN hi <= lo THEN 0e0 ELSE (greatest(least
 def _normalised(spark, sf_dir):
     base = s.vector_pixels(spark, sf_dir)
     counts = base.groupBy("image_id", F.col("v").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    limits = intensity.percentiles(counts)
+    # The last bit of an interpolated percentile differs between engines; six decimals do not.
+    limits = intensity.percentiles(counts).select(
+        "image_id", *[s.rounded(F.col(c)).alias(c) for c in ("p_low", "p_high")]
+    )
     return base.join(limits, "image_id").withColumn(
         "scaled", pixels.normalise(F.col("v").cast("double"), F.col("p_low"), F.col("p_high"))
     )
@@ -516,7 +519,10 @@ def percentile_norm(spark, sf_dir):
 
 
 @query(
-    f"""{SQL_NORMALISED}, b AS (SELECT image_id, CAST(floor(greatest(least(CAST(CAST(scaled AS FLOAT) AS DOUBLE) * 255e0, 255e0), 0e0)) AS INT) AS g FROM n)
+    f"""WITH {s.SQL_VECTOR_PIXELS},
+q AS (SELECT image_id, quantile_cont(CAST(v AS DOUBLE), 1e-2) AS lo, quantile_cont(CAST(v AS DOUBLE), 99e-2) AS hi FROM vec_px GROUP BY 1),
+n AS (SELECT image_id, CASE WHEN hi <= lo THEN 0e0 ELSE (greatest(least(CAST(v AS DOUBLE), hi), lo) - lo) / (hi - lo) END AS scaled
+      FROM vec_px JOIN q USING (image_id)), b AS (SELECT image_id, CAST(floor(greatest(least(CAST(CAST(scaled AS FLOAT) AS DOUBLE) * 255e0, 255e0), 0e0)) AS INT) AS g FROM n)
 SELECT image_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS total FROM b GROUP BY 1"""
 )
 def normalised_images(spark, sf_dir):
