@@ -206,6 +206,25 @@ def test_training_table(spark, tmp_path):
     assert index.count() == 12 and index.select("batch_id").distinct().count() == 3
 
 
+def test_synthetic_splits_and_evaluation(spark):
+    assigned = synthetic.synthetic_splits(spark, 20, seed=7).collect()
+    sizes = {}
+    for r in assigned:
+        sizes.setdefault(r["image_id"][-3:], []).append(r["split"])
+    for names in sizes.values():
+        assert [names.count(n) for n in splits.SPLIT_NAMES] == [7, 2, 1]
+    per_image = evaluation.evaluate_synthetic(spark, "val", synthetic.threshold_labels, tile=128, n_images=8)
+    flat = confusion.report(per_image).filter("grain = 'overall'").collect()
+    assert {r["class"] for r in flat} >= {"background", "object"} and all(r["dice"] == 1.0 for r in flat)
+
+
+def test_mixed_circles(spark):
+    drawn = synthetic.draw_mixed_circles(synthetic.synthetic_names(spark, 2), height=200, width=220, seed=1)
+    for r in synthetic.paint_pairs(drawn).collect():
+        labels = set(bytes(r["mask"]))
+        assert 0 in labels and labels <= {0, 1, 2, 3} and len(labels) > 1
+
+
 def test_artifacts(spark, tmp_path):
     for i, run in enumerate(("base_20240101_000000", "base_20240102_000000", "tiny_20240103_000000")):
         path = tmp_path / "runs" / run / runs.BEST_ARTIFACT

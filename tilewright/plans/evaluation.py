@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import naming
-from tilewright.operators import catalogue, confusion, intensity, scoring, tiles
+from tilewright.operators import confusion, scoring, tiles
 from tilewright.operators.scoring import Predictor
-from tilewright.sources import images, split_lists
+from tilewright.plans.loading import load_split
+from tilewright.sources import synthetic
 
 
 def named_matrices(counted: DataFrame, num_classes: int) -> DataFrame:
@@ -77,30 +78,35 @@ def evaluate_split(
     normalise: bool = True,
 ) -> DataFrame:
     """Per-image matrices of a split stored as files; a listed image without files is an error."""
-    members = split_lists.read_split(spark, splits_dir, split)
-    raw_files = images.scan_images(spark, raw_dir)
-    mask_files = images.scan_images(spark, masks_dir)
-    missing = catalogue.missing_members(members, raw_files, mask_files)
-    gap = missing.agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first")).head()
-    if gap["n"]:
-        raise FileNotFoundError(f"{gap['n']} listed image(s) lack files, first {gap['first']}")
-    keep = members.select("image_id")
-
-    def chosen(files: DataFrame) -> DataFrame:
-        listed = files.join(keep, "image_id", "left_semi")
-        return catalogue.one_file_per_stem(listed)
-
-    pictures = images.decode_chosen(spark, raw_dir, chosen(raw_files))
-    if normalise:
-        pictures = intensity.prepare_images(pictures, channels)
-    else:
-        pictures = intensity.convert_channels(pictures, channels)
-    masks = images.one_channel(images.decode_chosen(spark, masks_dir, chosen(mask_files)))
+    pictures, masks = load_split(
+        spark,
+        raw_dir,
+        masks_dir,
+        splits_dir,
+        split,
+        channels=channels,
+        class_mapping=class_mapping,
+        normalise=normalise,
+    )
     return evaluate_images(
-        pictures,
-        intensity.remap_masks(masks, class_mapping),
-        predict,
-        tile=tile,
-        batch_size=batch_size,
-        num_classes=num_classes,
+        pictures, masks, predict, tile=tile, batch_size=batch_size, num_classes=num_classes
+    )
+
+
+def evaluate_synthetic(
+    spark: SparkSession,
+    split: str,
+    predict: Predictor,
+    *,
+    tile: int,
+    n_images: int = 16,
+    height: int = 512,
+    width: int = 512,
+    seed: int = 42,
+    batch_size: int = 4,
+) -> DataFrame:
+    """The same for a split of synthetic pictures, when there is no annotated data yet."""
+    pairs = synthetic.synthetic_split(
+        spark, split, n_images, height=height, width=width, seed=seed
     )
+    return evaluate_pairs(pairs, predict, tile=tile, batch_size=batch_size)

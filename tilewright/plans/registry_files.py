@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import naming
 from tilewright.operators import annotation, catalogue, confusion, intensity, splits, training_log
-from tilewright.plans import evaluation, inference, onboarding
+from tilewright.plans import evaluation, inference, onboarding, training_data
 from tilewright.plans import registry_pixels as px
+from tilewright.plans import registry_tables as tb
 from tilewright.plans import standins as s
 from tilewright.session import scratch_path
 from tilewright.sources import (
@@ -183,9 +184,6 @@ def metadata_errors(spark, sf_dir):
     return errors.select("error")
 
 
-from tilewright.plans import registry_tables as tb  # noqa: E402
-
-
 @query(
     f"""WITH {tb.SQL_MERGE} SELECT * FROM existing
 UNION ALL SELECT * FROM arrived WHERE image NOT IN (SELECT image FROM existing)"""
@@ -304,6 +302,38 @@ def evaluate_files(spark, sf_dir):
     ).csv(f"{out}/metrics_csv", header=True)
 
 
+@query(
+    f"""{px.SQL_SELECTED},
+{tb._sql_split(f"meta AS (SELECT DISTINCT image_id, {s.sql_magnification('image_id')} AS magnification, '' AS condition FROM vec_px)")}
+SELECT sel.image_id, patch_id, CAST(sum(v * (4 * (y - y0) + x - x0 + 1)) AS BIGINT) AS image_sum,
+CAST(sum(CASE WHEN v > 150 THEN 4 * (y - y0) + x - x0 + 1 ELSE 0 END) AS BIGINT) AS mask_sum
+FROM sel JOIN vec_px ON vec_px.image_id = sel.image_id JOIN assigned ON assigned.image_id = sel.image_id AND split = 'train'
+WHERE y BETWEEN y0 AND y0 + 3 AND x BETWEEN x0 AND x0 + 3 GROUP BY 1, 2""".replace("r AS (SELECT *, row_number() OVER (PARTITION BY stratum", "rr AS (SELECT *, row_number() OVER (PARTITION BY stratum").replace("ELSE 'test' END AS split FROM r)", "ELSE 'test' END AS split FROM rr)")
+)
+def training_patches(spark, sf_dir):
+    """The patch table of the training split, from files."""
+    raw, masks, lists = _raw_folder(spark, sf_dir), scratch_path(spark, "masks"), scratch_path(spark, "splits")
+    images.write_png(px._vector_masks(spark, sf_dir), masks)
+    names = images.scan_images(spark, raw).select(
+        "image_id", naming.magnification(F.col("name")).alias("magnification"), F.lit("").alias("condition")
+    )
+    split_lists.write_splits(splits.assign_splits(names), lists)
+    table = training_data.split_patch_table(
+        spark,
+        raw,
+        masks,
+        lists,
+        "train",
+        normalise=False,
+        patch=px.PATCH,
+        per_image=px.PER_IMAGE,
+        object_ratio=px.RATIO,
+        min_object_fraction=px.MIN_SHARE,
+        seed=11,
+    )
+    return px.patch_sums(table)
+
+
 @query(
     f"""{px.SQL_REPORT}, sc AS (SELECT grain, "group", class, {px.SQL_SCORES}, n_images FROM g),
 pi AS (SELECT i.magnification, class, {px.SQL_SCORES} FROM i),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions.blocks import IMAGE_SCHEMA, flat_map, packed
 from tilewright.functions.draws import draw_integer, draw_key
+from tilewright.operators.splits import assign_splits
 
 # Grey bands per class (upper ends excluded), circles per class and their radii.
 BAND_BACKGROUND = (0, 80)
@@ -19,6 +20,9 @@ BAND_CELL = (120, 180)
 BAND_AGGREGATE = (180, 255)
 AGGREGATES = 4
 CELLS = 6
+MIXED_CIRCLES = 5
+MIXED_MARGIN = 64
+MIXED_RADII = (20, 60)
 AGGREGATE_MARGIN = 100
 CELL_MARGIN = 80
 RADII = {"4x": ((40, 70), (15, 35)), "10x": ((80, 130), (35, 70))}
@@ -102,6 +106,29 @@ def draw_circles(names: DataFrame, *, height: int, width: int, seed: int, scale:
     )
 
 
+def draw_mixed_circles(names: DataFrame, *, height: int, width: int, seed: int) -> DataFrame:
+    """Five circles of random class 1 to 3 per picture, as the batch viewer draws them."""
+
+    def circle(step: int) -> Column:
+        key = draw_key(seed, F.lit("mixed"), F.col("image_id"), step)
+        at = lambda word, size: (F.pmod(draw_integer(key, word), F.lit(size))).cast("int")
+        return F.struct(
+            F.lit(step).alias("step"),
+            (at(0, max(height - 2 * MIXED_MARGIN, 1)) + MIXED_MARGIN).alias("cy"),
+            (at(1, max(width - 2 * MIXED_MARGIN, 1)) + MIXED_MARGIN).alias("cx"),
+            (at(2, MIXED_RADII[1] - MIXED_RADII[0]) + MIXED_RADII[0]).alias("radius"),
+            (at(3, 3) + 1).alias("label"),
+        )
+
+    return names.select(
+        "image_id",
+        F.lit(height).alias("height"),
+        F.lit(width).alias("width"),
+        draw_integer(draw_key(seed, "noise", F.col("image_id"))).alias("noise_seed"),
+        F.array(*[circle(i) for i in range(MIXED_CIRCLES)]).alias("circles"),
+    )
+
+
 PAIR_SCHEMA = T.StructType([*IMAGE_SCHEMA.fields, T.StructField("mask", T.BinaryType())])
 
 
@@ -144,6 +171,29 @@ def synthetic_dataset(
     return paint_pairs(draw_circles(synthetic_names(spark, n_images), height=height, width=width, seed=seed))
 
 
+def synthetic_splits(spark: SparkSession, n_images: int, seed: int = 42) -> DataFrame:
+    """``image_id, split``: 70 / 15 / 15 within each magnification."""
+    names = synthetic_names(spark, n_images).select(
+        "image_id", "magnification", F.lit("").alias("condition")
+    )
+    return assign_splits(names, seed=seed).select("image_id", "split")
+
+
+def synthetic_split(
+    spark: SparkSession,
+    split: str,
+    n_images: int = 16,
+    *,
+    height: int = 512,
+    width: int = 512,
+    seed: int = 42,
+) -> DataFrame:
+    """Blob pairs of one split; only its pictures are painted."""
+    members = synthetic_splits(spark, n_images, seed).filter(F.col("split") == split)
+    names = synthetic_names(spark, n_images).join(members, "image_id", "left_semi")
+    return paint_pairs(draw_circles(names, height=height, width=width, seed=seed))
+
+
 def threshold_labels(batch: np.ndarray) -> np.ndarray:
     """A predictor for synthetic raw pixels: cuts at the lower ends of the two object bands."""
     gray = batch[..., 0]
