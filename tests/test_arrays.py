@@ -319,10 +319,11 @@ def test_ranks_with_one_hot_group(spark):
     local = {}
     for r in df.collect():
         local.setdefault(r["g"], []).append(r["o"])
-    ranked = ordering.ordered_rank(df, ["g"], ["o"]).collect()
-    assert len(ranked) == 3000
-    for r in ranked:
-        assert r["rn"] == sorted(local[r["g"]]).index(r["o"]) + 1
+    places = {g: {o: i for i, o in enumerate(sorted(v), 1)} for g, v in local.items()}
+    for n in (None, 7):
+        ranked = ordering.ordered_rank(df, ["g"], ["o"], partitions=n).collect()
+        assert len(ranked) == 3000
+        assert all(r["rn"] == places[r["g"]][r["o"]] for r in ranked)
     hashed = ordering.hash_rank(df.withColumn("h", F.md5(F.col("id").cast("string"))), ["g"], "h", ["id"]).collect()
     for g, values in local.items():
         mine = sorted((r for r in hashed if r["g"] == g), key=lambda r: r["h"])

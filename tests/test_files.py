@@ -196,6 +196,13 @@ def test_predict_folder(spark, arrays, tmp_path):
     assert (overlays[name][back] == np.rint(pictures[name][back] / 2)[:, np.newaxis]).all()
 
 
+def test_unreadable_image_stops_inference(spark, tmp_path):
+    save(tmp_path / "a.png", np.zeros((4, 4), np.uint8))
+    (tmp_path / "b.png").write_bytes(b"no picture")
+    with pytest.raises(Exception, match="cannot decode"):
+        inference.predict_folder(spark, str(tmp_path), synthetic.threshold_logits, tile=4).collect()
+
+
 def test_training_table(spark, tmp_path):
     raw, masks = blob_folders(spark, tmp_path, 3)
     table = training_data.patch_table(images.decode_images(spark, raw), images.decode_masks(spark, masks), patch=32, per_image=5, seed=1)

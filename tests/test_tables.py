@@ -101,6 +101,17 @@ def test_split_lists_round_trip(spark, tmp_path):
     split_lists.write_splits(assigned, folder, force=True)
 
 
+def test_empty_split_reads_as_empty(spark, tmp_path):
+    """Five names give 4 / 1 / 0."""
+    assigned = splits.assign_splits(meta(spark, [(f"n{i}", "4x", None) for i in range(5)]))
+    folder = str(tmp_path / "splits")
+    split_lists.write_splits(assigned, folder)
+    assert split_lists.read_split(spark, folder, "test").count() == 0
+    assert split_lists.read_splits(spark, folder).count() == 5
+    with pytest.raises(FileNotFoundError):
+        split_lists.read_split(spark, folder, "other")
+
+
 def test_split_list_text_file(spark, tmp_path):
     (tmp_path / "train.txt").write_text("b\n\n a \nb\nc\n")
     got = split_lists.read_split(spark, str(tmp_path), "train").orderBy("pos").collect()
@@ -229,8 +240,8 @@ def replay(scores, patience):
     return out, None
 
 
-@pytest.mark.parametrize("patience", [1, 2, 4])
-def test_early_stop(spark, patience):
+@pytest.mark.parametrize(("patience", "partitions"), [(1, 6), (2, 5), (4, 9), (4, None)])
+def test_early_stop(spark, patience, partitions):
     logs = {
         "a": [0.1, 0.2, 0.2, 0.3, 0.1, 0.1, 0.1, 0.1, 0.9],
         "b": [0.5],
@@ -240,7 +251,7 @@ def test_early_stop(spark, patience):
     rows = [(run, e, v) for run, values in logs.items() for e, v in enumerate(values, 1)]
     df = spark.createDataFrame(rows, "run string, epoch bigint, score double")
     got = {}
-    for r in training_log.early_stop(df, ["run"], patience=patience).collect():
+    for r in training_log.early_stop(df, ["run"], patience=patience, partitions=partitions).collect():
         got.setdefault(r["run"], []).append((r["epoch"], r["improved"], r["last_improved"], r["stop_epoch"]))
     for run, values in logs.items():
         expected, stop = replay(values, patience)

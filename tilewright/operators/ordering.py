@@ -82,15 +82,15 @@ def lay_out(
     Adds ``_chunk`` (range partition), ``_seq`` (increasing in sort order) and the key ``_at`` of
     group and chunk. The result is stored in the shared folder: the numbers come from one physical layout and must not be drawn
     twice, also not when an executor is lost. The order columns should be (nearly) unique per
-    group, since equal values share a chunk.
+    group, since equal values share a chunk. Adaptive execution picks the number of chunks unless
+    ``partitions`` is given.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
     path = scratch_path(spark, "layout")
+    spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        spread.sortWithinPartitions(*keys)
         .withColumn(SEQ, F.monotonically_increasing_id())
         .write.parquet(path)
     )
@@ -121,7 +121,13 @@ def add_rank(laid: DataFrame, group: Sequence[str], *, rank: str = "rn") -> Data
 
 
 def ordered_rank(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], *, rank: str = "rn"
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    *,
+    rank: str = "rn",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Position of each row in its group by a natural order."""
-    return add_rank(lay_out(df, group, order), group, rank=rank).drop(AT, CHUNK, SEQ)
+    laid = lay_out(df, group, order, partitions=partitions)
+    return add_rank(laid, group, rank=rank).drop(AT, CHUNK, SEQ)

@@ -21,7 +21,13 @@ START_SCORE = -1.0
 
 
 def early_stop(
-    log: DataFrame, run: Sequence[str], *, epoch: str = "epoch", score: str = "score", patience: int
+    log: DataFrame,
+    run: Sequence[str],
+    *,
+    epoch: str = "epoch",
+    score: str = "score",
+    patience: int,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Per epoch: did it improve, the last improvement so far, and whether training got here.
 
@@ -29,7 +35,7 @@ def early_stop(
     that is ``patience`` past the last improvement; before any improvement the count starts at
     the beginning. ``epoch`` counts from 1 without gaps. Runs of any length are scanned in chunks.
     """
-    laid = lay_out(log, run, [epoch])
+    laid = lay_out(log, run, [epoch], partitions=partitions)
     keys = [*run, CHUNK]
     # The last improvement inside a chunk is where the chunk first reaches its top, provided that
     # top beats everything before the chunk. So chunk summaries give both carried values.

@@ -61,14 +61,14 @@ def predict_folder(
     store: str | None = None,
     export: bool = False,
 ) -> DataFrame:
-    """Label blocks of every supported image of a file or folder.
+    """Label blocks of every supported image of a file or folder; an unreadable one is an error.
 
     With ``store`` the blocks are written to ``<store>/blocks`` as a table first and everything
     later reads that, so the predictor runs once. ``export`` also writes one PNG mask and one
     overlay per image.
     """
     images.require_images(images.scan_images(spark, input_path))
-    pictures = images.decode_images(spark, input_path).filter("data is not null")
+    pictures = images.readable(images.decode_images(spark, input_path))
     prepared = (
         intensity.prepare_images(pictures, channels)
         if normalise

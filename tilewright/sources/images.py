@@ -212,6 +212,15 @@ def as_pattern(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
+def readable(decoded: DataFrame) -> DataFrame:
+    """The same image rows; a file that could not be decoded is an error."""
+    message = F.concat(F.lit("cannot decode "), F.col("path"))
+    return decoded.withColumn(
+        "data",
+        F.when(F.col("data").isNull(), F.raise_error(message).cast("binary")).otherwise(F.col("data")),
+    )
+
+
 def one_channel(masks: DataFrame) -> DataFrame:
     """The same mask rows; one with several channels is an error."""
     message = F.concat(F.lit("a mask has one channel: "), F.col("image_id"))
