@@ -31,7 +31,7 @@ def test_published_matrix(spark):
     got = scores(confusion.report(matrix_rows(spark, {("10x", "a"): PUBLISHED})).filter("grain = 'overall'"))
     expected = {
         "background": (0.9907165342721889, 0.9816038485855575),
-        "loose_cell": (0.35541286106790715, 0.21611068982274406),
+        "loose cell": (0.35541286106790715, 0.21611068982274406),
         "aggregate": (0.29542413067314066, 0.1733123975232461),
         "object": (0.6297188273878666, 0.45955446223312146),
     }
@@ -48,7 +48,7 @@ def test_counts_and_zero_cells(spark):
     assert long == {(g, p): {(0, 0): 3, (1, 0): 1}.get((g, p), 0) for g in range(3) for p in range(3)}
     got = {r["class"]: r for r in confusion.class_scores(confusion.count_pixels(pixels, [], 2), [], 2, eps=0.0, with_object=False).collect()}
     assert got["background"]["dice"] == 6 / 7 and got["background"]["iou"] == 3 / 4
-    assert got["loose_cell"]["dice"] == 0 and got["loose_cell"]["iou"] == 0
+    assert got["loose cell"]["dice"] == 0 and got["loose cell"]["iou"] == 0
 
 
 def test_labels_out_of_range_are_counted_apart(spark):
@@ -120,8 +120,8 @@ def test_grains_and_image_stats(spark):
     pooled = np.array(matrices[("4x", "a_4x")]) + np.array(matrices[("4x", "b_4x")])
     tp = pooled[1, 1]
     fp, fn = pooled[:, 1].sum() - tp, pooled[1].sum() - tp
-    assert flat[("4x", "loose_cell")]["dice"] == pytest.approx((2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6))
-    assert flat[("4x", "loose_cell")]["n_images"] == 2 and flat[("overall", "object")]["n_images"] == 3
+    assert flat[("4x", "loose cell")]["dice"] == pytest.approx((2 * tp + 1e-6) / (2 * tp + fp + fn + 1e-6))
+    assert flat[("4x", "loose cell")]["n_images"] == 2 and flat[("overall", "object")]["n_images"] == 3
     stats = {(r["magnification"], r["class"]): r for r in confusion.image_score_stats(wide).collect()}
     values = [flat[("a_4x", "aggregate")]["dice"], flat[("b_4x", "aggregate")]["dice"]]
     assert stats[("4x", "aggregate")]["mean_dice"] == pytest.approx(np.mean(values))

@@ -159,7 +159,7 @@ def test_onboarding_and_evaluation(spark, tmp_path):
     reports.write_evaluation(per_image, out)
     assert spark.read.csv(f"{out}/metrics_csv", header=True).columns == ["group", "class", "dice", "iou", "n_images"]
     matrix = spark.read.csv(f"{out}/confusion_matrix", header=True, inferSchema=True).collect()
-    assert [r["truth"] for r in matrix] == ["background", "loose_cell", "aggregate"]
+    assert [r["truth"] for r in matrix] == ["background", "loose cell", "aggregate"]
     assert sum(sum(r[1:]) for r in matrix) == 2 * 96 * 96
     assert spark.read.json(f"{out}/metrics_json").count() == 1 + 2 + 2
     os.remove(os.path.join(raw, sorted(os.listdir(raw))[0]))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.blocks import CODE_COUNTS, count_codes
 
 # Class names in class order, and the epsilon of the scores.
-CLASS_NAMES = ("background", "loose_cell", "aggregate")
+CLASS_NAMES = ("background", "loose cell", "aggregate")
 EPSILON = 1e-6
 
 OUT_OF_RANGE = "n_out_of_range"

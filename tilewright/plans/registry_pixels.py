@@ -56,7 +56,7 @@ SQL_SCORES = """
 (CASE WHEN tp + fp + fn = 0 THEN 1e0 ELSE (CAST(tp AS DOUBLE) + 1e-6) / (CAST(tp AS DOUBLE) + fp + fn + 1e-6) END) AS iou"""
 
 SQL_CLASSES = """
-k AS (SELECT unnest(['background', 'loose_cell', 'aggregate', 'object']) AS class,
+k AS (SELECT unnest(['background', 'loose cell', 'aggregate', 'object']) AS class,
              unnest([[0], [1], [2], [1, 2]]) AS ids)"""
 
 
@@ -115,8 +115,8 @@ def confusion_object(spark, sf_dir):
 
 @query(
     f"""WITH {s.SQL_LINEITEM_PIXELS}
-SELECT gt, CASE gt WHEN 0 THEN 'background' WHEN 1 THEN 'loose_cell' ELSE 'aggregate' END AS truth,
-count(*) FILTER (pred = 0) AS background, count(*) FILTER (pred = 1) AS loose_cell,
+SELECT gt, CASE gt WHEN 0 THEN 'background' WHEN 1 THEN 'loose cell' ELSE 'aggregate' END AS truth,
+count(*) FILTER (pred = 0) AS background, count(*) FILTER (pred = 1) AS "loose cell",
 count(*) FILTER (pred = 2) AS aggregate FROM px GROUP BY gt"""
 )
 def confusion_table(spark, sf_dir):
@@ -141,7 +141,7 @@ def image_score_stats(spark, sf_dir):
 
 
 @query(
-    f"""WITH {s.SQL_LINEITEM_PIXELS}, c AS (SELECT unnest([0, 1, 2]) AS id, unnest(['background', 'loose_cell', 'aggregate']) AS class),
+    f"""WITH {s.SQL_LINEITEM_PIXELS}, c AS (SELECT unnest([0, 1, 2]) AS id, unnest(['background', 'loose cell', 'aggregate']) AS class),
 a AS (SELECT magnification, class, count(*) FILTER (gt = id AND pred = id) AS intersection,
              count(*) FILTER (pred = id) AS pred_area, count(*) FILTER (gt = id) AS gt_area FROM px, c GROUP BY 1, 2)
 SELECT *, (2e0 * intersection + 1e-6) / (pred_area + gt_area + 1e-6) AS dice,
@@ -158,7 +158,7 @@ def direct_scores(spark, sf_dir):
 
 @query(
     f"""WITH b AS (SELECT quality AS gt, 1 - toxic AS pred FROM labels),
-k AS (SELECT unnest([0, 1]) AS id, unnest(['background', 'loose_cell']) AS class),
+k AS (SELECT unnest([0, 1]) AS id, unnest(['background', 'loose cell']) AS class),
 c AS (SELECT class, count(*) FILTER (gt = id AND pred = id) AS tp, count(*) FILTER (gt <> id AND pred = id) AS fp,
              count(*) FILTER (gt = id AND pred <> id) AS fn FROM b, k GROUP BY 1)
 SELECT *, {SQL_SCORES} FROM c"""
@@ -945,7 +945,7 @@ def synthetic_blobs(spark, sf_dir):
 
 
 @query(
-    f"""{SQL_BLOBS}, c AS (SELECT unnest(['background', 'loose_cell', 'aggregate', 'object']) AS class, unnest([0, 1, 2, 3]) AS id),
+    f"""{SQL_BLOBS}, c AS (SELECT unnest(['background', 'loose cell', 'aggregate', 'object']) AS class, unnest([0, 1, 2, 3]) AS id),
 t AS (SELECT CAST(sum(c1) AS BIGINT) AS c1, CAST(sum(c2) AS BIGINT) AS c2, count(*) AS n_images FROM n)
 SELECT 'overall' AS "group", class, 1e0 AS dice, 1e0 AS iou, n_images FROM c, t"""
 )
