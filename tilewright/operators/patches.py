@@ -37,8 +37,8 @@ def candidate_origins(
     the row of their image and nothing is shuffled.
     """
     n = attempts or attempts_for(per_image)
-    room_y = F.greatest(F.col("height"), F.lit(patch)) - patch + 1
-    room_x = F.greatest(F.col("width"), F.lit(patch)) - patch + 1
+    room_y = F.col("height") + geometry.minimum_padding(F.col("height"), patch) - patch + 1
+    room_x = F.col("width") + geometry.minimum_padding(F.col("width"), patch) - patch + 1
 
     def draw(attempt):
         key = draw_key(seed, F.col("image_id"), attempt)
@@ -271,8 +271,3 @@ def build_patches(
         candidates, per_image=per_image, object_ratio=object_ratio, seed=seed
     )
     return crop_patches(pair_pixels(images, masks), selected, patch)
-
-
-def padded_size(size: str, patch: int):
-    """Column: side length after padding up to one patch."""
-    return F.col(size) + geometry.minimum_padding(F.col(size), patch)

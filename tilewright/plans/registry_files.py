@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import naming
-from tilewright.operators import annotation, catalogue, confusion, intensity, splits, training_log
+from tilewright.operators import annotation, catalogue, intensity, splits, training_log
 from tilewright.plans import evaluation, inference, onboarding, training_data
 from tilewright.plans import registry_pixels as px
 from tilewright.plans import registry_tables as tb

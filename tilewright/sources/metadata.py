@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,8 +164,3 @@ def write_metadata(
         .csv(target, header=True, emptyValue="")
     )
     return target
-
-
-def as_lines(columns: Iterable[str]):
-    """Columns joined by commas, for text output."""
-    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
