@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import simhash
+from tilewright.llm import packing, simhash
 from tilewright.session import ship_code
 
 
@@ -14,11 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; every worker has the same installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op9_simhash(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_best_two_fit(spark, sf_dir):
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def _ready(fn):
     """The query, with the package shipped to the workers first."""
 
@@ -30,5 +42,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op9_simhash,)}
+QUERIES = {f.__name__: _ready(f) for f in (op9_simhash, op10_best_two_fit)}
 ORACLES: dict[str, str] = {}
