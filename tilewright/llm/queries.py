@@ -6,7 +6,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import packing, simhash
+from tilewright.llm import huffman, packing, simhash
+from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
 
@@ -21,6 +22,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_huffman(spark, sf_dir):
+    """All documents' ids written as Huffman block files, and read back."""
+    folder = shared_folder(spark, "huffman")
+    return huffman.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder)
+
+
 def op9_simhash(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,5 +49,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op9_simhash, op10_best_two_fit)}
+QUERIES = {f.__name__: _ready(f) for f in (op8_huffman, op9_simhash, op10_best_two_fit)}
 ORACLES: dict[str, str] = {}
