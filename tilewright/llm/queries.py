@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import huffman, packing, simhash
+from tilewright.llm import huffman, hyperdim, packing, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -22,6 +22,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_hyperdimensional(spark, sf_dir):
+    """Language of all documents."""
+    return hyperdim.predict_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_huffman(spark, sf_dir):
     """All documents' ids written as Huffman block files, and read back."""
     folder = shared_folder(spark, "huffman")
@@ -49,5 +54,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op8_huffman, op9_simhash, op10_best_two_fit)}
+QUERIES = {f.__name__: _ready(f) for f in (op5_hyperdimensional, op8_huffman, op9_simhash, op10_best_two_fit)}
 ORACLES: dict[str, str] = {}
