@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -18,8 +19,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks and characters a worker remembers before it starts anew.
-MEMO_CHUNKS = 500_000
-MEMO_CHARS = 32_000_000
+MEMO_CHUNKS = 1_200_000
+MEMO_CHARS = 64_000_000
 #: Characters turned into ids at a time.
 SLICE_CHARS = 2_000_000
 #: Below this code point all Unicode versions agree on letters, case and composition.
@@ -36,6 +37,25 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: White space in runs, or other than a space or line end; then the plain split below is not certain.
+RUNS = re.compile("[^\\S \n]|\\s\\s|\0")
+SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+
+
+def spaced_chunks(text: str) -> list[str]:
+    """Words with the one space before them, and white space on its own."""
+    if RUNS.search(text):
+        return SPACED.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
+def bare_chunks(text: str) -> list[str]:
+    """What is between spaces, tabs and line ends; empty chunks have no ids."""
+    if "\t" in text or "\r" in text:
+        text = text.replace("\t", " ").replace("\r", " ")
+    return text.replace("\n", " ").split(" ")
+
+
 class Memo(dict):
     """Chunk to number; the ids of a number lie in ``flat[start:start + length]``."""
 
@@ -48,18 +68,17 @@ class Memo(dict):
     def forget(self) -> None:
         self.clear()
         self.chars = 0
-        self.flat, self.start, self.length = [], [], []
-        self.arrays = (np.zeros(0, np.int64),) * 3
-
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The three lists as arrays; only what is new is converted."""
-        self.arrays = tuple(
-            np.concatenate([a, np.array(new[len(a) :], dtype=np.int64)]) if len(new) > len(a) else a
-            for a, new in zip(self.arrays, (self.flat, self.start, self.length), strict=True)
-        )
-        return self.arrays
-
-    def ids(self, chunk: str) -> list[int]:
+        self.flat, self.start, self.length = array("i"), array("i"), array("i")
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these chunks, and where each chunk's end."""
+        # The views go before anything is added, which would move the memory under them.
+        flat, start, length = (np.frombuffer(a, np.int32) if a else np.zeros(0, np.int32) for a in (self.flat, self.start, self.length))
+        n = length[numbers]
+        ends = np.cumsum(n, dtype=np.int64)
+        return flat[np.repeat(start[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def ids(self, chunk: str) -> array:
         n = self[chunk]
         return self.flat[self.start[n] : self.start[n] + self.length[n]]
 
@@ -68,12 +87,14 @@ class Memo(dict):
         n = len(self.start)
         self.start.append(len(self.flat))
         self.length.append(len(ids))
-        self.flat += ids
+        self.flat.extend(ids)
         self.chars += len(chunk)
         self[chunk] = n
         return n
 
     def look_up(self, chunk: str) -> Sequence[int]:
+        if not chunk:
+            return ()
         word = chunk[1:] if self.spaced and chunk[0] == " " else chunk
         if word and max(word) < LATIN_END and "İ" not in word:
             if not self.spaced and (low := word.lower()) != word:
@@ -102,12 +123,12 @@ class Encoder:
         parts = pre.get("pretokenizers", [])
         self.memo, self.chunks = None, None
         if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and norm is None:
-            self.memo, self.chunks = Memo(self.tokenizer, True), re.compile(r" ?\S+|\s+(?!\S)|\s+")
+            self.memo, self.chunks = Memo(self.tokenizer, True), spaced_chunks
         elif (
             [p["type"] for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
             and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         ):
-            self.memo, self.chunks = Memo(self.tokenizer, False), re.compile(r"[^ \t\r\n]+")
+            self.memo, self.chunks = Memo(self.tokenizer, False), bare_chunks
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int64)
@@ -133,13 +154,9 @@ class Encoder:
         sure = [not UNSURE.search(t) and not any(s in t for s in self.special) for t in texts]
         numbers = [
             np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
-            for found in (self.chunks.findall(t) if ok else [] for t, ok in zip(texts, sure, strict=True))
+            for found in (self.chunks(t) if ok else [] for t, ok in zip(texts, sure, strict=True))
         ]
-        flat, start, length = memo.table()
-        at = np.concatenate([*numbers, np.zeros(0, np.int64)])
-        n = length[at]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids, ends = memo.gather(np.concatenate([*numbers, np.zeros(0, np.int64)]))
         chunk_ends = np.cumsum([len(x) for x in numbers], dtype=np.int64)
         stops = np.r_[0, ends][chunk_ends]
         begin = 0
