@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import huffman, hyperdim, packing, simhash
+from tilewright.llm import divergence, huffman, hyperdim, packing, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -22,6 +22,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_divergence(spark, sf_dir):
+    """Quality rules on all documents."""
+    return divergence.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op5_hyperdimensional(spark, sf_dir):
     """Language of all documents."""
     return hyperdim.predict_documents(table(spark, sf_dir, "documents"))
@@ -54,5 +59,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op5_hyperdimensional, op8_huffman, op9_simhash, op10_best_two_fit)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op5_hyperdimensional, op8_huffman, op9_simhash, op10_best_two_fit)}
+ORACLES: dict[str, str] = {"op2_divergence": divergence.ORACLE}
