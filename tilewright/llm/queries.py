@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import archives, divergence, huffman, hyperdim, packing, simhash
+from tilewright.llm import archives, divergence, extraction, huffman, hyperdim, packing, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -37,6 +37,11 @@ def op5_hyperdimensional(spark, sf_dir):
     return hyperdim.predict_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_tree_scoring(spark, sf_dir):
+    """Main text of all pages."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_huffman(spark, sf_dir):
     """All documents' ids written as Huffman block files, and read back."""
     folder = shared_folder(spark, "huffman")
@@ -64,5 +69,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op4_arc_to_warc, op5_hyperdimensional, op8_huffman, op9_simhash, op10_best_two_fit)}
+QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op8_huffman, op9_simhash, op10_best_two_fit)}
 ORACLES: dict[str, str] = {"op2_divergence": divergence.ORACLE, "op4_arc_to_warc": archives.ORACLE}
