@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import archives, divergence, extraction, huffman, hyperdim, packing, simhash
+from tilewright.llm import archives, divergence, extraction, findings, huffman, hyperdim, packing, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -27,6 +27,11 @@ def op2_divergence(spark, sf_dir):
     return divergence.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
+def op3_secrets(spark, sf_dir):
+    """Secret candidates of all documents, judged by the forest."""
+    return findings.report(table(spark, sf_dir, "documents"))
+
+
 def op4_arc_to_warc(spark, sf_dir):
     """All pages through legacy archives into WARC files, and read back."""
     return archives.archive_pages(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
@@ -69,5 +74,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op8_huffman, op9_simhash, op10_best_two_fit)}
+QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op3_secrets, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op8_huffman, op9_simhash, op10_best_two_fit)}
 ORACLES: dict[str, str] = {"op2_divergence": divergence.ORACLE, "op4_arc_to_warc": archives.ORACLE}
