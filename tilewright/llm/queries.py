@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import archives, divergence, extraction, findings, huffman, hyperdim, packing, simhash
+from tilewright.llm import archives, divergence, extraction, findings, huffman, hyperdim, mixing, packing, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -47,6 +47,11 @@ def op6_tree_scoring(spark, sf_dir):
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_pfair(spark, sf_dir):
+    """All documents' places in a mix of their sources."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op8_huffman(spark, sf_dir):
     """All documents' ids written as Huffman block files, and read back."""
     folder = shared_folder(spark, "huffman")
@@ -74,5 +79,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op3_secrets, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op8_huffman, op9_simhash, op10_best_two_fit)}
+QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op3_secrets, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op7_pfair, op8_huffman, op9_simhash, op10_best_two_fit)}
 ORACLES: dict[str, str] = {"op2_divergence": divergence.ORACLE, "op4_arc_to_warc": archives.ORACLE}
