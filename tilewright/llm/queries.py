@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import archives, divergence, extraction, findings, huffman, hyperdim, mixing, packing, simhash
+from tilewright.llm import archives, divergence, extraction, findings, huffman, hyperdim, mixing, multiindex, packing, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -22,6 +22,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multi_index(spark, sf_dir):
+    """Nearest neighbours of every twentieth vector among all."""
+    return multiindex.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_divergence(spark, sf_dir):
     """Quality rules on all documents."""
     return divergence.judge(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
@@ -79,5 +84,5 @@ def _ready(fn):
     return run
 
 
-QUERIES = {f.__name__: _ready(f) for f in (op2_divergence, op3_secrets, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op7_pfair, op8_huffman, op9_simhash, op10_best_two_fit)}
+QUERIES = {f.__name__: _ready(f) for f in (op1_multi_index, op2_divergence, op3_secrets, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op7_pfair, op8_huffman, op9_simhash, op10_best_two_fit)}
 ORACLES: dict[str, str] = {"op2_divergence": divergence.ORACLE, "op4_arc_to_warc": archives.ORACLE}
