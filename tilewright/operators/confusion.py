@@ -62,10 +62,27 @@ def _pair_codes(row: dict[str, Any]) -> np.ndarray:
 
 
 def align_blocks(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Put truth and prediction blocks of the same rectangle side by side."""
+    """Put truth and prediction blocks of the same rectangle side by side.
+
+    A block without a partner is an error: picture and mask differ in size, or one is missing.
+    """
     keys = ["image_id", "tile_y", "tile_x"]
-    return truth.select(*keys, F.col("data").alias("gt")).join(
-        predicted.select(*keys, F.col("data").alias("pred")), keys
+    both = truth.select(*keys, F.col("data").alias("gt")).join(
+        predicted.select(*keys, F.col("data").alias("pred")), keys, "full_outer"
+    )
+
+    def present(side: str, name: str):
+        message = F.concat(F.lit(f"no {name} block for "), F.concat_ws(" ", *keys))
+        return F.when(F.col(side).isNull(), F.raise_error(message).cast("binary")).otherwise(F.col(side))
+
+    return both.select(*keys, present("gt", "truth").alias("gt"), present("pred", "predicted").alias("pred"))
+
+
+def reject_out_of_range(wide: DataFrame) -> DataFrame:
+    """The same matrices; an image with labels outside the classes is an error."""
+    message = F.concat(F.lit("labels outside the classes in "), F.col("image_id"), F.lit(": "), F.col(OUT_OF_RANGE), F.lit(" pixels"))
+    return wide.withColumn(
+        OUT_OF_RANGE, F.when(F.col(OUT_OF_RANGE) > 0, F.raise_error(message).cast("bigint")).otherwise(F.col(OUT_OF_RANGE))
     )
 
 
@@ -211,16 +228,24 @@ def grains(per_image: DataFrame, num_classes: int) -> DataFrame:
     )
 
 
-def report(per_image: DataFrame, num_classes: int = 3) -> DataFrame:
-    """Flat report ``grain, group, class, tp, fp, fn, dice, iou, n_images``."""
-    named = grains(per_image, num_classes).withColumn(
+def named_grains(per_image: DataFrame, num_classes: int) -> DataFrame:
+    """``grains`` with one name per row in ``group``."""
+    return grains(per_image, num_classes).withColumn(
         "group",
         F.when(F.col("grain") == "overall", "overall")
         .when(F.col("grain") == "magnification", F.col("magnification"))
         .otherwise(F.col("image_id")),
     )
-    return class_scores(named, ["grain", "group", "n_images"], num_classes).select(
-        "grain", "group", "class", "tp", "fp", "fn", "dice", "iou", "n_images"
+
+
+def report(per_image: DataFrame, num_classes: int = 3) -> DataFrame:
+    """Flat report ``grain, group, class, tp, fp, fn, dice, iou, n_images, n_out_of_range``.
+
+    Pixels counted in ``n_out_of_range`` are in no cell and so in no score.
+    """
+    named = named_grains(per_image, num_classes)
+    return class_scores(named, ["grain", "group", "n_images", OUT_OF_RANGE], num_classes).select(
+        "grain", "group", "class", "tp", "fp", "fn", "dice", "iou", "n_images", OUT_OF_RANGE
     )
 
 

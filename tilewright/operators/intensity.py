@@ -34,11 +34,48 @@ def block_percentiles(blocks: DataFrame, low: float = 1, high: float = 99) -> Da
     return percentiles(label_counts(blocks), low=low, high=high)
 
 
+# Pixels whose values are counted at a time.
+STRIP_PIXELS = 1 << 20
+
+
+def _levels(image: np.ndarray) -> np.ndarray | None:
+    """How often each value occurs, for integer images of up to 16 bits; strip by strip."""
+    if image.dtype not in (np.uint8, np.uint16):
+        return None
+    counts = np.zeros(np.iinfo(image.dtype).max + 1, dtype=np.int64)
+    flat = image.reshape(-1)
+    for at in range(0, flat.size, STRIP_PIXELS):
+        counts += np.bincount(flat[at : at + STRIP_PIXELS], minlength=counts.size)
+    return counts
+
+
+def _limits(image: np.ndarray, low: float, high: float) -> tuple[float, float]:
+    """Percentiles with linear interpolation, off the value counts where there are any."""
+    counts = _levels(image)
+    if counts is None:
+        found = np.percentile(image, [low, high])
+        return float(found[0]), float(found[1])
+    reached = np.cumsum(counts)
+    out = []
+    for q in (low, high):
+        rank = q / 100 * (image.size - 1)
+        below, above = np.searchsorted(reached, [int(rank), min(int(rank) + 1, image.size - 1)], side="right")
+        out.append(float(below + (above - below) * (rank - int(rank))))
+    return out[0], out[1]
+
+
+def _unit(values: np.ndarray, low: float, high: float) -> np.ndarray:
+    """0 at ``low`` and 1 at ``high``, cut off beyond; all 0 if there is nothing between."""
+    span = high - low
+    place = (values - np.float64(low)) / span if span > 0 else np.zeros(values.shape)
+    return np.clip(place, 0, 1, out=place).astype(np.float32)
+
+
 def _scale(image: np.ndarray, low: float, high: float) -> np.ndarray:
-    if high <= low:
-        return np.zeros(image.shape, dtype=np.float32)
-    image = image.astype(np.float64)
-    return ((np.clip(image, low, high) - low) / (high - low)).astype(np.float32)
+    """Integer images are scaled by looking their values up, so no wide copy of them is made."""
+    if image.dtype in (np.uint8, np.uint16):
+        return _unit(np.arange(np.iinfo(image.dtype).max + 1), low, high)[image]
+    return _unit(image, low, high)
 
 
 def normalise_images(images: DataFrame, low: float = 1, high: float = 99) -> DataFrame:
@@ -49,8 +86,7 @@ def normalise_images(images: DataFrame, low: float = 1, high: float = 99) -> Dat
 
     def one(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
         image = pixels(row)
-        p_low, p_high = np.percentile(image.astype(np.float64), [low, high])
-        yield {"image_id": row["image_id"], **packed(_scale(image, p_low, p_high))}
+        yield {"image_id": row["image_id"], **packed(_scale(image, *_limits(image, low, high)))}
 
     return images.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(one, IMAGE_SCHEMA), IMAGE_SCHEMA)
 
@@ -99,16 +135,15 @@ def prepare_images(images: DataFrame, channels: str = "grayscale") -> DataFrame:
 
 
 def remap_masks(masks: DataFrame, mapping: dict[int, int] | None) -> DataFrame:
-    """Replace class ids in uint8 mask rows; ids without an entry stay."""
-    table = np.arange(256, dtype=np.uint8)
-    for source, target in (mapping or {}).items():
-        table[source] = target
+    """Replace class ids in uint8 mask rows; ids without an entry stay. Other number types are an
+    error, since their values would not fit."""
+    named = mapping or {}
+    table = bytes(named.get(value, value) for value in range(256))
 
     def one(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        mask = pixels(row)
-        if mask.ndim != 2:
-            raise ValueError(f"{row['image_id']}: a mask has one channel, got {mask.shape}")
-        yield {"image_id": row["image_id"], **packed(table[mask.astype(np.uint8)])}
+        if (row["channels"] or 1) != 1 or row["dtype"] != "uint8":
+            raise ValueError(f"{row['image_id']}: a mask is one channel of uint8, got {row['channels']} of {row['dtype']}")
+        yield {**row, "data": bytes(row["data"]).translate(table)}
 
     return masks.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(one, IMAGE_SCHEMA), IMAGE_SCHEMA)
 

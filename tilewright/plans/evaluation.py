@@ -12,19 +12,23 @@ from tilewright.plans.loading import load_split
 from tilewright.sources import synthetic
 
 
-def named_matrices(counted: DataFrame, num_classes: int) -> DataFrame:
-    """One wide matrix per image from ``image_id, gt, pred, n``, with its magnification."""
-    return confusion.count_pixels(counted, ["image_id"], num_classes, "n").withColumn(
+def named_matrices(counted: DataFrame, num_classes: int, allow_out_of_range: bool = False) -> DataFrame:
+    """One wide matrix per image from ``image_id, gt, pred, n``, with its magnification.
+
+    Labels outside the classes are an error unless they are allowed; then they are counted apart.
+    """
+    wide = confusion.count_pixels(counted, ["image_id"], num_classes, "n").withColumn(
         "magnification", naming.magnification(F.col("image_id"))
     )
+    return wide if allow_out_of_range else confusion.reject_out_of_range(wide)
 
 
 def per_image_matrices(
-    truth_blocks: DataFrame, predicted_blocks: DataFrame, num_classes: int
+    truth_blocks: DataFrame, predicted_blocks: DataFrame, num_classes: int, allow_out_of_range: bool = False
 ) -> DataFrame:
     """One wide confusion matrix per image from label blocks on the same grid."""
     counted = confusion.count_blocks(confusion.align_blocks(truth_blocks, predicted_blocks))
-    return named_matrices(counted, num_classes)
+    return named_matrices(counted, num_classes, allow_out_of_range)
 
 
 def evaluate_images(
@@ -35,6 +39,7 @@ def evaluate_images(
     tile: int,
     batch_size: int = 4,
     num_classes: int = 3,
+    allow_out_of_range: bool = False,
 ) -> DataFrame:
     """Per-image matrices for prepared images and remapped masks from two tables.
 
@@ -42,7 +47,7 @@ def evaluate_images(
     and only label blocks, one byte per pixel, are joined.
     """
     predicted = scoring.predict_labels(image_rows, predict, tile=tile, batch_size=batch_size)
-    return per_image_matrices(tiles.cut_blocks(mask_rows, tile), predicted, num_classes)
+    return per_image_matrices(tiles.cut_blocks(mask_rows, tile), predicted, num_classes, allow_out_of_range)
 
 
 def evaluate_pairs(
@@ -52,6 +57,7 @@ def evaluate_pairs(
     tile: int,
     batch_size: int = 4,
     num_classes: int = 3,
+    allow_out_of_range: bool = False,
 ) -> DataFrame:
     """Per-image matrices for rows that hold image and mask together.
 
@@ -59,7 +65,7 @@ def evaluate_pairs(
     that is shuffled.
     """
     counted = scoring.count_pairs(pairs, predict, tile=tile, batch_size=batch_size)
-    return named_matrices(counted, num_classes)
+    return named_matrices(counted, num_classes, allow_out_of_range)
 
 
 def evaluate_split(
@@ -76,6 +82,7 @@ def evaluate_split(
     batch_size: int = 4,
     num_classes: int = 3,
     normalise: bool = True,
+    allow_out_of_range: bool = False,
 ) -> DataFrame:
     """Per-image matrices of a split stored as files; a listed image without files is an error."""
     pictures, masks = load_split(
@@ -89,7 +96,13 @@ def evaluate_split(
         normalise=normalise,
     )
     return evaluate_images(
-        pictures, masks, predict, tile=tile, batch_size=batch_size, num_classes=num_classes
+        pictures,
+        masks,
+        predict,
+        tile=tile,
+        batch_size=batch_size,
+        num_classes=num_classes,
+        allow_out_of_range=allow_out_of_range,
     )
 
 

@@ -261,7 +261,7 @@ i AS ({px._sql_counts('p', 'magnification, image_id')}),
 g AS (SELECT CASE WHEN GROUPING(magnification) = 1 THEN 'overall' ELSE magnification END AS "group",
              class, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) AS n_images
       FROM i GROUP BY GROUPING SETS ((class), (class, magnification)))
-SELECT "group", class, {px.SQL_SCORES}, n_images FROM g"""
+SELECT "group", class, {px.SQL_SCORES}, n_images, CAST(0 AS BIGINT) AS n_out_of_range FROM g"""
 
 
 def _evaluated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,11 +294,9 @@ def _evaluated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluate_files(spark, sf_dir):
     """Files to report, through the stored metrics table."""
     out = scratch_path(spark, "evaluation")
-    per_image = _evaluated_files(spark, sf_dir)
-    per_image.write.parquet(f"{out}/per_image")
-    reports.write_evaluation(spark.read.parquet(f"{out}/per_image"), out)
+    reports.write_evaluation(_evaluated_files(spark, sf_dir), out)
     return spark.read.schema(
-        "group string, class string, dice double, iou double, n_images bigint"
+        "group string, class string, dice double, iou double, n_images bigint, n_out_of_range bigint"
     ).csv(f"{out}/metrics_csv", header=True)
 
 
@@ -337,10 +335,17 @@ def training_patches(spark, sf_dir):
 @query(
     f"""{px.SQL_REPORT}, sc AS (SELECT grain, "group", class, {px.SQL_SCORES}, n_images FROM g),
 pi AS (SELECT i.magnification, class, {px.SQL_SCORES} FROM i),
-st AS (SELECT magnification, avg(dice) AS m, stddev_pop(dice) AS d FROM pi WHERE class = 'object' GROUP BY 1)
-SELECT sc.grain, sc."group", n_images, max(dice) FILTER (class = 'background') AS dice_0, max(dice) FILTER (class = 'object') AS object_dice,
-       {s.sql_rounded('max(m)')} AS mean_object_dice, {s.sql_rounded('max(d)')} AS std_object_dice
-FROM sc LEFT JOIN st ON grain = 'magnification' AND "group" = magnification GROUP BY 1, 2, 3"""
+st AS (SELECT magnification, avg(dice) AS m, stddev_pop(dice) AS d FROM pi WHERE class = 'object' GROUP BY 1),
+cm AS (SELECT 'overall' AS grain, 'overall' AS "group", gt, pred FROM px UNION ALL SELECT 'magnification', magnification, gt, pred FROM px
+       UNION ALL SELECT 'image', image_id, gt, pred FROM px),
+mx AS (SELECT grain, "group", {', '.join(f'count(*) FILTER (gt = {g} AND pred = {p}) AS c_{g}_{p}' for g in range(3) for p in range(3))} FROM cm GROUP BY 1, 2)
+SELECT sc.grain, sc."group", n_images, max(dice) FILTER (class = 'background') AS dice_0, max(dice) FILTER (class = 'loose cell') AS dice_1,
+       max(dice) FILTER (class = 'aggregate') AS dice_2, max(dice) FILTER (class = 'object') AS object_dice,
+       {s.sql_rounded('max(m)')} AS mean_object_dice, {s.sql_rounded('max(d)')} AS std_object_dice,
+       {', '.join(f'any_value(c_{g}_{p}) AS c_{g}_{p}' for g in range(3) for p in range(3))},
+       any_value(c_0_0) AS o_0_0, any_value(c_0_1 + c_0_2) AS o_0_1, any_value(c_1_0 + c_2_0) AS o_1_0,
+       any_value(c_1_1 + c_1_2 + c_2_1 + c_2_2) AS o_1_1
+FROM sc JOIN mx USING (grain, "group") LEFT JOIN st ON sc.grain = 'magnification' AND sc."group" = st.magnification GROUP BY 1, 2, 3"""
 )
 def metrics_json(spark, sf_dir):
     """The nested report, written as JSON lines and read back."""
@@ -348,16 +353,19 @@ def metrics_json(spark, sf_dir):
     reports.write_evaluation(px._per_image(spark, sf_dir), out)
     schema = (
         "grain string, group string, dice array<double>, object_dice double, n_images bigint, "
+        "confusion_matrix array<array<bigint>>, confusion_matrix_object array<array<bigint>>, "
         "per_image struct<mean_object_dice: double, std_object_dice: double>"
     )
     return spark.read.schema(schema).json(f"{out}/metrics_json").select(
         "grain",
         "group",
         "n_images",
-        F.col("dice")[0].alias("dice_0"),
+        *[F.col("dice")[c].alias(f"dice_{c}") for c in range(3)],
         "object_dice",
         s.rounded(F.col("per_image.mean_object_dice")).alias("mean_object_dice"),
         s.rounded(F.col("per_image.std_object_dice")).alias("std_object_dice"),
+        *[F.col("confusion_matrix")[g][p].alias(f"c_{g}_{p}") for g in range(3) for p in range(3)],
+        *[F.col("confusion_matrix_object")[g][p].alias(f"o_{g}_{p}") for g in (0, 1) for p in (0, 1)],
     )
 
 

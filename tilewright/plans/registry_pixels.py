@@ -65,26 +65,41 @@ def _sql_counts(source: str, by: str) -> str:
     return f"""SELECT {by}, class,
        count(*) FILTER (list_contains(ids, gt) AND list_contains(ids, pred)) AS tp,
        count(*) FILTER (NOT list_contains(ids, gt) AND list_contains(ids, pred)) AS fp,
-       count(*) FILTER (list_contains(ids, gt) AND NOT list_contains(ids, pred)) AS fn
+       count(*) FILTER (list_contains(ids, gt) AND NOT list_contains(ids, pred)) AS fn,
+       count(*) FILTER (NOT (gt BETWEEN 0 AND 2 AND pred BETWEEN 0 AND 2)) AS oor
        FROM {source}, k GROUP BY {by}, class"""
 
 
-SQL_REPORT = f"""WITH {s.SQL_LINEITEM_PIXELS}, {SQL_CLASSES},
-i AS ({_sql_counts('px', 'magnification, image_id')}),
+def _sql_report(source: str, extra: str = "") -> str:
+    return f"""WITH {s.SQL_LINEITEM_PIXELS}, {extra}{SQL_CLASSES},
+i AS ({_sql_counts(source, 'magnification, image_id')}),
 g AS (SELECT CASE WHEN GROUPING(magnification) = 1 THEN 'overall' WHEN GROUPING(image_id) = 1 THEN 'magnification' ELSE 'image' END AS grain,
              CASE WHEN GROUPING(magnification) = 1 THEN 'overall' WHEN GROUPING(image_id) = 1 THEN magnification ELSE image_id END AS "group",
              class, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn,
-             count(*) AS n_images
+             CAST(sum(oor) AS BIGINT) AS n_out_of_range, count(*) AS n_images
       FROM i GROUP BY GROUPING SETS ((class), (class, magnification), (class, magnification, image_id)))"""
 
 
-@query(f"{SQL_REPORT} SELECT grain, \"group\", class, tp, fp, fn, {SQL_SCORES}, n_images FROM g")
+SQL_REPORT = _sql_report("px")
+
+
+@query(f"{SQL_REPORT} SELECT grain, \"group\", class, tp, fp, fn, {SQL_SCORES}, n_images, n_out_of_range FROM g")
 def seg_report(spark, sf_dir):
     """The report at three grains (flagship)."""
     return confusion.report(_per_image(spark, sf_dir))
 
 
-@query(f"{SQL_REPORT} SELECT \"group\", class, {SQL_SCORES}, n_images FROM g WHERE grain <> 'image'")
+@query(
+    f"{_sql_report('strange', 'strange AS (SELECT magnification, image_id, gt + 1 AS gt, pred FROM px), ')} "
+    f"SELECT grain, \"group\", class, tp, fp, fn, {SQL_SCORES}, n_images, n_out_of_range FROM g"
+)
+def strange_labels(spark, sf_dir):
+    """Masks that hold class 3: those pixels are in no score and are reported."""
+    pixels_ = s.lineitem_pixels(spark, sf_dir).withColumn("gt", F.col("gt") + 1)
+    return confusion.report(s.name_images(confusion.count_pixels(pixels_, ["image_key"], 3)))
+
+
+@query(f"{SQL_REPORT} SELECT \"group\", class, {SQL_SCORES}, n_images, n_out_of_range FROM g WHERE grain <> 'image'")
 def metrics_table(spark, sf_dir):
     """The flat table of the metrics file."""
     return reports.metrics_table(confusion.report(_per_image(spark, sf_dir)))
@@ -307,7 +322,7 @@ g AS (SELECT CASE WHEN GROUPING(magnification) = 1 THEN 'overall' WHEN GROUPING(
              class, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn,
              count(*) AS n_images
       FROM i GROUP BY GROUPING SETS ((class), (class, magnification), (class, magnification, image_id)))
-SELECT grain, "group", class, tp, fp, fn, {SQL_SCORES}, n_images FROM g"""
+SELECT grain, "group", class, tp, fp, fn, {SQL_SCORES}, n_images, CAST(0 AS BIGINT) AS n_out_of_range FROM g"""
 
 
 @query(SQL_EVALUATE)

@@ -27,8 +27,11 @@ def write_qc_report(report: DataFrame, folder: str) -> None:
 
 
 def metrics_table(report: DataFrame) -> DataFrame:
-    """The flat report without single images: ``group, class, dice, iou, n_images``."""
-    return report.filter("grain <> 'image'").select("group", "class", "dice", "iou", "n_images")
+    """The flat report without single images: ``group, class, dice, iou, n_images`` and
+    the pixels outside the classes."""
+    return report.filter("grain <> 'image'").select(
+        "group", "class", "dice", "iou", "n_images", confusion.OUT_OF_RANGE
+    )
 
 
 def matrix_table(wide: DataFrame, num_classes: int) -> DataFrame:
@@ -46,10 +49,18 @@ def matrix_table(wide: DataFrame, num_classes: int) -> DataFrame:
 def nested_metrics(per_image: DataFrame, num_classes: int = 3) -> DataFrame:
     """The report as JSON lines, one per overall, magnification and image: ``grain, group, json``.
 
-    Scores are arrays in class order. Magnifications also carry means and deviations over their
+    Scores are arrays in class order, matrices arrays of rows. Magnifications also carry means and deviations over their
     images. A document per group keeps the size of a row independent of the number of images.
     """
-    flat = confusion.report(per_image, num_classes)
+    by = ["grain", "group", "n_images", confusion.OUT_OF_RANGE, "matrix", "matrix_object"]
+    classes = range(num_classes)
+    named = confusion.object_matrix(confusion.named_grains(per_image, num_classes), num_classes).withColumns(
+        {
+            "matrix": F.array(*[F.array(*[F.col(confusion.cell(g, p)) for p in classes]) for g in classes]),
+            "matrix_object": F.array(*[F.array(F.col(f"o_{g}_0"), F.col(f"o_{g}_1")) for g in (0, 1)]),
+        }
+    )
+    flat = confusion.class_scores(named, by, num_classes)
     order = F.array(*[F.lit(confusion.class_name(c)) for c in range(num_classes)])
 
     def ordered(value: str):
@@ -59,7 +70,7 @@ def nested_metrics(per_image: DataFrame, num_classes: int = 3) -> DataFrame:
     stats = confusion.image_score_stats(per_image, num_classes)
     stat_names = ("mean_dice", "std_dice", "mean_iou", "std_iou")
     stat_rows = stats.groupBy("magnification").agg(*[ordered(s) for s in stat_names])
-    groups = flat.groupBy("grain", "group", "n_images").agg(ordered("dice"), ordered("iou"))
+    groups = flat.groupBy(*by).agg(ordered("dice"), ordered("iou"))
     joined = groups.join(
         stat_rows,
         (groups["grain"] == "magnification") & (groups["group"] == stat_rows["magnification"]),
@@ -88,6 +99,10 @@ def nested_metrics(per_image: DataFrame, num_classes: int = 3) -> DataFrame:
             of_object("_dice").alias("object_dice"),
             of_object("_iou").alias("object_iou"),
             "n_images",
+            confusion.OUT_OF_RANGE,
+            order.alias("class_names"),
+            F.col("matrix").alias("confusion_matrix"),
+            F.col("matrix_object").alias("confusion_matrix_object"),
             over_images.alias("per_image"),
         )
     )
@@ -95,7 +110,13 @@ def nested_metrics(per_image: DataFrame, num_classes: int = 3) -> DataFrame:
 
 
 def write_evaluation(per_image: DataFrame, folder: str, num_classes: int = 3) -> None:
-    """Four outputs under ``folder``: metrics_csv, metrics_json and the two matrices."""
+    """Outputs under ``folder``: per_image, metrics_csv, metrics_json and the two matrices.
+
+    The matrices per image are stored first and everything else is read off them, so a predictor
+    behind ``per_image`` runs once.
+    """
+    per_image.write.mode("overwrite").parquet(f"{folder}/per_image")
+    per_image = per_image.sparkSession.read.parquet(f"{folder}/per_image")
     flat = confusion.report(per_image, num_classes)
     metrics_table(flat).orderBy("group", "class").write.mode("overwrite").csv(
         f"{folder}/metrics_csv", header=True

@@ -39,11 +39,9 @@ def stripe_masks(sizes: DataFrame, labels: Sequence[int] = (0, 1, 2, 3)) -> Data
     """Mask image rows of stripes. ``sizes``: image_id, height, width."""
 
     def one(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        mask = np.zeros((row["height"], row["width"]), dtype=np.uint8)
-        for i, value in enumerate(labels):
-            start, stop = i * row["height"] // len(labels), (i + 1) * row["height"] // len(labels)
-            mask[start:stop] = value
-        yield {"image_id": row["image_id"], **packed(mask)}
+        line = np.arange(1, row["height"] + 1) * len(labels) - 1
+        of_line = np.asarray(labels, dtype=np.uint8)[line // row["height"]]
+        yield {"image_id": row["image_id"], **packed(np.repeat(of_line[:, np.newaxis], row["width"], axis=1))}
 
     return sizes.select("image_id", "height", "width").mapInArrow(
         flat_map(one, IMAGE_SCHEMA), IMAGE_SCHEMA
@@ -129,6 +127,11 @@ def draw_mixed_circles(names: DataFrame, *, height: int, width: int, seed: int)
     )
 
 
+# Lowest gray and width of the gray band, by class.
+GRAY_LOW, GRAY_WIDTH = np.array(
+    [(low, high - low) for low, high in (BAND_BACKGROUND, BAND_CELL, BAND_AGGREGATE)], dtype=np.float32
+).T
+
 PAIR_SCHEMA = T.StructType([*IMAGE_SCHEMA.fields, T.StructField("mask", T.BinaryType())])
 
 
@@ -140,10 +143,8 @@ def _paint(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
         x0, x1 = max(0, c["cx"] - c["radius"]), min(width, c["cx"] + c["radius"] + 1)
         dy, dx = np.ogrid[y0 - c["cy"] : y1 - c["cy"], x0 - c["cx"] : x1 - c["cx"]]
         mask[y0:y1, x0:x1][dy * dy + dx * dx <= c["radius"] ** 2] = c["label"]
-    noise = np.random.default_rng(row["noise_seed"])
-    raw = noise.integers(*BAND_BACKGROUND, size=mask.shape, dtype=np.uint8)
-    for label, band in ((1, BAND_CELL), (2, BAND_AGGREGATE)):
-        raw = np.where(mask == label, noise.integers(*band, size=mask.shape, dtype=np.uint8), raw)
+    drawn = np.random.default_rng(row["noise_seed"]).random(mask.shape, dtype=np.float32)
+    raw = (GRAY_LOW[mask] + drawn * GRAY_WIDTH[mask]).astype(np.uint8)
     yield {"image_id": row["image_id"], **packed(raw), "mask": mask.tobytes()}
 
 
