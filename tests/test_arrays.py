@@ -105,6 +105,16 @@ def test_assemble(image_rows, arrays):
     assert (got["a"] == image).all()
 
 
+def test_missing_blocks_are_an_error(spark, image_rows):
+    blocks = tiles.cut_blocks(image_rows({"a": np.ones((32, 32), np.uint8)}), 16)
+    sizes = spark.createDataFrame([("a", 32, 32)], "image_id string, height int, width int")
+    assert tiles.assemble_images(blocks, sizes).count() == 1
+    with pytest.raises(Exception, match="do not make up"):
+        tiles.assemble_images(blocks.filter("tile_y = 0 or tile_x = 0")).collect()
+    with pytest.raises(Exception, match="do not make up"):
+        tiles.assemble_images(blocks.filter("tile_y = 0"), sizes).collect()
+
+
 def brute_stitch(image, predict, tile, stride):
     """Canvas accumulation on one whole picture."""
     rows, top = tiles.axis_grid(image.shape[0], tile, stride)

@@ -157,7 +157,7 @@ def test_onboarding_and_evaluation(spark, tmp_path):
     assert all(r["dice"] == 1.0 and r["iou"] == 1.0 for r in flat)
     out = str(tmp_path / "out")
     reports.write_evaluation(per_image, out)
-    assert spark.read.csv(f"{out}/metrics_csv", header=True).columns == ["group", "class", "dice", "iou", "n_images"]
+    assert spark.read.csv(f"{out}/metrics_csv", header=True).columns == ["group", "class", "dice", "iou", "n_images", "n_out_of_range"]
     matrix = spark.read.csv(f"{out}/confusion_matrix", header=True, inferSchema=True).collect()
     assert [r["truth"] for r in matrix] == ["background", "loose cell", "aggregate"]
     assert sum(sum(r[1:]) for r in matrix) == 2 * 96 * 96
@@ -263,6 +263,82 @@ def test_incremental_catalogue(spark, tmp_path):
     assert got == {"first_4x.png": ("4x", "ctrl"), "second_10x.png": ("10x", ""), "third.png": ("", "")}
     again = {r["image"] for r in stream.ingest_new_images(spark, str(raw), table, mark).collect()}
     assert again == set(got)
+    # A hand edit between two runs stays, also for a stream with a new checkpoint folder.
+    edited = metadata.read_metadata_lenient(spark, metadata.latest_version(spark, table)).replace({"": "edited"}, subset=["condition"])
+    metadata.write_metadata(edited, table, mode="update")
+    before = metadata.versions(spark, table)
+    for checkpoint in (mark, str(tmp_path / "other mark")):
+        save(raw / f"{len(checkpoint)}_4x.png", np.zeros((2, 2), np.uint8))
+        got = {r["image"]: r["condition"] for r in stream.ingest_new_images(spark, str(raw), table, checkpoint).collect()}
+        assert got["second_10x.png"] == got["third.png"] == "edited" and f"{len(checkpoint)}_4x.png" in got
+    assert set(before) < set(metadata.versions(spark, table))
+
+
+def test_a_repeated_batch_keeps_later_edits(spark, tmp_path):
+    table, mark = str(tmp_path / "table"), str(tmp_path / "mark")
+    (tmp_path / "mark").mkdir()
+    (tmp_path / "mark" / "metadata").write_text('{"id": "q1"}')
+    batch = spark.createDataFrame([("/r/a_4x.png", "a_4x.png")], "path string, name string")
+    merge = stream._merge_batch(table, mark)
+    merge(batch, 0)
+    edit = spark.createDataFrame([("a_4x.png", "4x", "hand")], "image string, magnification string, condition string")
+    metadata.write_metadata(edit, table, mode="update")
+    merge(batch, 0)
+    rows = metadata.read_metadata_lenient(spark, metadata.latest_version(spark, table)).collect()
+    assert [tuple(r) for r in rows] == [("a_4x.png", "4x", "hand")]
+
+
+def zero_labels(batch):
+    return np.zeros(batch.shape[:3], np.uint8)
+
+
+def test_unequal_sizes_are_an_error(spark, image_rows):
+    picture, mask = image_rows({"a_4x": np.zeros((8, 16), np.uint8)}), image_rows({"a_4x": np.zeros((8, 8), np.uint8)})
+    for left, right in ((picture, mask), (mask, picture)):
+        with pytest.raises(Exception, match="block for a_4x|truth pixels"):
+            evaluation.evaluate_images(left, right, zero_labels, tile=8).collect()
+
+
+def test_labels_outside_the_classes(spark, image_rows, tmp_path):
+    picture, mask = image_rows({"a_4x": np.zeros((8, 8), np.uint8)}), image_rows({"a_4x": np.full((8, 8), 3, np.uint8)})
+    with pytest.raises(Exception, match="outside the classes"):
+        evaluation.evaluate_images(picture, mask, zero_labels, tile=8).collect()
+    wide = evaluation.evaluate_images(picture, mask, zero_labels, tile=8, allow_out_of_range=True)
+    assert {r["n_out_of_range"] for r in confusion.report(wide).collect()} == {64}
+    with pytest.raises(Exception, match="fit into a byte"):
+        evaluation.evaluate_images(picture, mask, lambda b: np.full(b.shape[:3], 256), tile=8, allow_out_of_range=True).collect()
+
+
+def test_the_predictor_runs_once_per_tile(spark, image_rows, tmp_path):
+    picture, mask = image_rows({"a_4x": np.zeros((8, 16), np.uint8)}), image_rows({"a_4x": np.zeros((8, 16), np.uint8)})
+    calls = tmp_path / "calls"
+
+    def counted(batch):
+        with calls.open("a") as out:
+            out.write("x" * len(batch))
+        return np.zeros(batch.shape[:3], np.uint8)
+
+    reports.write_evaluation(evaluation.evaluate_images(picture, mask, counted, tile=8), str(tmp_path / "out"))
+    assert calls.read_text() == "xx"
+    document = spark.read.json(f"{tmp_path}/out/metrics_json").filter("grain = 'overall'").head()
+    assert document["confusion_matrix"] == [[128, 0, 0], [0, 0, 0], [0, 0, 0]] and document["confusion_matrix_object"] == [[128, 0], [0, 0]]
+    assert document["class_names"] == ["background", "loose cell", "aggregate"]
+
+
+def test_deep_files_are_an_error_and_unlisted_ones_are_not_opened(spark, tmp_path):
+    raw, masks = str(tmp_path / "raw"), str(tmp_path / "masks")
+    save_tiff(spark, tmp_path / "raw" / "a_4x.tif", np.full((8, 8), 1100, np.uint16))
+    save(tmp_path / "raw" / "b_4x.png", np.zeros((8, 8), np.uint8))
+    (tmp_path / "raw" / "broken_4x.png").write_bytes(b"no picture")
+    for name in ("a_4x", "b_4x"):
+        save(tmp_path / "masks" / f"{name}.png", np.zeros((8, 8), np.uint8))
+    for name, text in (("train", "b_4x\n"), ("val", "a_4x\n"), ("test", "")):
+        (tmp_path / "lists").mkdir(exist_ok=True)
+        (tmp_path / "lists" / f"{name}.txt").write_text(text)
+    args = (spark, raw, masks, str(tmp_path / "lists"))
+    assert evaluation.evaluate_split(*args, "train", zero_labels, tile=8).head()["c_0_0"] == 64
+    with pytest.raises(ValueError, match="8 bits"):
+        evaluation.evaluate_split(*args, "val", zero_labels, tile=8)
 
 
 def test_split_membership_is_checked_on_reading(spark, tmp_path):

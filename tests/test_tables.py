@@ -98,7 +98,19 @@ def test_split_lists_round_trip(spark, tmp_path):
     assert back == {(r["split"], r["image_id"]) for r in assigned.collect()}
     with pytest.raises(FileExistsError):
         split_lists.write_splits(assigned, folder)
-    split_lists.write_splits(assigned, folder, force=True)
+    # What else is in the folder stays, and the older version too.
+    (tmp_path / "splits" / "notes.md").write_text("mine")
+    split_lists.write_splits(assigned.limit(10), folder, force=True)
+    assert (tmp_path / "splits" / "notes.md").read_text() == "mine" and (tmp_path / "splits" / "version=0").is_dir()
+    assert split_lists.read_splits(spark, folder).count() == 10
+
+
+def test_order_over_several_files(spark, tmp_path):
+    (tmp_path / "split=train").mkdir()
+    (tmp_path / "split=train" / "a.txt").write_text("a\n")
+    (tmp_path / "split=train" / "b.txt").write_text("".join(f"b{i}\n" for i in range(50)))
+    got = split_lists.read_split(spark, str(tmp_path), "train").orderBy("pos").collect()
+    assert [r["image_id"] for r in got] == ["a", *(f"b{i}" for i in range(50))]
 
 
 def test_empty_split_reads_as_empty(spark, tmp_path):

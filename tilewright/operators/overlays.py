@@ -9,6 +9,10 @@ from tilewright.functions import naming
 from tilewright.functions.pixels import error_category
 
 
+# Beyond this the rank filter is no longer pushed below the shuffle.
+MAX_OVERLAYS = 600
+
+
 def select_overlays(samples: DataFrame, k: int) -> DataFrame:
     """Up to ``k`` names: half 4x, half 10x, the rest filled up by name.
 
@@ -19,6 +23,8 @@ def select_overlays(samples: DataFrame, k: int) -> DataFrame:
     labels = [*naming.MAGNIFICATIONS, naming.UNKNOWN]
     if k <= 0:
         return samples.select("name", "magnification").limit(0)
+    if k > MAX_OVERLAYS:
+        raise ValueError(f"an overlay sheet holds at most {MAX_OVERLAYS} images, got {k}")
     half = k // 2
     by_name = Window.partitionBy("magnification").orderBy("name")
     near = (

@@ -39,13 +39,20 @@ from tilewright.operators.tiles import (
 Predictor = Callable[[np.ndarray], np.ndarray]
 
 
+def as_bytes(labels: np.ndarray) -> np.ndarray:
+    """Labels as uint8; one that does not fit is an error instead of another class."""
+    if labels.dtype != np.uint8 and labels.size and (labels.min() < 0 or labels.max() > 255):
+        raise ValueError(f"labels from {labels.min()} to {labels.max()} do not fit into a byte")
+    return labels.astype(np.uint8)
+
+
 def _scored(predict: Predictor, batch_size: int, as_labels: bool):
     arrow_schema = to_arrow_schema(TILE_SCHEMA)
 
     def flush(waiting: list[dict[str, Any]]) -> Iterator[dict[str, Any]]:
         result = _predicted(predict, [pixels(r) for r in waiting], 3 if as_labels else 4)
         for row, scored in zip(waiting, result, strict=True):
-            yield {**row, **packed(scored.astype(np.uint8) if as_labels else scored)}
+            yield {**row, **packed(as_bytes(scored) if as_labels else scored)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict[str, Any]]:
@@ -89,7 +96,7 @@ def _label_blocks(
         pieces = [strip[:, j * tile : (j + 1) * tile] for j in range(cols)]
         y0, y1 = max(0, i * tile - top), min(height, (i + 1) * tile - top)
         for at in range(0, cols, batch_size):
-            labels = _predicted(predict, pieces[at : at + batch_size], 3).astype(np.uint8)
+            labels = as_bytes(_predicted(predict, pieces[at : at + batch_size], 3))
             for j, tile_labels in enumerate(labels, start=at):
                 x0, x1 = max(0, j * tile - left), min(width, (j + 1) * tile - left)
                 shift_y, shift_x = top - i * tile, left - j * tile
@@ -182,7 +189,7 @@ def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
                     "tile_x": 0,
                     "y0": first - top,
                     "x0": 0,
-                    **packed(np.argmax(part, axis=-1).astype(np.uint8)),
+                    **packed(as_bytes(np.argmax(part, axis=-1))),
                 }
             band[: tile - stride], count[: tile - stride] = band[stride:].copy(), count[stride:].copy()
             band[tile - stride :], count[tile - stride :] = 0, 0

@@ -43,12 +43,3 @@ def salted_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner
     )
     return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
 
-
-# Names of at most this many files may be brought to the driver or broadcast.
-LISTED_FILES = 10_000
-
-
-def short_list(names: DataFrame) -> list[str] | None:
-    """The values of a one-column table, or None when there are more than ``LISTED_FILES``."""
-    found = names.take(LISTED_FILES + 1)
-    return [r[0] for r in found] if len(found) <= LISTED_FILES else None

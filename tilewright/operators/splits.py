@@ -127,14 +127,3 @@ def raise_on_leak(splits: DataFrame) -> None:
     first = split_leaks(splits).agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("name")).head()
     if first["n"]:
         raise ValueError(f"{first['n']} name(s) are in several splits, for example {first['name']}")
-
-
-def raise_on_size_change(assigned: DataFrame, stored: DataFrame) -> None:
-    """Compare rows per split between an assignment and what was read back."""
-    marked = assigned.select("split", F.lit(1).alias("d")).unionByName(
-        stored.select("split", F.lit(-1).alias("d"))
-    )
-    bad = marked.groupBy("split").agg(F.sum("d").alias("d")).filter("d <> 0")
-    names = [r["split"] for r in bad.take(len(SPLIT_NAMES))]
-    if names:
-        raise ValueError(f"stored splits differ in size: {sorted(names)}")

@@ -155,6 +155,10 @@ def _paste(key, table):
     blocks = list(iter_rows(iter(table.to_batches())))
     height = max(b["y0"] + b["height"] for b in blocks)
     width = max(b["x0"] + b["width"] for b in blocks)
+    whole = table.column("_whole")[0].as_py() if "_whole" in table.column_names else {"height": height, "width": width}
+    area = sum(b["height"] * b["width"] for b in blocks)
+    if whole is None or (whole["height"], whole["width"]) != (height, width) or area != height * width:
+        raise ValueError(f"{key[0].as_py()}: blocks of {area} pixels do not make up {whole or (height, width)}")
     first = pixels(blocks[0])
     canvas = np.zeros((height, width, *first.shape[2:]), dtype=first.dtype)
     for block in blocks:
@@ -165,9 +169,13 @@ def _paste(key, table):
     return pa.Table.from_batches(batched(iter([row]), schema), schema=schema)
 
 
-def assemble_images(blocks: DataFrame) -> DataFrame:
-    """Whole pictures again, for export to image files only.
+def assemble_images(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Whole pictures again, for export to image files only; a gap is an error.
 
-    A group is the blocks of one picture, so it is as large as the file that will be written.
+    ``sizes`` (image_id, height, width) says how large a picture is; without it, a picture ends
+    with its last blocks. A group is the blocks of one picture, so it is as large as the file that
+    will be written.
     """
+    if sizes is not None:
+        blocks = blocks.join(sizes.select("image_id", F.struct("height", "width").alias("_whole")), "image_id", "left")
     return blocks.groupBy("image_id").applyInArrow(_paste, IMAGE_SCHEMA)

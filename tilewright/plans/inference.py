@@ -43,11 +43,6 @@ def _as_bytes(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
     }
 
 
-def run_stamp() -> Any:
-    """Column: the UTC run stamp used in folder names."""
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyyMMdd_HHmmss")
-
-
 def predict_folder(
     spark: SparkSession,
     input_path: str,
@@ -68,6 +63,7 @@ def predict_folder(
     overlay per image.
     """
     images.require_images(images.scan_images(spark, input_path))
+    images.reject_deep(spark, input_path)
     pictures = images.readable(images.decode_images(spark, input_path))
     prepared = (
         intensity.prepare_images(pictures, channels)

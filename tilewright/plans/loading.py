@@ -36,12 +36,12 @@ def load_split(
     def chosen(files: DataFrame) -> DataFrame:
         return catalogue.one_file_per_stem(files.join(keep, "image_id", "left_semi"))
 
-    pictures = images.readable(images.decode_chosen(spark, raw_dir, chosen(raw_files)))
+    pictures = images.readable(images.decode_chosen(spark, chosen(raw_files)))
     if normalise:
         pictures = intensity.prepare_images(pictures, channels)
     else:
         pictures = intensity.convert_channels(pictures, channels)
     masks = images.one_channel(
-        images.readable(images.decode_chosen(spark, masks_dir, chosen(mask_files)))
+        images.readable(images.decode_chosen(spark, chosen(mask_files)))
     )
     return pictures, intensity.remap_masks(masks, class_mapping)

@@ -81,6 +81,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop_path).close()
+
+
 def child_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly under ``path``; used for version folders, never for data files."""
     jvm = spark.sparkContext._jvm

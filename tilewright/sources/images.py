@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from tilewright.functions import naming
 from tilewright.functions.blocks import IMAGE_SCHEMA, flat_map, iter_rows, packed, pixels
-from tilewright.operators.skew import short_list
 from tilewright.session import qualify
 
 # The supported extensions in any case, checked while listing.
@@ -192,19 +191,25 @@ def decode_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return decoded.mapInArrow(flat_map(one, DECODED_SCHEMA), DECODED_SCHEMA)
 
 
-def decode_chosen(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame:
-    """Image rows of the files in ``chosen`` (one ``path`` per row).
+def decode_chosen(spark: SparkSession, chosen: DataFrame) -> DataFrame:
+    """Image rows of the files in ``chosen`` (one ``path`` per row); nothing else is opened.
 
-    A short list is handed to the reader, so nothing else is opened. A long one becomes a
-    semi-join after decoding.
+    The image source takes its files as paths and keeps their listing on the driver, whatever
+    their number, so the paths go there in pieces and one way serves all counts. Files that hold
+    more than 8 bits are an error, since the source would cut them off.
     """
-    paths = chosen.select("path").distinct()
-    listed = short_list(paths)
-    if listed is None:
-        return decode_images(spark, path).join(paths, "path", "left_semi")
-    if not listed:
-        return decode_images(spark, path).limit(0)
-    return decode_images(spark, [as_pattern(p) for p in listed])
+    paths = [as_pattern(r["path"]) for r in chosen.select("path").distinct().toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], DECODED_SCHEMA)
+    reject_deep(spark, paths)
+    return decode_images(spark, paths)
+
+
+def reject_deep(spark: SparkSession, path: str | list[str]) -> None:
+    """An error if a readable file is not of 8 bits per channel."""
+    deep = scan_headers(spark, path).filter("dtype is not null and dtype <> 'uint8'").select("path", "dtype").head()
+    if deep:
+        raise ValueError(f"only 8 bits per channel can be decoded, {deep['path']} holds {deep['dtype']}")
 
 
 def as_pattern(path: str) -> str:

@@ -7,35 +7,44 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import naming
 from tilewright.operators import catalogue
+from tilewright.session import path_exists, touch
 from tilewright.sources import metadata
 from tilewright.sources.images import IMAGE_GLOB
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _merge_batch(folder: str):
+def _merge_batch(folder: str, checkpoint: str):
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = catalogue.metadata_rows(batch)
-        # A repeated batch must not merge with its own output, so it looks at older versions only.
-        older = [v for v in metadata.versions(spark, folder) if v <= batch_id]
-        if older:
+        mark = f"_batch-{query_id(spark, checkpoint)}-{batch_id}"
+        found = metadata.versions(spark, folder)
+        # A repeated batch must not merge with its own output, but with all that others wrote.
+        others = [v for v in found if not path_exists(spark, f"{folder}/{metadata.VERSION}{v}/{mark}")]
+        if others:
             existing = metadata.read_metadata_lenient(
-                spark, f"{folder}/{metadata.VERSION}{older[-1]}"
+                spark, f"{folder}/{metadata.VERSION}{others[-1]}"
             )
             merged = catalogue.merge_metadata(existing, fresh)
         else:
             merged = fresh.dropDuplicates(["image"])
-        metadata.write_metadata(merged, folder, mode="update", version=batch_id + 1)
+        written = metadata.write_metadata(merged, folder, mode="update")
+        touch(spark, f"{written}/{mark}")
 
     return merge
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps for a stream in its checkpoint folder."""
+    return spark.read.json(f"{checkpoint}/metadata").head()["id"]
+
+
 def ingest_new_images(spark: SparkSession, raw_dir: str, folder: str, checkpoint: str) -> DataFrame:
     """Merge the files that arrived since the last run, then return the current table.
 
-    Existing rows win. Version ``batch_id + 1`` is written per batch, so running a batch again
-    gives the same table; version 0 may hold a table made by hand.
+    Existing rows win, also those edited by hand between two runs. Each batch adds a version and
+    marks it as its own; run again, it merges with the newest version that is not its own.
     """
     arrivals = (
         spark.readStream.format("binaryFile")
@@ -47,7 +56,7 @@ def ingest_new_images(spark: SparkSession, raw_dir: str, folder: str, checkpoint
     query = (
         arrivals.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(_merge_batch(folder))
+        .foreachBatch(_merge_batch(folder, checkpoint))
         .start()
     )
     query.awaitTermination()
