@@ -349,3 +349,19 @@ def test_split_membership_is_checked_on_reading(spark, tmp_path):
         split_lists.read_splits(spark, str(tmp_path))
     assert split_lists.read_splits(spark, str(tmp_path), check=False).count() == 4
     assert splits.SPLIT_NAMES == ("train", "val", "test")
+
+
+def test_synthetic_pictures_stand_in(spark, tmp_path):
+    for name in ("raw", "masks"):
+        (tmp_path / name).mkdir()
+    args = (spark, str(tmp_path / "raw"), str(tmp_path / "masks"), str(tmp_path / "lists"), "test", synthetic.threshold_labels)
+    rows = confusion.report(evaluation.evaluate_or_synthetic(*args, tile=128)).filter("grain = 'overall'").collect()
+    assert rows and all(r["dice"] == 1.0 for r in rows)
+
+
+def test_any_white_space_is_trimmed(spark, tmp_path):
+    (tmp_path / "train.txt").write_text("\ta \n \t\n")
+    assert [r["image_id"] for r in split_lists.read_split(spark, str(tmp_path), "train").collect()] == ["a"]
+    (tmp_path / "m.csv").write_text("image,magnification,condition\nb_4x.png,4x\t,c\n")
+    rows, errors = metadata.read_metadata_strict(spark, str(tmp_path / "m.csv"))
+    assert errors.count() == 0 and rows.count() == 1

@@ -23,12 +23,6 @@ def grid_count(size: Column, tile: int, stride: int) -> Column:
     )
 
 
-def grid_padding(size: Column, tile: int, stride: int) -> Column:
-    """Total padding that lets the last overlapping tile fit."""
-    last = (grid_count(size, tile, stride) - 1) * stride
-    return F.greatest(last + tile - size, F.lit(0)).cast("int")
-
-
 def multiple_padding(size: Column, tile: int) -> Column:
     """Padding up to a multiple of the tile."""
     return F.pmod(-size, F.lit(tile)).cast("int")

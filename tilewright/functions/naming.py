@@ -44,4 +44,9 @@ def magnification(path: Column) -> Column:
 
 def condition_label(condition: Column) -> Column:
     """Trimmed condition; null and blank become ``unknown``."""
-    return F.coalesce(F.nullif(F.trim(condition), F.lit("")), F.lit(UNKNOWN))
+    return F.coalesce(F.nullif(strip(condition), F.lit("")), F.lit(UNKNOWN))
+
+
+def strip(value: Column | str) -> Column:
+    """``value`` without white space of any kind at its ends."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")

@@ -13,10 +13,6 @@ from tilewright.functions import naming
 from tilewright.operators.skew import salted_join
 
 
-def with_stem(files: DataFrame, path: str = "path", out: str = "image_id") -> DataFrame:
-    return files.withColumn(out, naming.stem(F.col(path)))
-
-
 def one_file_per_stem(files: DataFrame) -> DataFrame:
     """The last path in sort order per stem, and how many files shared it."""
     return files.groupBy("image_id").agg(
@@ -182,7 +178,7 @@ def stale_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def magnification_counts(rows: DataFrame) -> DataFrame:
-    label = F.coalesce(F.nullif(F.trim("magnification"), F.lit("")), F.lit("unspecified"))
+    label = F.coalesce(F.nullif(naming.strip("magnification"), F.lit("")), F.lit("unspecified"))
     return rows.groupBy(label.alias("magnification")).agg(F.count(F.lit(1)).alias("n"))
 
 

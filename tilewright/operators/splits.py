@@ -36,7 +36,7 @@ def strata_sizes(metadata: DataFrame, train: float, val: float) -> DataFrame:
         "magnification", naming.condition_label(F.col("condition")).alias("condition")
     ).agg(
         F.count(F.lit(1)).alias("n"),
-        F.bool_or(F.coalesce(F.trim("condition"), F.lit("")) != "").alias("named"),
+        F.bool_or(F.coalesce(naming.strip("condition"), F.lit("")) != "").alias("named"),
     )
     n_train, n_val = cut_sizes(F.col("n"), train, val)
     return (
@@ -109,7 +109,7 @@ def split_summary(assigned: DataFrame) -> DataFrame:
 
 def keep_first(lists: DataFrame) -> DataFrame:
     """Drop repeated names of a split list, keeping the first position and dropping blanks."""
-    trimmed = lists.withColumn("image_id", F.trim("image_id")).filter(F.col("image_id") != "")
+    trimmed = lists.withColumn("image_id", naming.strip("image_id")).filter(F.col("image_id") != "")
     return trimmed.groupBy("split", "image_id").agg(F.min("pos").alias("pos"))
 
 

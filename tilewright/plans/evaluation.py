@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import naming
-from tilewright.operators import confusion, scoring, tiles
+from tilewright.operators import catalogue, confusion, scoring, tiles
 from tilewright.operators.scoring import Predictor
 from tilewright.plans.loading import load_split
-from tilewright.sources import synthetic
+from tilewright.sources import images, synthetic
 
 
 def named_matrices(counted: DataFrame, num_classes: int, allow_out_of_range: bool = False) -> DataFrame:
@@ -123,3 +123,13 @@ def evaluate_synthetic(
         spark, split, n_images, height=height, width=width, seed=seed
     )
     return evaluate_pairs(pairs, predict, tile=tile, batch_size=batch_size)
+
+
+def evaluate_or_synthetic(
+    spark: SparkSession, raw_dir: str, masks_dir: str, splits_dir: str, split: str, predict: Predictor, *, tile: int, **options
+) -> DataFrame:
+    """``evaluate_split`` where there is any image with a mask, else the same on synthetic pictures."""
+    raw, masks = images.scan_images(spark, raw_dir), images.scan_images(spark, masks_dir)
+    if catalogue.has_pairs(raw, masks):
+        return evaluate_split(spark, raw_dir, masks_dir, splits_dir, split, predict, tile=tile, **options)
+    return evaluate_synthetic(spark, split, predict, tile=tile)

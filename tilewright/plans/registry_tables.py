@@ -413,14 +413,14 @@ def split_summary(spark, sf_dir):
 
 
 @query(
-    """WITH lists AS (SELECT lang AS split, source AS image_id FROM documents WHERE doc_id % 4 <> 0
+    """WITH lists AS (SELECT lang AS split, source AS image_id FROM documents
                      UNION ALL SELECT 'labels', 'src' || (doc_id % 40) FROM labels)
 SELECT image_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM lists
 GROUP BY 1 HAVING count(DISTINCT split) > 1"""
 )
 def split_leak(spark, sf_dir):
     """Names in several lists."""
-    docs = s.table(spark, sf_dir, "documents").filter("doc_id % 4 <> 0")
+    docs = s.table(spark, sf_dir, "documents")
     labels = s.table(spark, sf_dir, "labels")
     lists = docs.select(F.col("lang").alias("split"), F.col("source").alias("image_id")).unionByName(
         labels.select(

@@ -59,11 +59,11 @@ def read_metadata_strict(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     condition_at = header.index("condition") if "condition" in header else None
     needed = max(name_at, magnification_at, condition_at or 0, 1)
 
-    lines = numbered_lines(spark, path).filter((F.col("line_no") > 1) & (F.trim("value") != ""))
-    parts = F.split(F.trim("value"), ",")
+    lines = numbered_lines(spark, path).filter((F.col("line_no") > 1) & (naming.strip("value") != ""))
+    parts = F.split(naming.strip("value"), ",")
     rows = lines.select("file", "line_no", "value", parts.alias("_parts"))
     whole = F.size("_parts") > needed
-    cell = lambda at: F.trim(F.get("_parts", F.lit(at)))
+    cell = lambda at: naming.strip(F.get("_parts", F.lit(at)))
     parsed = rows.select(
         "file",
         "line_no",
@@ -71,7 +71,7 @@ def read_metadata_strict(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
         F.when(whole, cell(magnification_at)).alias("magnification"),
         (F.when(whole, cell(condition_at)) if condition_at is not None else F.lit(None).cast("string"))
         .alias("condition"),
-        F.when(~whole, F.concat(F.lit("malformed row: "), F.trim("value"))).alias("_short"),
+        F.when(~whole, F.concat(F.lit("malformed row: "), naming.strip("value"))).alias("_short"),
     )
     bad_value = ~F.col("magnification").isin(*naming.MAGNIFICATIONS)
     checked = parsed.withColumn(
@@ -119,7 +119,7 @@ def read_metadata_lenient(spark: SparkSession, path: str) -> DataFrame:
     """All named rows with trimmed values; any magnification is kept, so hand edits survive."""
     table = spark.read.csv(path, header=True, inferSchema=False)
     columns = {
-        name: F.trim(F.coalesce(F.col(name), F.lit(""))) if name in table.columns else F.lit("")
+        name: naming.strip(F.coalesce(F.col(name), F.lit(""))) if name in table.columns else F.lit("")
         for name in ("image", "magnification", "condition")
     }
     return table.select(*[c.alias(n) for n, c in columns.items()]).filter("image <> ''")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.functions import naming
 from tilewright.session import path_exists
 
 # Fixed value: where a run keeps its best artifact.
@@ -69,7 +70,7 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.csv(path, header=True, inferSchema=False)
     types = {"epoch": "int"}
     return raw.select(
-        *[F.trim(F.col(c)).cast(types.get(c.strip(), "double" if _is_number(c) else "string")).alias(c.strip()) for c in raw.columns]
+        *[naming.strip(F.col(c)).cast(types.get(c.strip(), "double" if _is_number(c) else "string")).alias(c.strip()) for c in raw.columns]
     )
 
 
