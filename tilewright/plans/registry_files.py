@@ -440,7 +440,8 @@ def training_log_long(spark, sf_dir):
 def artifact_files(spark, sf_dir):
     """Artifact files found under run folders, counted per config."""
     folder = scratch_path(spark, "runs")
-    stamp = F.concat(F.lit("20240101_"), F.lpad(F.col("s_suppkey").cast("string"), 19, "0"))
+    # A run's stamp is a date and six digits; larger numbers go on with the next date.
+    stamp = F.format_string("%08d_%06d", 20240101 + F.expr("s_suppkey div 1000000"), F.col("s_suppkey") % 1_000_000)
     files = s.table(spark, sf_dir, "supplier").select(
         F.concat(
             F.lit("seg-"), F.col("s_nationkey").cast("string"), F.lit("_"), stamp, F.lit("/" + runs.BEST_ARTIFACT)

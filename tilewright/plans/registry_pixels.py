@@ -64,8 +64,8 @@ def _sql_counts(source: str, by: str) -> str:
     """tp, fp, fn per class of ``source`` rows (gt, pred), grouped by ``by``."""
     return f"""SELECT {by}, class,
        count(*) FILTER (list_contains(ids, gt) AND list_contains(ids, pred)) AS tp,
-       count(*) FILTER (NOT list_contains(ids, gt) AND list_contains(ids, pred)) AS fp,
-       count(*) FILTER (list_contains(ids, gt) AND NOT list_contains(ids, pred)) AS fn,
+       count(*) FILTER (NOT list_contains(ids, gt) AND list_contains(ids, pred) AND gt BETWEEN 0 AND 2) AS fp,
+       count(*) FILTER (list_contains(ids, gt) AND NOT list_contains(ids, pred) AND pred BETWEEN 0 AND 2) AS fn,
        count(*) FILTER (NOT (gt BETWEEN 0 AND 2 AND pred BETWEEN 0 AND 2)) AS oor
        FROM {source}, k GROUP BY {by}, class"""
 

@@ -634,16 +634,17 @@ def batches_ordered(spark, sf_dir):
 
 @query(
     """WITH a AS (SELECT 'cfg-' || event_type AS config, ts AS modified,
-  '/runs/cfg-' || event_type || '_20240101_' || lpad(CAST(event_id AS VARCHAR), 19, '0') ||
+  '/runs/cfg-' || event_type || '_' || (20240101 + event_id // 1000000) || '_' || lpad(CAST(event_id % 1000000 AS VARCHAR), 6, '0') ||
   '/checkpoints/best_checkpoint.msgpack' AS path FROM events)
 SELECT config, arg_max(path, (modified, path)) AS path, max(modified) AS modified, count(*) AS n_runs FROM a GROUP BY 1"""
 )
 def newest_artifact(spark, sf_dir):
     """The newest artifact of every config."""
     config = F.concat(F.lit("cfg-"), "event_type")
-    stamp = F.lpad(F.col("event_id").cast("string"), 19, "0")
+    # A run's stamp is a date and six digits; larger numbers go on with the next date.
+    stamp = F.format_string("%08d_%06d", 20240101 + F.expr("event_id div 1000000"), F.col("event_id") % 1_000_000)
     listing = s.table(spark, sf_dir, "events").select(
-        F.concat(F.lit("/runs/"), config, F.lit("_20240101_"), stamp, F.lit("/" + runs.BEST_ARTIFACT)).alias("path"),
+        F.concat(F.lit("/runs/"), config, F.lit("_"), stamp, F.lit("/" + runs.BEST_ARTIFACT)).alias("path"),
         F.col("ts").alias("modified"),
     )
     return runs.newest_per_config(listing)
