@@ -63,7 +63,13 @@ def write_shared(uri: str, pieces: Iterator[bytes]) -> int:
         for piece in pieces:
             out.write(piece)
             total += len(piece)
-    fs.move(part, path)
+    try:
+        fs.move(part, path)
+    except OSError:
+        # Some stores do not replace a file. Then another attempt of this task was first, and wrote the same.
+        if not fs.get_file_info(path).is_file:
+            raise
+        fs.delete_file(part)
     return total
 
 

@@ -23,9 +23,11 @@ GRAM = 3
 UNKNOWN = "und"
 #: Letter vectors and runs that a worker remembers.
 KNOWN_LETTERS = 4096
-KNOWN_GRAMS = 40_000
+KNOWN_GRAMS = 16_384
 #: Documents compared at a time.
 BLOCK_DOCS = 64
+#: Runs whose vectors are multiplied at a time.
+STEP_GRAMS = 2048
 #: Prototypes are brought to the driver, one per language value; more values are an error.
 MAX_LANGUAGES = 1024
 #: Words are runs of letters; what is between them counts as one gap.
@@ -52,7 +54,7 @@ class Grams:
     def __init__(self, dimensions: int) -> None:
         self.dimensions = dimensions
         self.row: dict[int, int] = {}
-        self.matrix = np.zeros((256, dimensions), np.int8)
+        self.matrix = np.zeros((KNOWN_GRAMS, dimensions), np.int8)
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
         if len(self.row) + len(keys) > KNOWN_GRAMS:
@@ -62,14 +64,12 @@ class Grams:
             at = self.row.get(key)
             if at is None:
                 at = self.row[key] = len(self.row)
-                if at >= len(self.matrix):
-                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
                 self.matrix[at] = gram_vector("".join(chr(key >> s & 0x1FFFFF) for s in (42, 21, 0)), self.dimensions)
             out[i] = at
         return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def grams(dimensions: int) -> Grams:
     return Grams(dimensions)
 
@@ -99,11 +99,11 @@ def bundles(texts: list[str | None], dimensions: int, sizes: np.ndarray | None =
             continue
         owner = np.repeat(np.arange(len(counted)), [len(k) for k, _ in counted])
         # In steps, so that neither the counts nor the vectors of many rare runs are all in memory.
-        for a in range(0, len(keys), 4096):
-            here = (inverse >= a) & (inverse < a + 4096)
-            counts = np.zeros((len(counted), min(4096, len(keys) - a)), np.float32)
+        for a in range(0, len(keys), STEP_GRAMS):
+            here = (inverse >= a) & (inverse < a + STEP_GRAMS)
+            counts = np.zeros((len(counted), min(STEP_GRAMS, len(keys) - a)), np.float32)
             counts[owner[here], inverse[here] - a] = np.concatenate([c for _, c in counted])[here]
-            rows = known.rows(keys[a : a + 4096])
+            rows = known.rows(keys[a : a + STEP_GRAMS])
             vectors = known.matrix[rows].astype(np.float32)
             # Sums below 2 ** 24 are exact in single precision; longer texts are summed in double.
             exact = counts.sum() < 1 << 24

@@ -19,8 +19,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks and characters a worker remembers before it starts anew.
-MEMO_CHUNKS = 1_200_000
-MEMO_CHARS = 64_000_000
+MEMO_CHUNKS = 700_000
+MEMO_CHARS = 32_000_000
 #: Characters turned into ids at a time.
 SLICE_CHARS = 2_000_000
 #: Below this code point all Unicode versions agree on letters, case and composition.
