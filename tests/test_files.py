@@ -365,3 +365,12 @@ def test_any_white_space_is_trimmed(spark, tmp_path):
     (tmp_path / "m.csv").write_text("image,magnification,condition\nb_4x.png,4x\t,c\n")
     rows, errors = metadata.read_metadata_strict(spark, str(tmp_path / "m.csv"))
     assert errors.count() == 0 and rows.count() == 1
+
+
+def test_files_of_one_folder_have_one_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("image,magnification\na_4x.png,4x\n")
+    (tmp_path / "b.csv").write_text("image, magnification\nb_4x.png,4x\n")
+    assert metadata.read_metadata_strict(spark, str(tmp_path))[0].count() == 2
+    (tmp_path / "c.csv").write_text("magnification,image\n4x,c_4x.png\n")
+    with pytest.raises(ValueError, match="header"):
+        metadata.read_metadata_strict(spark, str(tmp_path))

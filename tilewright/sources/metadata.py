@@ -59,7 +59,12 @@ def read_metadata_strict(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     condition_at = header.index("condition") if "condition" in header else None
     needed = max(name_at, magnification_at, condition_at or 0, 1)
 
-    lines = numbered_lines(spark, path).filter((F.col("line_no") > 1) & (naming.strip("value") != ""))
+    numbered = numbered_lines(spark, path)
+    own = F.transform(F.split("value", ","), naming.strip)
+    other = numbered.filter((F.col("line_no") == 1) & (own != F.array(*map(F.lit, header)))).select("file", "value").head()
+    if other:
+        raise ValueError(f"{other['file']} has the header {other['value']!r}, another file has {header}")
+    lines = numbered.filter((F.col("line_no") > 1) & (naming.strip("value") != ""))
     parts = F.split(naming.strip("value"), ",")
     rows = lines.select("file", "line_no", "value", parts.alias("_parts"))
     whole = F.size("_parts") > needed
