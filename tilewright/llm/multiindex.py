@@ -29,6 +29,8 @@ TUNE_QUERIES = 200
 TARGET_RECALL = 0.97
 #: Centroids per half: about the fourth root of the rows, so cells and rows per cell grow alike.
 MIN_CENTROIDS, MAX_CENTROIDS = 4, 256
+#: A query's first cells hold this many times the answer; what they give bounds the others.
+FIRST_TIMES = 50
 #: Vectors, and queries, of a cell that are compared at a time.
 BLOCK = 4096
 
@@ -162,25 +164,31 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
             ids, vs = batch.column("id").to_pylist(), batch.column("v").to_pylist()
             for i, v in zip(ids, vs, strict=True):
                 found = traverse(np.array(v), known, n, enough)
+                first = 1 + int(np.searchsorted(np.cumsum(n[found]), FIRST_TIMES * top))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int64()), pa.array([v], pa.list_(pa.float64())), pa.array([found], pa.list_(pa.int32()))], names=["id", "v", "cells"]
+                    [pa.array([i], pa.int64()), pa.array([v], pa.list_(pa.float64())), pa.array([found], pa.list_(pa.int32())), pa.array([first], pa.int32())],
+                    names=["id", "v", "cells", "n_first"],
                 )
 
     # Cells with many vectors are cut into blocks; queries go to every block of their cells.
     by_cell = spark.createDataFrame([(c, n) for c, n in pieces.items()], "cell int, pieces int")
-    probed = queries.mapInArrow(probe, "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
-    probed = probed.join(F.broadcast(by_cell), "cell").select(
-        "id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
-    )
+    asked = cut(queries.mapInArrow(probe, "id long, v array<double>, cells array<int>, n_first int"))
     blocks = indexed.join(F.broadcast(by_cell), "cell").select(
         "v", "ids", "cell", F.when(F.lit(most) == 1, 0).otherwise(F.pmod(F.xxhash64("v"), F.col("pieces")).cast("int")).alias("piece")
     )
     place = ["cell", "piece"]
     # A block of one cell holds about BLOCK vectors; queries come to it in lots of the same size.
     packed = blocks.groupBy(*place).agg(F.collect_list(F.struct("v", "ids")).alias("held"))
-    lots = probed.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(max(1, queries.count() // BLOCK)))).groupBy(*place, "lot").agg(
-        F.collect_list(F.struct("id", "v")).alias("asking")
-    )
+    n_lots = max(1, asked.count() // BLOCK)
+
+    def ranked(asking: DataFrame) -> DataFrame:
+        """Candidates of ``asking(id, v, cells, least)`` that score ``least`` or more."""
+        probed = asking.select("id", "v", "least", F.explode("cells").alias("cell")).join(F.broadcast(by_cell), "cell")
+        probed = probed.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        lots = probed.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(n_lots))).groupBy(*place, "lot").agg(
+            F.collect_list(F.struct("id", "v", "least")).alias("asking")
+        )
+        return lots.join(packed, place).select("held", "asking").mapInArrow(rank, "query_id long, vec_id long, score double")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,19 +201,27 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
                     # One plain sum per pair, so that a score does not depend on its block.
                     near = np.einsum("qd,xd->qx", np.array([p["v"] for p in part]), x)
                     keep = min(top + 1, len(x))
-                    least = np.partition(near, -keep, axis=1)[:, -keep]
+                    best_here = np.partition(near, -keep, axis=1)[:, -keep]
                     for i, p in enumerate(part):
-                        good = np.flatnonzero(near[i] >= least[i])
+                        least = best_here[i] if p["least"] is None else max(best_here[i], p["least"])
+                        good = np.flatnonzero(near[i] >= least)
                         rows_ = sorted(((-near[i, j], c) for j in good for c in held[j]["ids"] if c != p["id"]))[:top]
                         q += [p["id"]] * len(rows_)
                         s += [-n for n, _ in rows_]
                         v += [c for _, c in rows_]
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = lots.join(packed, place).select("held", "asking").mapInArrow(rank, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # The first cells of each query give a score that others must reach, so few of those come out.
+    first = cut(ranked(asked.select("id", "v", F.slice("cells", F.lit(1), F.col("n_first")).alias("cells"), F.lit(None).cast("double").alias("least"))))
+    reached = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == top)
+    others = asked.filter(F.size("cells") > F.col("n_first")).select(
+        "id", "v", F.slice("cells", F.col("n_first") + 1, F.size("cells")).alias("cells")
+    )
+    bounded = others.join(reached.select(F.col("query_id").alias("id"), F.col("score").alias("least")), "id", "left")
     return (
-        found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        first.union(ranked(bounded))
+        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
         .select("query_id", "rank", "vec_id", "score")
     )
