@@ -24,11 +24,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as the cluster has cores, for costly per-row work."""
-    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared storage, as a URI."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -80,14 +75,16 @@ def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     )
 
 
-def rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+#: Rows of texts that are Python objects at a time.
+SMALL_ROWS = 1024
 
 
-def out_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema
-    )
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``SMALL_ROWS``, and memory given back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SMALL_ROWS):
+            yield batch.slice(at, SMALL_ROWS)
+    pa.default_memory_pool().release_unused()
 
 
 def one_per_key(df: DataFrame, key: str) -> DataFrame:

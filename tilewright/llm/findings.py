@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut
+from tilewright.llm.common import cut, small
 
 CANDIDATE = re.compile(r"(?=[A-Za-z_+/.@~\-]*[0-9])[A-Za-z0-9_+/.@~\-]{12,}={0,2}")
 ASSIGNED = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,63})[ \t]*[=:][ \t]*[\"']?$")
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, language: Language) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc_id, key, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "path")), strict=True):
                 for m in CANDIDATE.finditer(text or ""):

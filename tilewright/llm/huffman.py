@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut, drop_folder, read_files, shared_folder, write_shared
+from tilewright.llm.common import cut, drop_folder, read_files, shared_folder, small, write_shared
 from tilewright.llm.tokens import encoder
 
 MAGIC = b"HUFIDS01"
@@ -212,7 +212,7 @@ def _tokenise(path: str, end_id: int, kind: str, segment_ids: int):
                 schema=schema,
             )
 
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
                 tokens = np.append(ids, end_id).astype(kind)

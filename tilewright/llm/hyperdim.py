@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.common import small
+
 DIMENSIONS = 2048
 GRAM = 3
 UNKNOWN = "und"
@@ -119,7 +121,7 @@ def learn(docs: DataFrame, *, dimensions: int = DIMENSIONS) -> dict[str, np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             texts = np.array(batch.column("text").to_pylist(), dtype=object)
             for lang in set(langs.tolist()):
@@ -155,7 +157,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(text).to_pylist()
             pred, score, margin, length = [], [], [], []
             for s in range(0, len(texts), 1024):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut
+from tilewright.llm.common import cut, small
 from tilewright.llm.tokens import encoder
 
 LIMIT = 2048
@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in columns.split(", ")]
             texts = batch.column("text").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):

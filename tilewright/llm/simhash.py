@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import components, cut
+from tilewright.llm.common import components, cut, small
 from tilewright.operators.skew import salted_join
 
 SHINGLE = 3
@@ -48,7 +48,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         fps = [fingerprint(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64())], schema=FP_SCHEMA
