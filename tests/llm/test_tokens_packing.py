@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tilewright.llm import packing, tokens
+from tilewright.llm import mixing, packing, tokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -115,3 +115,30 @@ def test_pack_empty_and_groups(spark):
     parts = spark.createDataFrame([(i, 1 + i % 50) for i in range(1000)], "doc_id long, length long")
     got = packing.pack(parts, limit=50, group_pieces=100).collect()
     assert len(got) == 1000 and len({(r.sequence_id, r.offset) for r in got}) == 1000
+
+
+def test_sequences_follow_the_mix(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["alpha"] * rng.randint(20, 200)), "aaaabbbccc"[i % 10]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    weights = {"a": 5.0, "b": 3.0, "c": 2.0}
+    got = packing.pack_mixed(docs, WORD, limit=256, group_pieces=500, weights=weights, block_chars=5000).collect()
+    assert sorted(r.doc_id for r in got if r.piece == 0) == list(range(4000))
+    order = {r.doc_id: r for r in mixing.report(docs, weights=weights, block_chars=5000).collect()}
+    # Groups are contiguous in the mix, and their numbers follow it.
+    groups = {}
+    for r in got:
+        groups.setdefault(r.sequence_id >> 32, []).append((order[r.doc_id].slot, order[r.doc_id]["at"]))
+    assert len(groups) == 8 and all(len(groups[g]) == 500 for g in range(7))
+    assert all(max(groups[g]) <= min(groups[g + 1]) for g in range(7))
+    # While all sources last, every run of sequences has the target shares, not only every group.
+    first = min(r.slot for r in order.values() if r.phase > 0)
+    tokens = {}
+    for r in got:
+        if max(s for s, _ in groups[r.sequence_id >> 32]) < first:
+            held = tokens.setdefault((r.sequence_id >> 32, (r.sequence_id & 0xFFFFFFFF) // 125), dict.fromkeys("abc", 0))
+            held[order[r.doc_id].source] += r.length
+    runs = [t for t in tokens.values() if sum(t.values()) > 25_000]
+    assert len(runs) > 3
+    for held in runs:
+        assert all(abs(held[s] / sum(held.values()) - w / 10) < 0.15 for s, w in weights.items())

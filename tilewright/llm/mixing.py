@@ -29,6 +29,7 @@ POWER = 0.5
 MAX_SOURCES = 500
 #: A source is ordered in chunks, so that a large one is never sorted in one task.
 CHUNKS = 256
+ADDED = ("phase", "block", "release", "deadline", "slot", "at")
 
 
 class Slot(NamedTuple):
@@ -137,17 +138,17 @@ def _key(docs: DataFrame) -> Column:
     return F.xxhash64(F.lit(29), "doc_id", "text")
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` and what the mix takes from a text: ``_key`` and ``_size``."""
+    return docs.withColumns({"_key": _key(docs), "_size": F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long")})
+
+
 def numbered(docs: DataFrame, block_chars: int) -> DataFrame:
-    """``docs`` and ``_name`` (source, null as its own), ``_block`` from 0 and ``_at`` within the source.
+    """Measured ``docs`` and ``_name`` (source, null as its own), ``_block`` from 0 and ``_at`` within the source.
 
     Running sums go chunk by chunk: only chunk totals of a source come together.
     """
-    keyed = docs.withColumns(
-        {
-            "_name": F.struct(F.col("source").cast("string").alias("source")), "_key": _key(docs),
-            "_size": F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long"),
-        }
-    ).withColumn("_chunk", F.pmod(F.shiftright("_key", 40), F.lit(CHUNKS)))
+    keyed = docs.withColumn("_name", F.struct(F.col("source").cast("string").alias("source"))).withColumn("_chunk", F.pmod(F.shiftright("_key", 40), F.lit(CHUNKS)))
     totals = keyed.groupBy("_name", "_chunk").agg(F.sum("_size").alias("_sum"))
     before = Window.partitionBy("_name").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_name", "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
@@ -158,7 +159,7 @@ def numbered(docs: DataFrame, block_chars: int) -> DataFrame:
 
 
 def plan(docs: DataFrame, *, weights: dict[str | None, float] | None, block_chars: int, period: int) -> tuple[list[str | None], list[Phase]]:
-    sizes = docs.groupBy("source").agg(F.sum(F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))).alias("n"))
+    sizes = (docs if "_size" in docs.columns else measured(docs)).groupBy("source").agg(F.sum("_size").alias("n"))
     found = sizes.select(F.col("source").cast("string"), "n").limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -185,9 +186,15 @@ def mix(
     empty text counts one character. Ties and repeated rows: ordered by hash, then id. Empty table:
     empty result. Columns of the same names are replaced.
     """
+    docs = docs.drop(*ADDED)
+    return place(measured(docs), weights=weights, block_chars=block_chars, period=period).select(*docs.columns, *ADDED)
+
+
+def place(
+    docs: DataFrame, *, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD
+) -> DataFrame:
+    """``mix`` of measured rows, which need ``doc_id`` and ``source`` but no text."""
     spark = docs.sparkSession
-    added = ("phase", "block", "release", "deadline", "slot", "at")
-    docs = docs.drop(*added)
     names, found = plan(docs, weights=weights, block_chars=block_chars, period=period)
     # Fixed size: at most a period of slots for each of at most MAX_SOURCES phases.
     starts = [(p.number, names[i], p.used[i], p.shares[i], p.first_slot, len(p.order)) for p in found for i in p.shares]

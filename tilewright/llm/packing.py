@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.llm import mixing
 from tilewright.llm.common import cut, small
 from tilewright.llm.tokens import encoder
 
@@ -19,6 +20,8 @@ END_ID = 0
 #: Pieces packed together in one group. A group leaves at most a few sequences part-filled.
 GROUP_PIECES = 32_768
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Slots whose pieces are counted together before running sums are taken.
+SLOT_CHUNK = 1024
 
 
 def pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
@@ -50,6 +53,35 @@ def pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIM
     return narrow.mapInArrow(run, columns)
 
 
+def measured_pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT) -> DataFrame:
+    """One row per document of ``docs(doc_id, text, source)``: ``doc_id``, what ``mixing.place`` needs, and its ``pieces``."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["piece", "start", "length", "ids_crc32"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode
+        for batch in small(batches):
+            ends, out = [0], [[] for _ in names]
+            for ids in encode(batch.column("text").to_pylist()):
+                tokens = np.append(ids, end_id).astype("<u4")
+                for n, s in enumerate(range(0, len(tokens), limit)):
+                    part = tokens[s : s + limit]
+                    for column, value in zip(out, (n, s, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        column.append(value)
+                ends.append(len(out[0]))
+            held = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+            kept = ["doc_id", "source", "_key", "_size"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), held], names=[*kept, "pieces"])
+
+    narrow = mixing.measured(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "_key", "_size", F.col("text").cast("string").alias("text")
+    )
+    return narrow.mapInArrow(
+        run, "doc_id long, source string, _key long, _size long, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>"
+    )
+
+
 class Pool:
     """Unpacked items by length; a bit per length that still has items."""
 
@@ -117,36 +149,78 @@ def best_two_fit(lengths: np.ndarray, limit: int = LIMIT) -> list[list[int]]:
     return bins
 
 
-def pack(parts: DataFrame, *, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def positions(parts: DataFrame) -> DataFrame:
+    """``parts(slot, at, doc_id, piece)`` and ``_at``, their number in that order from 0.
+
+    Rows of a slot are few (about a block of characters); before them only counts per slot and
+    per ``SLOT_CHUNK`` slots are added up.
+    """
+    counts = parts.groupBy("slot").agg(F.count("*").alias("_n")).withColumn("_chunk", F.expr(f"slot div {SLOT_CHUNK}"))
+    totals = counts.groupBy("_chunk").agg(F.sum("_n").alias("_sum"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_chunk", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_chunk"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("_chunk").orderBy("slot"))), F.lit(0))
+    first = counts.withColumn("_inside", inside).join(starts, "_chunk").select("slot", (F.col("_before") + F.col("_inside")).alias("_first"))
+    own = Window.partitionBy("slot").orderBy("at", "doc_id", "piece", "ids_crc32")
+    return parts.withColumn("_own", F.row_number().over(own) - 1).join(first, "slot").withColumn("_at", F.col("_first") + F.col("_own")).drop("_own", "_first")
+
+
+def pack(parts: DataFrame, *, limit: int = LIMIT, group_pieces: int = GROUP_PIECES, in_order: bool = False) -> DataFrame:
     """``parts`` (with ``length``) and their ``sequence_id`` and gapless ``offset``.
 
     Rows are dealt by number to groups of about ``group_pieces``, whatever they hold, and each
     group is packed on its own; its rows are lengths, not tokens. Repeated rows are packed each.
     Nulls: ``length`` must not be null; other columns may be. Empty table: empty result. Columns
     of the names ``sequence_id`` and ``offset`` are replaced.
+
+    ``in_order``: parts have ``slot`` and ``at`` of a mix, which go. Groups are then contiguous
+    ranges of that order, of exactly ``group_pieces`` but for the last, and ``sequence_id`` follows
+    it: by group, and inside a group by the place of the longest piece of each sequence.
     """
     parts = cut(parts.drop("sequence_id", "offset"))
-    groups = max(1, math.ceil(parts.count() / group_pieces))
-    # The stored table has one fixed order, so the numbers are the same when a task runs again.
-    dealt = parts.withColumn("_at", F.monotonically_increasing_id()).withColumn(
-        "_group", F.pmod(F.xxhash64("_at"), F.lit(groups))
-    )
-    names = parts.columns
+    if in_order:
+        dealt = positions(parts).withColumn("_group", F.expr(f"_at div {group_pieces}"))
+    else:
+        groups = max(1, math.ceil(parts.count() / group_pieces))
+        # The stored table has one fixed order, so the numbers are the same when a task runs again.
+        dealt = parts.withColumn("_at", F.monotonically_increasing_id()).withColumn(
+            "_group", F.pmod(F.xxhash64("_at"), F.lit(groups))
+        )
+    kept = [f for f in parts.schema if not (in_order and f.name in ("slot", "at"))]
+    names = [f.name for f in kept]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("_at", "ascending")])
         lengths = table.column("length").to_numpy()
         group = table.column("_group")[0].as_py()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for n, held in enumerate(best_two_fit(lengths, limit)):
+        bins = best_two_fit(lengths, limit)
+        if in_order:
+            at = table.column("_at").to_numpy()
+            # Items are numbered by falling length, so the first number is the longest piece.
+            bins.sort(key=lambda held: at[min(held)])
+        for n, held in enumerate(bins):
             sequence[held] = (group << 32) + n
             offset[held] = np.cumsum(lengths[held]) - lengths[held]
         return table.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return dealt.groupBy("_group").applyInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
     """Documents tokenised, cut where longer than ``limit``, and packed."""
     return pack(pieces(docs, path, end_id=end_id, limit=limit, with_ids=with_ids), limit=limit)
+
+
+def pack_mixed(
+    docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT, group_pieces: int = GROUP_PIECES, **options
+) -> DataFrame:
+    """``docs(doc_id, text, source)`` tokenised and packed so that ``sequence_id`` follows their mix.
+
+    The mix depends on the rows alone, so it is derived again here; texts are not moved for it.
+    ``options`` are those of ``mixing.mix``.
+    """
+    placed = mixing.place(cut(measured_pieces(docs, path, end_id=end_id, limit=limit)), **options)
+    parts = placed.select("doc_id", F.explode("pieces").alias("p"), "slot", "at").select("doc_id", "p.*", "slot", "at")
+    return pack(parts, limit=limit, group_pieces=group_pieces, in_order=True)
