@@ -51,6 +51,16 @@ def test_phases_place_all_blocks(seed):
     assert done == blocks
 
 
+@pytest.mark.parametrize("weights", [[0.5, 0.4999, 0.0001], [1 / 3, 2 / 3], [0.70035, 0.2, 0.09965], [0.99995, 0.00005]])
+def test_deviation_from_the_given_weights(weights):
+    p = mixing.phases([int(w * 20_000) + 1 for w in weights], weights)[0]
+    assert p.slots > 10_000
+    done = [0] * len(weights)
+    for s in p.order:
+        done[s.source] += 1
+        assert all(abs(done[i] - w * (s.slot + 1)) <= 1 + mixing.ROUNDING for i, w in enumerate(weights))
+
+
 def test_documents_follow_the_schedule(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
     rows = mixing.report(docs, block_chars=5000, period=100).collect()

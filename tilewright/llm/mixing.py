@@ -2,16 +2,18 @@
 
 Every source is cut into blocks of equal size. Block k of a source with weight w is released at
 slot floor((k - 1) / w) and due at slot ceil(k / w); each slot goes to the released block that is
-due first. With weights that are whole parts of a period the schedule repeats after it, so one
-period is scheduled and every block finds its slot by division. When a source runs out, a new
-phase begins with the weights of the others; in each phase no source is a whole block off its
-target at any time.
+due first. Weights are whole parts of a period that grows with the number of slots, so that
+rounding adds less than ``ROUNDING`` blocks in a phase. When a source runs out, a new phase begins
+with the weights of the others. In each phase no source is off its target by more than one block
+and that rounding at any time.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
+from fractions import Fraction
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +23,10 @@ from tilewright.llm.common import cut
 
 #: Characters in a block; a longer document fills several.
 BLOCK_CHARS = 100_000
-#: Weights are whole parts of this many slots.
+#: Weights are whole parts of this many slots at least.
 PERIOD = 1000
+#: Blocks that rounding of weights to whole parts may add to a source's deviation in a phase.
+ROUNDING = 1e-3
 #: Weights by default: shares of characters to this power, so that large sources are held back.
 POWER = 0.5
 #: One row per source comes to the driver; more sources are an error.
@@ -54,12 +58,13 @@ def parts(weights: list[float], period: int) -> list[int]:
     return out
 
 
-def schedule(shares: list[int]) -> list[Slot]:
-    """One period: slots for ``shares[i]`` blocks of each source, earliest deadline first.
+def schedule(shares: list[int], blocks: list[int] | None = None) -> list[Slot]:
+    """Slots for ``shares[i]`` blocks of each source in a period, earliest deadline first.
 
     The shares add up to the period, so every slot is filled and every deadline kept. Ties are
     broken as Pfair needs it: a block whose window overlaps the next one first, then the one
-    whose run of such windows ends later, then the smaller number.
+    whose run of such windows ends later, then the smaller number. With ``blocks`` the schedule
+    ends when one source has placed that many, else after the period.
     """
     period = sum(shares)
 
@@ -69,29 +74,26 @@ def schedule(shares: list[int]) -> list[Slot]:
     def entry(i: int, k: int) -> tuple:
         release, due = window(i, k)
         overlap = k * period % shares[i] != 0
-        end, j = due, k
         # The group deadline: where a run of tight windows of a heavy source ends.
-        if 2 * shares[i] >= period and shares[i] < period:
-            while j < shares[i] and window(i, j + 1)[1] - end == 1 and j * period % shares[i]:
-                j, end = j + 1, window(i, j + 1)[1]
-            group = end
-        else:
-            group = 0
+        rest = period - shares[i]
+        group = -(-(-(-due * rest // period)) * period // rest) if rest and rest <= shares[i] else 0
         return due, 0 if overlap else 1, -group, i, k, release
 
-    waiting: list[list[tuple]] = [[] for _ in range(period + 1)]
+    waiting: defaultdict[int, list[tuple]] = defaultdict(list)
     for i, n in enumerate(shares):
         if n:
             waiting[0].append(entry(i, 1))
     ready: list[tuple] = []
     out = []
     for slot in range(period):
-        for e in waiting[slot]:
+        for e in waiting.pop(slot, ()):
             heapq.heappush(ready, e)
         due, _, _, i, k, release = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a deadline was missed")
         out.append(Slot(slot, i, k, release, due))
+        if blocks and k == blocks[i]:
+            break
         if k < shares[i]:
             following = entry(i, k + 1)
             waiting[max(slot + 1, following[-1])].append(following)
@@ -103,7 +105,7 @@ class Phase(NamedTuple):
     first_slot: int
     slots: int
     used: dict[int, int]  # blocks of each source taken before it
-    shares: dict[int, int]
+    shares: dict[int, Fraction]  # of its slots
     order: list[Slot]
 
 
@@ -113,22 +115,16 @@ def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> lis
     out, first = [], 0
     live = [i for i, n in enumerate(blocks) if n]
     while live:
-        shares = parts([weights[i] for i in live], max(period, len(live)))
-        order = [s._replace(source=live[s.source]) for s in schedule(shares)]
-        share = dict(zip(live, shares, strict=True))
-        place = {(s.source, s.block): s.slot for s in order}
-
-        def slot_of(i: int, k: int, place=place, share=share, length=len(order)) -> int:
-            """Slot of block k (from 1) of a source in this phase."""
-            turn, at = divmod(k - 1, share[i])
-            return turn * length + place[i, at + 1]
-
-        slots = min(slot_of(i, blocks[i] - used[i]) for i in live) + 1
-        out.append(Phase(len(out), first, slots, {i: used[i] for i in live}, share, order))
-        turns, rest = divmod(slots, len(order))
-        for i in live:
-            used[i] += turns * share[i] + sum(1 for s in order[:rest] if s.source == i)
-        first += slots
+        left = [blocks[i] - used[i] for i in live]
+        # A source gets a part more or less than its weight, or as many less as others were raised to one.
+        fine = max(period, math.ceil(sum(left) * len(live) / ROUNDING))
+        shares = parts([weights[i] for i in live], fine)
+        order = [s._replace(source=live[s.source]) for s in schedule(shares, left)]
+        share = {i: Fraction(n * len(order), fine) for i, n in zip(live, shares, strict=True)}
+        out.append(Phase(len(out), first, len(order), {i: used[i] for i in live}, share, order))
+        for s in order:
+            used[s.source] += 1
+        first += len(order)
         live = [i for i in live if used[i] < blocks[i]]
     return out
 
@@ -196,10 +192,10 @@ def place(
     """``mix`` of measured rows, which need ``doc_id`` and ``source`` but no text."""
     spark = docs.sparkSession
     names, found = plan(docs, weights=weights, block_chars=block_chars, period=period)
-    # Fixed size: at most a period of slots for each of at most MAX_SOURCES phases.
-    starts = [(p.number, names[i], p.used[i], p.shares[i], p.first_slot, len(p.order)) for p in found for i in p.shares]
+    # One row per source and phase, and one per slot: a slot stands for ``block_chars`` characters.
+    starts = [(p.number, names[i], p.used[i], p.first_slot) for p in found for i in p.shares]
     table = [(p.number, names[s.source], s.block - 1, s.slot, s.release, s.deadline) for p in found for s in p.order]
-    start = spark.createDataFrame(starts, "phase int, _source string, _used long, _share long, _first long, _period long")
+    start = spark.createDataFrame(starts, "phase int, _source string, _used long, _first long")
     slots = spark.createDataFrame(table, "_phase int, _source2 string, _k long, _slot long, _release long, _due long")
     rows = numbered(docs, block_chars)
     # The phase of a block is the last one of its source that begins at or before it.
@@ -209,15 +205,14 @@ def place(
     placed = rows.join(
         F.broadcast(start),
         F.col("_name.source").eqNullSafe(F.col("_source")) & (F.col("_block") >= F.col("_used")) & (F.col("_until").isNull() | (F.col("_block") < F.col("_until"))),
-    ).withColumn("_own", F.col("_block") - F.col("_used"))
+    )
     placed = placed.join(
         F.broadcast(slots),
-        (F.col("phase") == F.col("_phase")) & F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_own") % F.col("_share") == F.col("_k")),
+        (F.col("phase") == F.col("_phase")) & F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_block") - F.col("_used") == F.col("_k")),
     )
-    turn = F.expr("(_own div _share) * _period")
     return placed.select(
-        *docs.columns, "phase", F.col("_block").alias("block"), (turn + F.col("_release")).alias("release"), (turn + F.col("_due")).alias("deadline"),
-        (F.col("_first") + turn + F.col("_slot")).alias("slot"), F.col("_at").alias("at"),
+        *docs.columns, "phase", F.col("_block").alias("block"), F.col("_release").alias("release"), F.col("_due").alias("deadline"),
+        (F.col("_first") + F.col("_slot")).alias("slot"), F.col("_at").alias("at"),
     )
 
 
