@@ -42,6 +42,21 @@ def test_layouts(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    *((f"<body><article><h2 id='{i}'>Head</h2>{BODY}</article></body>", f"Head {TEXT}") for i in ("related-work", "discussion", "search-algorithms", "comments")),
+    *((f"<body><div><h2 id='{i}'>Head</h2>{BODY}</div></body>", f"Head {TEXT}") for i in ("related-work", "section-header")),
+    (f"<body><article>{BODY}<section id='legal'><h2>Legal</h2><p>{LONG}</p></section></article></body>", f"{TEXT} Legal {' '.join(LONG.split())}"),
+    *((f"<body><div class='{c}'>{BODY}</div><div class=sidebar><p>{LONG}</p></div></body>", TEXT) for c in ("content has-sidebar", "no-comments", "side-by-side", "page with_sidebar", "post sidebar-right")),
+    (f"<body><div class='page sidebar-right'><h1>Head</h1>{BODY}</div></body>", f"Head {TEXT}"),
+    (f"<body><article>{BODY}<div class=comments><p>{LONG}</p></div><div class='related'><a href=x>Another</a></div><div class=ad>Buy</div></article></body>", TEXT),
+    (f"<body><article>{BODY}<ol class='comment-list'><li><article>{LONG}</article></li></ol></article></body>", TEXT),
+    (f"<body><article><pre>x = 1 <span class=comment># one</span></pre>{BODY}</article></body>", f"x = 1 # one {TEXT}"),
+    (f"<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p>{BODY}</article></body>", f"Let x=1 be. {TEXT}"),
+])
+def test_names_do_not_cut_the_article(page, want):
+    assert main_text(page) == want
+
+
 def test_long_and_deep_pages():
     assert main_text("<div>" * 20_000 + f"<p>{LONG}</p>") == " ".join(LONG.split())
     assert len(main_text("<p>" + "word, " * 300_000 + "</p>")) > 1_700_000

@@ -2,7 +2,8 @@
 
 Paragraphs pass points for length and commas to their ancestors, less with every level and less
 the more of their text is links. The best container is kept with those of its siblings that
-look like text as well; menus, forms, adverts and the like never take part.
+look like text as well; menus, forms, adverts and the like never take part. Names of elements
+alone take nothing out that reads like article text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
 #: Never part of the text.
 OUT = set("head script style noscript template nav footer aside form fieldset button select option textarea input label iframe "
-          "object embed svg canvas audio video dialog menu menuitem title noembed noframes xmp math".split())
+          "object embed svg canvas audio video dialog menu menuitem title noembed noframes xmp annotation annotation-xml".split())
 BLOCK = set("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li "
             "main ol p pre section summary table tbody td tfoot th thead tr ul caption br".split()) | OUT
 #: An opening tag ends these elements if they are open, up to the named outer ones.
@@ -41,11 +42,15 @@ CLOSES = {
 SCOPES = BLOCK - {"p", "br", "hr"}
 #: Words in class, id or role of what is not the article; fixed by usage on the web.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertise\w*|advertising|adsense|sponsor\w*|promo\w*|banner|sidebar|side|aside|menu\w*|nav\w*|breadcrumbs?|"
-    r"footer|foot|masthead|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|responses|discussion|share\w*|sharing|social\w*|related\w*|recommend\w*|"
-    r"newsletter|subscri\w*|signup|login|popup|pop|modal|overlay|cookies?\w*|consent|gdpr|notices?|alert|disclaimer|widgets?|pager|"
-    r"pagination|toolbar|search\w*|complementary|contentinfo|navigation|skip|hidden|copyright|legal)(?=$|[\s_-])", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertise\w*|advertising|adsense|sponsor\w*|promo\w*|banner|sidebar|aside|menu\w*|nav\w*|breadcrumbs?|"
+    r"footer|masthead|comments?|commentlist|disqus\w*|repl(?:y|ies)|respond|newsletter|signup|login|popup|modal|overlay|cookies?\w*|consent|gdpr|"
+    r"widgets?|pager|pagination|toolbar|complementary|contentinfo|navigation|hidden)(?=$|[\s_-])", re.I)
+#: Words that real parts of an article are named by as well, as in ids made from headings.
+DOUBTFUL = re.compile(
+    r"(?:^|[\s_-])(?:side|foot|responses|discussion|share\w*|sharing|social\w*|related\w*|recommend\w*|subscri\w*|pop|notices?|alert|disclaimer|"
+    r"search\w*|skip|copyright|legal|header)(?=$|[\s_-])", re.I)
+#: What follows says how a page is laid out, not what an element is.
+LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:(?:has|no|non|with|without)[_-][^\s_-]+|side-by-side)(?=$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|entry|post|content|story|text|body|main)(?=$|[\s_-])", re.I)
 NEVER_UNLIKELY = {"html", "body", "article", "main"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -57,14 +62,23 @@ PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "div", "section", "art
 #: A sibling is kept with this share of the best score, or as a paragraph of so many characters.
 SIBLING_SHARE = 0.2
 SIBLING_CHARS = 80
-#: Lists and boxes with more of their text in links are left out of the article.
 LINK_SHARE = 0.5
-LINK_BOXES = {"ul", "ol", "dl", "div", "section", "table", "tr", "td"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Names say nothing about these and what is inside them.
+TEXTUAL = HEADINGS | {"p", "pre", "blockquote", "figcaption", "caption"}
+#: Lists and boxes with more of their text in links are left out of the article.
+LINK_BOXES = {"ul", "ol", "dl", "div", "section", "table", "tr", "td"}
+#: With a doubtful name a box needs this many characters, and a link share under this.
+DOUBTFUL_CHARS = 80
+DOUBTFUL_LINKS = 0.25
+#: A box with an unlikely name is only a wrapper if it has this share of the page's text.
+WRAPPER_SHARE = 0.75
+#: Points of boxes that are kept against their name count this much.
+LOWERED = 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "kids", "own", "chars", "commas", "linked", "score", "wrapped", "article")
+    __slots__ = ("tag", "parent", "out", "kids", "own", "chars", "commas", "linked", "score", "wrapped", "article", "textual", "doubt", "weight")
 
     def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
         self.tag, self.parent, self.out = tag, parent, out
@@ -73,27 +87,32 @@ class Node:
         self.score = 0.0
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.wrapped = tag == "a" or bool(parent and parent.wrapped)
+        self.textual = tag in TEXTUAL or bool(parent and parent.textual)
+        self.doubt = 0  # what the names say: 1 article or not, 2 not the article
+        self.weight = 1.0
 
 
-def unwanted(tag: str, raw: str, inside: Node) -> bool:
-    """Whether an element can be told not to be article text by its tag and attributes."""
+def judge(tag: str, raw: str, inside: Node) -> tuple[bool, int]:
+    """Whether an element can be told not to be text by its tag and attributes, and the doubt that its names leave."""
     if tag in OUT:
-        return True
+        return True, 0
     if tag == "header":
-        return not inside.article
+        return not inside.article, 0
     if "=" not in raw and "hidden" not in raw or tag in NEVER_UNLIKELY:
-        return False
+        return False, 0
     found = {}
     for name, value in ATTRIBUTE.findall(raw):
         found.setdefault(name.lower(), entities.unescape(value.strip("\"'")))
     if "hidden" in found or found.get("aria-hidden") == "true" or HIDDEN.search(found.get("style", "")):
-        return True
-    if tag not in BLOCK and tag != "span":
-        return False
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    if UNLIKELY.search(names):
-        return True
-    return bool(HEADER.search(names)) and not inside.article and not ARTICLE.search(names)
+        return True, 0
+    if inside.textual or tag in TEXTUAL or tag in ("td", "th", "tr", "tbody") or tag not in BLOCK and tag != "span":
+        return False, 0
+    names = LAYOUT.sub(" ", " ".join(found.get(k, "") for k in ("class", "id", "role")))
+    unlikely = UNLIKELY.search(names)
+    if not unlikely and not DOUBTFUL.search(names):
+        return False, 0
+    article = any(ARTICLE.search(w) and not UNLIKELY.search(w) for w in names.split())
+    return False, 2 if unlikely and not article else 1
 
 
 def parse(page: str) -> Node:
@@ -135,7 +154,9 @@ def parse(page: str) -> Node:
             close({"p"}, SCOPES)
         if tag in CLOSES:
             close(*CLOSES[tag])
-        node = Node(tag, stack[-1], stack[-1].out or unwanted(tag, found[3], stack[-1]))
+        out, doubt = judge(tag, found[3], stack[-1])
+        node = Node(tag, stack[-1], stack[-1].out or out)
+        node.doubt = doubt
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>]|$)[^>]*>?", re.I).search(page, at)
@@ -157,8 +178,10 @@ def walk(root: Node) -> list[Node]:
     return order
 
 
-def measure(order: list[Node]) -> None:
-    """Characters, commas and linked characters of every element, and its points."""
+def count(order: list[Node]) -> None:
+    """Characters, commas and linked characters of every element."""
+    for node in order:
+        node.own = node.chars = node.commas = node.linked = 0
     for node in order:
         for k in node.kids:
             if isinstance(k, str) and (t := "".join(k.split())):
@@ -174,9 +197,40 @@ def measure(order: list[Node]) -> None:
             node.parent.chars += node.chars
             node.parent.commas += node.commas
             node.parent.linked += node.linked
+
+
+def settle(order: list[Node]) -> bool:
+    """Takes out boxes in doubt whose content does not speak for them; whether there were any.
+
+    Text with few links is kept against a doubtful name, and against an unlikely one only if the
+    box wraps the article or most of the page.
+    """
+    if not any(n.doubt for n in order):
+        return False
+    # Comments and teasers can be article elements too, so only the longest counts.
+    marks = [n for n in order if n.tag == "main"] + [n for n in order if n.tag == "h1"][:1]
+    wraps = set()
+    for n in [*marks, max((n for n in order if n.tag == "article"), key=lambda n: n.chars, default=None)]:
+        while n and n not in wraps:
+            wraps.add(n)
+            n = n.parent
+    total = order[0].chars
+    for n in order:
+        if n.doubt and n.chars:
+            low = n.linked / n.chars < DOUBTFUL_LINKS
+            n.out = not (n in wraps or low and n.chars >= (DOUBTFUL_CHARS if n.doubt == 1 else WRAPPER_SHARE * total))
+    for n in order:
+        if n.parent:
+            n.out = n.out or n.parent.out
+            n.weight = n.parent.weight if not n.doubt or n in wraps else LOWERED
+    return True
+
+
+def measure(order: list[Node]) -> None:
+    """Points of every element."""
     for node in order:
         if node.tag in PARAGRAPHS and node.own >= MIN_PARAGRAPH:
-            points = (1 + node.commas * node.own / node.chars + min(node.own / POINT_CHARS, 3)) * (1 - node.linked / node.chars)
+            points = (1 + node.commas * node.own / node.chars + min(node.own / POINT_CHARS, 3)) * (1 - node.linked / node.chars) * node.weight
             up, level = node.parent, 1
             if node.tag in ("div", "section", "article", "main", "body"):
                 node.score += points
@@ -202,7 +256,7 @@ def best_container(root: Node, order: list[Node]) -> list[Node]:
     least = SIBLING_SHARE * best.score
     kept = []
     for k in best.parent.kids:
-        if not isinstance(k, Node) or k.out:
+        if not isinstance(k, Node) or k.out or k.doubt and k is not best:
             continue
         links = k.linked / k.chars if k.chars else 1
         paragraph = k.tag in ("p", "pre", "blockquote") and k.chars >= SIBLING_CHARS and links < 0.25
@@ -235,6 +289,10 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = walk(root)
+    count(order)
+    if settle(order):
+        order = walk(root)
+        count(order)
     measure(order)
     return collect(best_container(root, order))
 
