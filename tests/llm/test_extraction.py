@@ -57,6 +57,24 @@ def test_names_do_not_cut_the_article(page, want):
     assert main_text(page) == want
 
 
+REFERENCE = "<li><a href=x>A. Writer, On the length of rivers and other things, 2nd edition. Some Press, 1999.</a></li>"
+
+
+@pytest.mark.parametrize(("inside", "want"), [
+    (f"{BODY}<table><tr><td><a href=x>Paris</a></td><td>2 million</td></tr><tr><td><a href=x>Lyon</a></td><td>0.5 million</td></tr></table>", f"{TEXT} Paris 2 million Lyon 0.5 million"),
+    (f"{BODY}<table><tr><td><a href=x>Paris</a></td><td><p>Seine</p></td></tr></table><p>{LONG}</p>", f"{TEXT} Paris Seine {' '.join(LONG.split())}"),
+    (f"{BODY}<ol>{REFERENCE * 2}</ol>", TEXT + 2 * " A. Writer, On the length of rivers and other things, 2nd edition. Some Press, 1999."),
+    (f"{BODY}<h2>Rivers</h2><ul><li><a href=x>Seine</a></li><li><a href=x>Loire</a></li></ul>", f"{TEXT} Rivers Seine Loire"),
+    (f"{BODY}<ul><li><a href=x>Seine</a></li><li><a href=x>Loire</a></li></ul><p>{LONG}</p>", f"{TEXT} Seine Loire {' '.join(LONG.split())}"),
+    (f"{BODY}<p>Its rivers:</p><ul><li><a href=x>Seine</a></li></ul>", f"{TEXT} Its rivers: Seine"),
+    ("<ul>" + "".join(f"<li><a href=x>River {i}</a></li>" for i in range(9)) + "</ul><p>And others.</p>", " ".join(f"River {i}" for i in range(9)) + " And others."),
+    (f"<ul><li><a href=x>Home</a></li></ul>{BODY}<ul><li><a href=x>Next</a></li></ul><div><a href=x>Top</a></div>", TEXT),
+    (f"{BODY}<ul class=menu><li><a href=x>Home</a></li></ul><p>{LONG}</p>", f"{TEXT} {' '.join(LONG.split())}"),
+])
+def test_linked_text_inside_the_article(inside, want):
+    assert main_text(f"<body><article>{inside}</article></body>") == want
+
+
 def test_long_and_deep_pages():
     assert main_text("<div>" * 20_000 + f"<p>{LONG}</p>") == " ".join(LONG.split())
     assert len(main_text("<p>" + "word, " * 300_000 + "</p>")) > 1_700_000

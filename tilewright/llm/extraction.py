@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,8 +67,12 @@ LINK_SHARE = 0.5
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Names say nothing about these and what is inside them.
 TEXTUAL = HEADINGS | {"p", "pre", "blockquote", "figcaption", "caption"}
-#: Lists and boxes with more of their text in links are left out of the article.
-LINK_BOXES = {"ul", "ol", "dl", "div", "section", "table", "tr", "td"}
+#: Lists and boxes with more of their text in links are left out of the article if more speaks for a menu.
+LINK_BOXES = {"ul", "ol", "dl", "div", "section", "table"}
+#: Items of a menu are this short and no sentences; the menu has at most this share of the text it stands beside.
+ITEM_CHARS = 40
+MENU_SHARE = 0.25
+SENTENCE = re.compile(r"[.!?](?=\s|$)|[。！？]")
 #: With a doubtful name a box needs this many characters, and a link share under this.
 DOUBTFUL_CHARS = 80
 DOUBTFUL_LINKS = 0.25
@@ -265,24 +270,92 @@ def best_container(root: Node, order: list[Node]) -> list[Node]:
     return kept
 
 
-def collect(kept: list[Node]) -> str:
+def inner(top: Node) -> str:
+    """All text below, without what is out."""
     parts: list[str] = []
-    for top in kept:
-        todo: list[Node | str] = [top]
-        while todo:
-            k = todo.pop()
-            if isinstance(k, str):
-                parts.append(k)
-            elif not k.out:
-                if k is not top and k.tag in LINK_BOXES and k.chars and k.linked / k.chars > LINK_SHARE:
-                    continue
-                if k.tag in BLOCK:
-                    todo.append(" ")
-                    parts.append(" ")
-                todo += reversed(k.kids)
+    todo: list[Node | str] = [top]
+    while todo:
+        k = todo.pop()
+        if isinstance(k, str):
+            parts.append(k)
+        elif not k.out:
+            if k.tag in BLOCK:
+                todo.append(" ")
+                parts.append(" ")
+            todo += reversed(k.kids)
     return " ".join("".join(parts).split())
 
 
+class Below(NamedTuple):
+    """Counts in an element: list items or cells, those of them and of the links that are long or sentences, and paragraphs."""
+
+    items: int
+    long_items: int
+    long_links: int
+    paragraphs: int
+
+
+def below(order: list[Node]) -> dict[Node, Below]:
+    found: dict[Node, Below] = {}
+    for n in reversed(order):
+        item, link = n.tag in ("li", "dt", "dd", "td", "th"), n.tag == "a"
+        long = (item or link) and (n.chars > ITEM_CHARS or SENTENCE.search(inner(n)) is not None)
+        own = (item, item and long, link and long, n.tag == "p" and n.own >= MIN_PARAGRAPH)
+        found[n] = Below(*map(sum, zip(own, *(found[k] for k in n.kids if isinstance(k, Node) and k in found), strict=True)))
+    return found
+
+
+def menus(top: Node) -> set[Node]:
+    """Link-heavy lists and boxes inside ``top`` that are menus by more than their links.
+
+    Either their names say so, or they are short lists of short items at an edge of ``top``, not
+    introduced by a heading or a colon; and link-only cells beside a cell that holds the text.
+    """
+    order = walk(top)
+    heavy = [n for n in order if n is not top and n.tag in LINK_BOXES and n.chars and n.linked / n.chars > LINK_SHARE]
+    cells = [n for n in order if n.tag == "td" and n.chars and n.linked / n.chars > LINK_SHARE and n.parent]
+    found = {n for n in heavy if n.doubt}
+    if not cells and len(heavy) == len(found):
+        return found
+    held = below(order)
+    for n in cells:
+        beside = [k for k in n.parent.kids if isinstance(k, Node) and k is not n and k.tag == "td" and k.chars > top.chars / 2]
+        if any(held[k].paragraphs > 1 for k in beside if k in held):
+            found.add(n)
+    if len(heavy) == len(found):
+        return found
+    # Unlinked characters before every element, and what comes right before it.
+    before, last, seen, final = {}, {}, 0, (None, "")
+    todo: list[tuple[Node | str, Node | None]] = [(top, None)]
+    while todo:
+        k, of = todo.pop()
+        if isinstance(k, str):
+            if t := "".join(k.split()):
+                seen += 0 if of.wrapped else len(t)
+                final = (of, t)
+        elif not k.out:
+            before[k], last[k] = seen, final
+            todo += [(c, k) for c in reversed(k.kids)]
+    for n in heavy:
+        own = n.chars - n.linked
+        at_edge = not before[n] or before[n] + own >= seen
+        of, text = last[n]
+        while of and of is not top and of.tag not in HEADINGS:
+            of = of.parent
+        introduced = bool(of and of.tag in HEADINGS) or text.endswith((":", "："))
+        short = not held[n].long_items if held[n].items else not held[n].long_links
+        if n not in found and at_edge and not introduced and n.chars <= MENU_SHARE * top.chars and short:
+            found.add(n)
+    return found
+
+
+def collect(kept: list[Node]) -> str:
+    for top in kept:
+        for n in menus(top):
+            n.out = True
+    return " ".join(t for t in map(inner, kept) if t)
+
+
 def main_text(page: str | None) -> str:
     """The article's text in one line; empty if there is none."""
     if not page:
