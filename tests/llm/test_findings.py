@@ -64,3 +64,18 @@ def test_odd_rows(spark):
     assert len(clean) == 5 and sum("[SECRET]" in (r.text or "") for r in clean) == 1
     empty = docs.limit(0)
     assert findings.report(empty).count() == 0 and findings.redact(empty).count() == 0
+
+
+def test_assigned_values_of_any_form(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").limit(1000)
+    secret = ["password=s3cr3tPw9", "password=hunterhunter", "pwd: Zq!8#kL$2", '"password": "tR0ub4dor&3"', 'secret = "correct horse battery"', "Authorization: Bearer xK9$ab.d"]
+    other = ["token: the", "tokens: 1500", "password=null", "private: yes", "author: Smith", "password=${DB_PASS}"]
+    text = {10**6 + i: f"Thing of the house and {v} in the light." for i, v in enumerate(secret + other)}
+    extra = spark.createDataFrame([(k, t, "src1") for k, t in text.items()], "doc_id long, text string, source string")
+    got = {r.doc_id - 10**6: r.text for r in findings.redact(docs.union(extra)).filter("doc_id >= 1000000").collect()}
+    for i, v in enumerate(secret):
+        assert "[SECRET]" in got[i] and findings.candidates(v)[-1][1] not in got[i], got[i]
+    for i in range(len(secret), len(got)):
+        assert got[i] == text[10**6 + i]
+    assert findings.candidates("password=x") == [(9, "x")] and findings.candidates("pwd: 'a b)'") == [(6, "a b)")]
+    assert np.isfinite(findings.describe("x", "pwd=", "", "", FLAT)).all()
