@@ -226,10 +226,15 @@ def test_synthetic_splits_and_evaluation(spark):
 
 
 def test_mixed_circles(spark):
-    drawn = synthetic.draw_mixed_circles(synthetic.synthetic_names(spark, 2), height=200, width=220, seed=1)
-    for r in synthetic.paint_pairs(drawn).collect():
-        labels = set(bytes(r["mask"]))
-        assert 0 in labels and labels <= {0, 1, 2, 3} and len(labels) > 1
+    names = synthetic.synthetic_names(spark, 2)
+    seen = set()
+    for seed in range(20):
+        drawn = synthetic.draw_mixed_circles(names, height=200, width=220, seed=seed)
+        for r in synthetic.paint_pairs(drawn).collect():
+            labels = set(bytes(r["mask"]))
+            assert 0 in labels and labels <= {0, 1, 2, 3} and len(labels) > 1
+            seen |= labels
+    assert seen == {0, 1, 2, 3}
 
 
 def test_artifacts(spark, tmp_path):

@@ -18,6 +18,7 @@ from tilewright.operators.splits import assign_splits
 BAND_BACKGROUND = (0, 80)
 BAND_CELL = (120, 180)
 BAND_AGGREGATE = (180, 255)
+BAND_ANY = (0, 256)
 AGGREGATES = 4
 CELLS = 6
 MIXED_CIRCLES = 5
@@ -127,9 +128,9 @@ def draw_mixed_circles(names: DataFrame, *, height: int, width: int, seed: int)
     )
 
 
-# Lowest gray and width of the gray band, by class.
+# Lowest gray and width of the gray band, by class. Class 3, which only the batch viewer draws, may have any gray.
 GRAY_LOW, GRAY_WIDTH = np.array(
-    [(low, high - low) for low, high in (BAND_BACKGROUND, BAND_CELL, BAND_AGGREGATE)], dtype=np.float32
+    [(low, high - low) for low, high in (BAND_BACKGROUND, BAND_CELL, BAND_AGGREGATE, BAND_ANY)], dtype=np.float32
 ).T
 
 PAIR_SCHEMA = T.StructType([*IMAGE_SCHEMA.fields, T.StructField("mask", T.BinaryType())])
