@@ -204,7 +204,7 @@ def finder(lot: Lot):
                     sort = np.lexsort((-score[pair], window))
                     pair, window = pair[sort], window[sort]
                     first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]]) if len(window) else np.zeros(0, np.int64)
-                    for s, e in zip(first, np.r_[first[1:], len(window)], strict=True):
+                    for s, e in zip(first, np.r_[first[1:], len(window)], strict=False):
                         w = int(window[s])
                         anchor, found = int(lot.ids[lot.owner[w]]), []
                         for p in pair[s:e]:
