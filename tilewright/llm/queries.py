@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import archives, divergence, extraction, findings, huffman, hyperdim, mixing, multiindex, negatives, packing, simhash
+from tilewright.llm import additive, archives, divergence, extraction, findings, huffman, hyperdim, mixing, multiindex, negatives, packing, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -73,6 +73,11 @@ def op10_best_two_fit(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_additive_model(spark, sf_dir):
+    """Quality of all documents, learned from the labels outside the held-out fifth."""
+    return additive.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_l2ap_negatives(spark, sf_dir):
     """Hard negatives of every hundredth vector among all."""
     return negatives.mine(table(spark, sf_dir, "embeddings"))
@@ -93,7 +98,7 @@ QUERIES = {
     f.__name__: _ready(f)
     for f in (
         op1_multi_index, op2_divergence, op3_secrets, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op7_pfair, op8_huffman, op9_simhash,
-        op10_best_two_fit, op12_l2ap_negatives,
+        op10_best_two_fit, op11_additive_model, op12_l2ap_negatives,
     )
 }
 ORACLES: dict[str, str] = {"op2_divergence": divergence.ORACLE, "op4_arc_to_warc": archives.ORACLE, "op12_l2ap_negatives": negatives.ORACLE}
