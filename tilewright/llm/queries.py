@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import additive, archives, divergence, extraction, findings, huffman, hyperdim, mixing, multiindex, negatives, packing, simhash
+from tilewright.llm import additive, archives, divergence, extraction, findings, huffman, hyperdim, mixing, multiindex, negatives, packing, phrases, simhash
 from tilewright.llm.common import shared_folder
 from tilewright.session import ship_code
 
@@ -83,6 +83,11 @@ def op12_l2ap_negatives(spark, sf_dir):
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_phrases(spark, sf_dir):
+    """Collocations of all documents, per language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def _ready(fn):
     """The query, with the package shipped to the workers first."""
 
@@ -98,7 +103,10 @@ QUERIES = {
     f.__name__: _ready(f)
     for f in (
         op1_multi_index, op2_divergence, op3_secrets, op4_arc_to_warc, op5_hyperdimensional, op6_tree_scoring, op7_pfair, op8_huffman, op9_simhash,
-        op10_best_two_fit, op11_additive_model, op12_l2ap_negatives,
+        op10_best_two_fit, op11_additive_model, op12_l2ap_negatives, op13_suffix_phrases,
     )
 }
-ORACLES: dict[str, str] = {"op2_divergence": divergence.ORACLE, "op4_arc_to_warc": archives.ORACLE, "op12_l2ap_negatives": negatives.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_divergence": divergence.ORACLE, "op4_arc_to_warc": archives.ORACLE, "op12_l2ap_negatives": negatives.ORACLE,
+    "op13_suffix_phrases": phrases.ORACLE,
+}
