@@ -172,26 +172,29 @@ def heavy(docs: DataFrame, share: float, longest: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "lang string, phrase string, m int, n long").groupBy("lang", "phrase", "m").agg(F.sum("n").alias("n"))
 
 
+def beginnings(packed_keys: np.ndarray, m: int, longest: int) -> np.ndarray:
+    """The first ``m`` words of packed suffixes, packed."""
+    return packed_keys >> (WORD_BITS * (longest - m))
+
+
 class Routes(NamedTuple):
     """Number of buckets, and the beginnings that are routed by one more word."""
 
     buckets: int
-    hot: set[tuple[str, bytes]]
+    hot: list[tuple[str, list[bytes]]]
     longest: int
 
     def depth(self, chunk: Chunk, keys: np.ndarray) -> np.ndarray:
-        """How many leading words route each suffix."""
+        """How many leading words route each of these packed suffixes."""
+        here: list[list[int]] = [[] for _ in range(self.longest)]
+        for lang, words in self.hot:
+            ids = [chunk.known[lang].get(w) for w in words] if lang in chunk.known else [None]
+            if None not in ids:
+                here[len(words)].append(int(packed(np.array([ids], np.int64))[0]))
         out = np.ones(len(keys), np.int64)
-        live = np.arange(len(keys))
         for m in range(1, self.longest):
-            if not len(live):
-                break
-            _, first, inverse = np.unique(packed(keys[live][:, :m]), return_index=True, return_inverse=True)
-            is_hot = np.array([
-                r[m - 1] > 0 and (chunk.langs[r[0]], b" ".join(chunk.words[w] for w in r[:m])) in self.hot for r in keys[live[first]]
-            ])
-            live = live[is_hot[inverse]]
-            out[live] = m + 1
+            if here[m]:
+                out[np.isin(beginnings(keys, m, self.longest), here[m])] = m + 1
         return out
 
 
@@ -204,34 +207,42 @@ def route(docs: DataFrame, shared, longest: int) -> DataFrame:
         for chunk, keys in chunks(batches, longest):
             if not len(keys):
                 continue
-            _, first, counts = np.unique(packed(keys), return_index=True, return_counts=True)
-            keys = keys[first]
-            depth = routes.depth(chunk, keys)
+            both = np.sort(packed(keys))
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            counts, both = np.diff(np.r_[first, len(both)]).astype(np.int32), both[first]
+            depth = routes.depth(chunk, both)
+            columns = [(beginnings(both, d + 1, longest) & ((1 << WORD_BITS) - 1)).astype(np.int32) for d in range(longest)]
             numbers = {lang: i for i, lang in enumerate(chunk.known)}
             lang_of = np.array([numbers.get(x, 0) for x in chunk.langs], np.int64)
-            own = np.array([zlib.crc32(w, zlib.crc32(x.encode("utf-8", "replace"))) for w, x in zip(chunk.words, chunk.langs, strict=True)], np.uint64)
-            mixed = np.zeros(len(keys), np.uint64)
-            for d in range(longest):
-                part = np.where(depth > d, own[keys[:, d]] + np.uint64(d + 1), np.uint64(0))
-                mixed = (mixed ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            seeds = {x: zlib.crc32(x.encode("utf-8", "replace")) for x in set(chunk.langs)}
+            own = np.array([zlib.crc32(w, seeds[x]) for w, x in zip(chunk.words, chunk.langs, strict=True)], np.uint64)
+            mixed = np.zeros(len(both), np.uint64)
+            for d, column in enumerate(columns):
+                mixed = (mixed ^ np.where(depth > d, own[column] + np.uint64(d + 1), np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
             to = (mixed % np.uint64(routes.buckets)).astype(np.int64)
-            place = (to * longest + depth - 1) * len(numbers) + lang_of[keys[:, 0]]
-            order = np.argsort(place, kind="stable")
-            starts = np.flatnonzero(np.r_[True, place[order][1:] != place[order][:-1]])
+            place = (to * longest + depth - 1) * len(numbers) + lang_of[columns[0]]
+            most = routes.buckets * longest * len(numbers)
+            order = np.argsort(place.astype(np.uint16) if most < 1 << 16 else place, kind="stable")  # short numbers are sorted by radix
+            place, counts = place[order], counts[order]
+            columns = [c[order] for c in columns]
+            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             names = list(numbers)
+            used, local = np.zeros(len(chunk.words), bool), np.zeros(len(chunk.words), np.int32)
             for s, e in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-                rows = order[s:e]
-                used, local = np.unique(keys[rows], return_inverse=True)
-                local = local.reshape(len(rows), longest).astype(np.int32)
-                if used[0] != 0:
-                    local += 1
-                words = b"\n".join([chunk.words[i] for i in used if i])
-                at = int(place[rows[0]])
+                part = [c[s:e] for c in columns]
+                for c in part:
+                    used[c] = True
+                used[0] = False
+                held = np.flatnonzero(used)
+                used[held] = False
+                local[held] = np.arange(1, len(held) + 1)
+                at = int(place[s])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], k) for v, k in (
                         (at // len(names) // longest, pa.int32()), (names[at % len(names)], pa.string()), (at // len(names) % longest, pa.int32()),
-                        (words, pa.binary()), (np.ascontiguousarray(local.T).tobytes(), pa.binary()), (counts[rows].astype(np.int32).tobytes(), pa.binary()),
+                        (b"\n".join([chunk.words[i] for i in held]), pa.binary()), (b"".join(local[c].tobytes() for c in part), pa.binary()),
+                        (counts[s:e].tobytes(), pa.binary()),
                     )],
                     names=["bucket", "lang", "given", "words", "keys", "counts"],
                 )
@@ -283,12 +294,22 @@ def multikey(keys: np.ndarray, weights: np.ndarray, least: list[float]) -> Itera
         start, size, depth = ends - total, total, deep[held]
 
 
+class Numbers(dict):
+    """Numbers from 1 in the order in which they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 def count_bucket(table: pa.Table, longest: int, least: int) -> pa.Table:
     """Counts of the phrases that begin in one bucket."""
-    known: dict[bytes, int] = {}
+    known = Numbers()
     parts, weights = [], []
     for words, keys, counts in zip(*(table.column(c).to_pylist() for c in ("words", "keys", "counts")), strict=True):
-        own = np.array([0, *(known.setdefault(w, len(known) + 1) for w in words.split(b"\n"))], np.int32)
+        found = words.split(b"\n")
+        own = np.zeros(len(found) + 1, np.int32)
+        own[1:] = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
         parts.append(own[np.frombuffer(keys, np.int32).reshape(longest, -1).T])
         weights.append(np.frombuffer(counts, np.int32))
     keys, weight = np.concatenate(parts), np.concatenate(weights).astype(np.float64)
@@ -372,7 +393,7 @@ def mine(
     if not everything:
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     hot = many.filter((F.col("m") > 0) & (F.col("n") >= share / 2 * everything)).select("lang", "phrase").collect() if buckets > 1 else []
-    routes = spark.sparkContext.broadcast(Routes(buckets, {(r["lang"], r["phrase"].encode()) for r in hot}, max_words))
+    routes = spark.sparkContext.broadcast(Routes(buckets, [(r["lang"], r["phrase"].encode().split(b" ")) for r in hot], max_words))
     lots = route(docs, routes, max_words)
 
     def run(table: pa.Table) -> pa.Table:
