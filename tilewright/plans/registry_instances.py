@@ -37,15 +37,15 @@ def _masks(spark, sf_dir, value):
 
 
 def _truth(v: int) -> int:
-    return min(v % 4, 2)
+    return {1: 1, 5: 2, 6: 2}.get(v % 8, 0)
 
 
 def _predicted(v: int) -> int:
-    return 0 if v % 16 in (5, 14) else min(v % 4, 2)
+    return {14: 0, 21: 1}.get(v % 32, _truth(v))
 
 
-SQL_TRUTH = "least(v % 4, 2)"
-SQL_PREDICTED = "CASE WHEN v % 16 IN (5, 14) THEN 0 ELSE least(v % 4, 2) END"
+SQL_TRUTH = "CASE v % 8 WHEN 1 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 0 END"
+SQL_PREDICTED = f"CASE v % 32 WHEN 14 THEN 0 WHEN 21 THEN 1 ELSE {SQL_TRUTH} END"
 
 
 def sql_objects(name: str, cls: str, alike: str = "c", diagonal: bool = False) -> str:
