@@ -25,26 +25,22 @@ MEMO_CHARS = 32_000_000
 SLICE_CHARS = 2_000_000
 #: Below this code point all Unicode versions agree on letters, case and composition.
 LATIN_END = "ɐ"
-ENDING = ".,;:!?"
+#: Marks that are a token group of their own after a letter; an apostrophe may not be.
+ENDING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Python counts these as white space, the library does not.
-UNSURE = re.compile("[\x1c-\x1f]")
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The public byte-to-character rule of byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 #: White space in runs, or other than a space or line end; then the plain split below is not certain.
 RUNS = re.compile("[^\\S \n]|\\s\\s|\0")
+#: The same for ASCII texts, which plain look-ups find much sooner.
+ASCII_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f", "\0")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 def spaced_chunks(text: str) -> list[str]:
     """Words with the one space before them, and white space on its own."""
-    if RUNS.search(text):
+    if any(r in text for r in ASCII_RUNS) if text.isascii() else RUNS.search(text):
         return SPACED.findall(text)
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -57,57 +53,110 @@ def bare_chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Chunk to number; the ids of a number lie in ``flat[start:start + length]``."""
+    """Chunk to number; the ids of a number lie in ``flat[start:start + length]``.
+
+    A new chunk gets its number at once and waits until ``resolve``, which makes the ids of all
+    waiting ones together: plain words go to the library as one text, of which each is one word.
+    """
 
     def __init__(self, tokenizer, spaced: bool) -> None:
         super().__init__()
         self.tokenizer, self.spaced = tokenizer, spaced
-        self.alphabet = byte_alphabet()
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.chars = 0
+        self.waiting: list[str] = []
         self.flat, self.start, self.length = array("i"), array("i"), array("i")
 
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.waiting.append(chunk)
+        return n
+
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these chunks, and where each chunk's end."""
+        self.resolve()
         # The views go before anything is added, which would move the memory under them.
         flat, start, length = (np.frombuffer(a, np.int32) if a else np.zeros(0, np.int32) for a in (self.flat, self.start, self.length))
         n = length[numbers]
         ends = np.cumsum(n, dtype=np.int64)
         return flat[np.repeat(start[numbers] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
-    def ids(self, chunk: str) -> array:
-        n = self[chunk]
-        return self.flat[self.start[n] : self.start[n] + self.length[n]]
-
-    def __missing__(self, chunk: str) -> int:
-        ids = self.look_up(chunk)
-        n = len(self.start)
-        self.start.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-        self.chars += len(chunk)
-        self[chunk] = n
-        return n
-
-    def look_up(self, chunk: str) -> Sequence[int]:
-        if not chunk:
-            return ()
-        word = chunk[1:] if self.spaced and chunk[0] == " " else chunk
-        if word and max(word) < LATIN_END and "İ" not in word:
-            if not self.spaced and (low := word.lower()) != word:
-                return self.ids(low)
-            core = word.rstrip(ENDING)
-            if core.isalpha():
-                if len(core) < len(word):  # marks after a letter are a token group of their own
-                    cut = len(word) - len(core)
-                    return self.ids(chunk[:-cut]) + self.ids(chunk[-cut:])
-                mapped = "".join(map(self.alphabet.__getitem__, chunk.encode()))
-                return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+    def parted(self, chunk: str) -> tuple[str, str] | None:
+        """A plain word (with the space before it) and the marks after it; None for other chunks."""
+        head = chunk.rstrip(ENDING)
+        core = head[1:] if self.spaced and head[:1] == " " else head
+        if not core.isalpha() or not (core.isascii() or (max(core) < LATIN_END and "İ" not in core)):
+            return None
+        return (head if self.spaced else head.lower()), chunk[len(head) :]
+
+    def resolve(self) -> None:
+        """Ids of all waiting chunks: a word's and those of the marks after it."""
+        waiting, self.waiting = self.waiting, []
+        if not waiting:
+            return
+        known = len(self.start)
+        new: dict[str, int] = {}  # words to encode, by their place in ``parts``
+        odd: dict[str, int] = {"": 0}  # marks and other chunks, likewise, counted from the other end
+        first, second = [], []
+        for chunk in waiting:
+            p = self.parted(chunk)
+            if p is None:
+                first.append(-1 - odd.setdefault(chunk, len(odd)))
+                second.append(-1)
+                continue
+            head, tail = p
+            n = self.get(head, known)
+            first.append(n if n < known else known + new.setdefault(head, len(new)))
+            second.append(-1 - odd.setdefault(tail, len(odd)))
+        # Words that have so far been met with marks only are kept as well.
+        for head in new:
+            if head not in self:
+                self[head] = len(self)
+                first.append(known + new[head])
+                second.append(-1)
+                self.chars += len(head)
+        self.chars += sum(map(len, waiting))
+        ids, counts = self._words(list(new))
+        others = [np.array(self._alone(c) if c else (), np.int32) for c in odd]
+        pool = np.concatenate([np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), ids, *others])
+        length = np.concatenate([np.frombuffer(self.length, np.int32) if known else np.zeros(0, np.int32), counts, [len(o) for o in others]])
+        start = np.concatenate([np.frombuffer(self.start, np.int32) if known else np.zeros(0, np.int32), len(self.flat) + np.cumsum(length[known:]) - length[known:]])
+        # Places from the other end lie behind the words.
+        both = np.array([first, second], np.int64).T.ravel()
+        both = np.where(both < 0, known + len(counts) - 1 - both, both)
+        n = length[both]
+        ends = np.cumsum(n)
+        made = pool[np.repeat(start[both] - (ends - n), n) + np.arange(ends[-1])].astype(np.int32)
+        sizes = n.reshape(-1, 2).sum(axis=1)
+        at = len(self.flat) + np.cumsum(sizes) - sizes
+        del pool, start, length  # views end before the arrays grow
+        self.flat.frombytes(made.tobytes())
+        self.start.frombytes(at.astype(np.int32).tobytes())
+        self.length.frombytes(sizes.astype(np.int32).tobytes())
+
+    def _alone(self, chunk: str) -> Sequence[int]:
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
+    def _words(self, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these plain words, and their number per word. Words with a space before them, or
+        that need none, go to the library as one text."""
+        apart = [i for i, h in enumerate(heads) if self.spaced and h[0] != " "]
+        joined = "".join([h if h[0] == " " else f" {h}" for h in heads]) if self.spaced else " ".join(heads)
+        found = self.tokenizer.encode(joined, add_special_tokens=False)
+        counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(heads))
+        ids = np.array(found.ids, np.int32)
+        if len(counts) != len(heads) or not counts.all():
+            apart, counts, ids = list(range(len(heads))), np.ones(len(heads), np.int64), np.zeros(len(heads), np.int32)
+        if apart:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i in apart:
+                parts[i] = np.array(self._alone(heads[i]), np.int32)
+            counts, ids = np.array([len(p) for p in parts]), np.concatenate(parts)
+        return ids, counts
+
 
 class Encoder:
     """Ids of whole texts; a null text is empty."""
@@ -151,7 +200,7 @@ class Encoder:
             return
         if len(memo) > MEMO_CHUNKS or memo.chars > MEMO_CHARS:
             memo.forget()
-        sure = [not UNSURE.search(t) and not any(s in t for s in self.special) for t in texts]
+        sure = [not any(s in t for s in (*UNSURE, *self.special)) for t in texts]
         numbers = [
             np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
             for found in (self.chunks(t) if ok else [] for t, ok in zip(texts, sure, strict=True))
