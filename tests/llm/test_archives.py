@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import gzip
+import random
+import time
 import hashlib
 
 import duckdb
@@ -96,3 +98,16 @@ def test_odd_pages(spark):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert archives.archive_pages(pages, shared_folder(spark, "test-warc")).count() == 0
+
+
+def test_many_members_cost_their_size():
+    """Members are inflated in parts, so a file of many is read in time linear in its size."""
+    rng = random.Random(1)
+    bodies = [rng.randbytes(rng.randrange(9000)) for _ in range(2000)] + [rng.randbytes(300_000), b""]
+    head = gzip.compress(record(b"filedesc://x.arc 0.0.0.0 19990102030405 text/plain", b"1 0 Someone\n"))
+    packed = head + b"".join(gzip.compress(record(b"http://a.example/ 1.2.3.4 19990102 text/html", b), 1) for b in bodies)
+    start = time.process_time()
+    assert [r.block for r in archives.read_arc(packed)][1:] == bodies
+    assert time.process_time() - start < 5
+    with pytest.raises(ValueError, match="ends inside"):
+        list(archives.read_arc(packed[:-9]))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -20,13 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut, drop_folder, read_files, shared_folder, write_shared
+from tilewright.llm.common import cut, drop_folder, read_files, read_shared, shared_folder, write_shared
 from tilewright.operators.skew import salted_join
 
 #: An archive is closed when it holds so many compressed bytes.
 ARCHIVE_BYTES = 8 << 20
-#: Compression of a record; higher levels take twice the time for a few hundredths of the size.
-LEVEL = 4
+#: Compression of a record; higher levels take twice the time for a few hundredths of the size. Legacy
+#: archives of pages are read twice and dropped.
+LEVEL, LEGACY_LEVEL = 4, 1
+#: Bytes of an archive that are inflated at a time.
+PART_BYTES = 1 << 16
+#: Archives that one task converts.
+TASK_ARCHIVES = 4
 #: Payloads of fewer bytes never become revisits.
 MIN_PAYLOAD = 0
 PAGE_HEADER = b"X-Page-Id"
@@ -57,42 +63,51 @@ class Stream:
     """Reads lines and counts of bytes from a file of gzip members, or a plain one."""
 
     def __init__(self, content: bytes) -> None:
-        self.left, self.held, self.at = memoryview(content), bytearray(), 0
-        self.packed = content[:2] == b"\x1f\x8b"
+        self.content, self.next, self.held, self.from_, self.at = memoryview(content), 0, bytearray(), 0, 0
+        self.packed, self.member = content[:2] == b"\x1f\x8b", None
 
     def _more(self) -> bool:
-        if not self.left:
+        """Take in a bounded part of what is left, so that a member costs no more than its own size."""
+        if self.next >= len(self.content):
+            if self.member:
+                raise ValueError("archive ends inside a record")
             return False
+        part = self.content[self.next : self.next + PART_BYTES]
+        self.next += len(part)
         if self.packed:
-            member = zlib.decompressobj(31)
-            self.held += member.decompress(self.left) + member.flush()
-            if not member.eof:
-                raise ValueError("archive ends inside a record")
-            self.left = self.left[len(self.left) - len(member.unused_data) :]
-        else:
-            self.held += self.left[: 1 << 20]
-            self.left = self.left[1 << 20 :]
+            self.member = self.member or zlib.decompressobj(31)
+            part = self.member.decompress(part)
+            if self.member.eof:
+                self.next -= len(self.member.unused_data)
+                self.member = None
+        # What has been read goes only now and then.
+        del self.held[: self.from_]
+        self.from_ = 0
+        self.held += part
         return True
 
     def read(self, n: int) -> bytes:
-        while len(self.held) < n and self._more():
+        while len(self.held) - self.from_ < n and self._more():
             pass
-        if len(self.held) < n:
+        if len(self.held) - self.from_ < n:
             raise ValueError("archive ends inside a record")
-        out = bytes(self.held[:n])
-        del self.held[:n]
+        out = bytes(memoryview(self.held)[self.from_ : self.from_ + n])
+        self.from_ += n
         self.at += n
         return out
 
     def line(self) -> bytes | None:
         """The next line without its end; None at the end of the file."""
-        while (end := self.held.find(b"\n")) < 0 and self._more():
-            pass
+        looked = 0
+        while (end := self.held.find(b"\n", self.from_ + looked)) < 0:
+            looked = len(self.held) - self.from_
+            if not self._more():
+                break
         if end < 0:
-            if not self.held:
+            if self.from_ == len(self.held):
                 return None
             end = len(self.held) - 1
-        return self.read(end + 1).rstrip(b"\r\n")
+        return self.read(end + 1 - self.from_).rstrip(b"\r\n")
 
 
 def text(raw: bytes) -> str:
@@ -150,8 +165,8 @@ def as_number(value: str | None) -> int | None:
     return int(value) if value and re.fullmatch(r"-?\d{1,19}", value) else None
 
 
-def pack_record(header: bytes, block: bytes, end: bytes) -> bytes:
-    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+def pack_record(header: bytes, block: bytes, end: bytes, level: int = LEVEL) -> bytes:
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(header) + z.compress(block) + z.compress(end) + z.flush()
 
 
@@ -224,7 +239,7 @@ def write_arcs(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BY
             about = f"{version} 0 tilewright\n".encode() + DEFINITIONS[version] + b"\n"
             first = f"filedesc://{name} 0.0.0.0 {date} text/plain "
             first += "" if version == 1 else f"200 - - 0 {name} "
-            write_shared(f"{folder}/{name}", iter([pack_record(f"{first}{len(about)}\n".encode(), about, b"\n"), *held]))
+            write_shared(f"{folder}/{name}", iter([pack_record(f"{first}{len(about)}\n".encode(), about, b"\n", LEGACY_LEVEL), *held]))
             names.append(name)
 
         for batch in batches:
@@ -233,7 +248,7 @@ def write_arcs(pages: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BY
                 head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 head += b"" if page_id is None else PAGE_HEADER + f": {page_id}\r\n".encode()
                 block = head + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
-                held.append(pack_record(line(clean_url(url, page_id), "text/html", len(block)), block, b"\n"))
+                held.append(pack_record(line(clean_url(url, page_id), "text/html", len(block)), block, b"\n", LEGACY_LEVEL))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     close()
@@ -276,7 +291,7 @@ def convert_arcs(spark: SparkSession, folder: str, to: str, *, min_payload: int
     Of records with equal payloads of at least ``min_payload`` bytes, that with the largest page
     id stays a response (then the last archive and place, for repeated ids), the others become
     revisits. Payloads are not moved for this: an index of digests decides, and what it decides
-    for an archive, at most a row per record, goes to the task that converts it.
+    for an archive, at most a row per record, goes to the task that opens and converts it.
     """
     index = cut(index_arcs(spark, folder).filter(F.col("payload_bytes") >= min_payload))
     last = index.groupBy("digest").agg(F.max(F.struct("page_id", "archive", "offset", "url", "date")).alias("to"), F.count(F.lit(1)).alias("n"))
@@ -289,13 +304,18 @@ def convert_arcs(spark: SparkSession, folder: str, to: str, *, min_payload: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("name").to_pylist()
-            for name, content, revisits in zip(names, batch.column("content").to_pylist(), batch.column("revisits").to_pylist(), strict=True):
+            for name, revisits in zip(names, batch.column("revisits").to_pylist(), strict=True):
                 found = {r["offset"]: {"id": record_id(r["a"], r["o"]), "url": r["u"], "date": r["d"]} for r in revisits or ()}
+                content = read_shared(f"{folder}/{name}")
                 write_shared(f"{to}/{name.removesuffix('.arc.gz')}.warc.gz", convert(name, content, found))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
 
-    files = read_files(spark, folder, ".arc.gz").select(F.substring_index("path", "/", -1).alias("name"), "content")
-    return files.join(per_archive, F.col("name") == F.col("archive"), "left").select("name", "content", "revisits").mapInArrow(run, "name string").count()
+    files = cut(read_files(spark, folder, ".arc.gz").select(F.substring_index("path", "/", -1).alias("name")))
+    named = files.join(per_archive, F.col("name") == F.col("archive"), "left").select("name", "revisits")
+    # The rows are short, their archives are not: a task for each few archives, however small the rows are together.
+    n = files.count()
+    tasks = max(min(n, spark.sparkContext.defaultParallelism), math.ceil(n / TASK_ARCHIVES))
+    return named.repartition(max(1, tasks)).mapInArrow(run, "name string").count()
 
 
 def read_warcs(spark: SparkSession, folder: str, *, with_payload: bool = False) -> DataFrame:

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.session import qualify, shared_dir
+from tilewright.session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,22 +35,30 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def folder_uri(spark: SparkSession, folder: str) -> str:
-    return qualify(spark, folder)
-
-
 # Names that Hadoop gives to stores, and the names the Python writer knows them by.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "gcs": "gs"}
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Python side's file system for a URI of Hadoop's, and the path there."""
+    scheme, sep, rest = uri.partition(":")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + sep + rest)
+
+
+def read_shared(uri: str) -> bytes:
+    """A whole file, read in a task."""
+    fs, path = file_system(uri)
+    with fs.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
 def write_shared(uri: str, pieces: Iterator[bytes]) -> int:
     """Write one file from a task and give it its name only when it is complete.
 
     A task that runs twice writes the same bytes under its own temporary name first, so a lost
     executor leaves no half file behind a final name.
     """
-    scheme, sep, rest = uri.partition(":")
-    fs, path = pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + sep + rest)
+    fs, path = file_system(uri)
     folder, name = os.path.split(path)
     fs.create_dir(folder, recursive=True)
     part, total = f"{folder}/_{name}.{uuid.uuid4().hex}", 0
@@ -87,13 +95,6 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pa.default_memory_pool().release_unused()
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row per value of ``key``; null is a value. The optimiser keeps one row per key and task
-    before the shuffle, so a key with many rows is harmless."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c) for c in df.columns if c != key])
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``; the root is the smallest node reached.
 
