@@ -19,6 +19,9 @@ SYMBOLS = r"[#*$%&|<>]+"
 COMMON_WORDS = 50
 #: Common words are looked for among words of at most so many characters.
 SHORT = 5
+#: Common words are looked up by their hash in a table of so many slots.
+SLOTS = 4096
+SLOT = f"cast(pmod(xxhash64(w), {SLOTS}) as int)"
 MIN_WORDS = 50
 MIN_CHARS = 200
 #: References are joined as a broadcast, one row per language; more languages are an error.
@@ -53,16 +56,18 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     )
-    # Windows of three words, sorted so that equal ones are neighbours. Arrays are arguments here,
-    # never captured by a lambda, so a filter that is pushed down cannot make this quadratic.
+    # One hash per window of three words. Arrays are arguments here, never captured by a lambda, so a
+    # filter that is pushed down cannot make this quadratic.
     out = out.withColumn(
-        "_windows",
+        "_hashes",
         F.expr(
-            "sort_array(transform(filter(zip_with(zip_with(_words, slice(_words, 2, greatest(size(_words) - 1, 0)), (a, b) -> struct(a, b)), "
-            "slice(_words, 3, greatest(size(_words) - 2, 0)), (x, c) -> struct(x.a as a, x.b as b, c as c)), x -> x.c is not null), "
-            "(x, i) -> struct(xxhash64(x.a, x.b, x.c) as h, i as i)))"
+            "slice(zip_with(zip_with(_words, slice(_words, 2, greatest(size(_words) - 1, 0)), (a, b) -> xxhash64(a, b)), "
+            "slice(_words, 3, greatest(size(_words) - 2, 0)), (h, c) -> xxhash64(h, c)), 1, greatest(size(_words) - 2, 0))"
         ),
     )
+    # Most texts repeat nothing. In the others, windows are sorted so that equal ones are neighbours.
+    windows = "sort_array(transform(_hashes, (h, i) -> struct(h, i)))"
+    out = out.withColumn("_windows", F.expr(f"if(size(array_distinct(_hashes)) = size(_hashes), array(), {windows})"))
     out = out.withColumn(
         "_found",
         F.expr(
@@ -77,7 +82,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "(a, p) -> struct(p as last, a.n + least(3, p - a.last) as n), a -> a.n)"
         ),
     )
-    return out.drop("_lines", "_left", "_rest", "_windows", "_found")
+    return out.drop("_lines", "_left", "_rest", "_hashes", "_windows", "_found")
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -119,8 +124,14 @@ def distances(docs: DataFrame, reference: DataFrame) -> DataFrame:
     if reference.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     named = reference.select(
-        F.col("lang").alias("_lang"), F.col("class_shares").alias("_q"), F.col("words").alias("_common"), F.col("word_shares").alias("_shares")
+        F.col("lang").alias("_lang"), F.col("class_shares").alias("_q"), F.col("words").alias("_common"), F.col("word_shares").alias("_shares"),
+        F.expr(f"transform(words, w -> {SLOT})").alias("_at"),
     )
+    # A table from a word's slot to its place, and the words whose slot another one has.
+    named = named.withColumns({
+        "_slots": F.expr(f"transform(sequence(0, {SLOTS - 1}), s -> cast(array_position(_at, s) as int))"),
+        "_others": F.expr("filter(_common, (w, i) -> array_position(_at, _at[i]) <> i + 1)"),
+    }).drop("_at")
     out = docs.join(F.broadcast(named), F.col("lang") == F.col("_lang"), "left")
     counts = F.array(*[F.col(f"n_{c}") for c in [*CLASSES, "other"]])
     out = out.withColumn("_p", F.transform(counts, lambda n: n / F.greatest("n_chars_all", F.lit(1))))
@@ -128,7 +139,8 @@ def distances(docs: DataFrame, reference: DataFrame) -> DataFrame:
     out = out.withColumn(
         "_hits",
         F.expr(
-            f"sort_array(filter(transform(_words, w -> if(length(w) <= {SHORT}, array_position(_common, w), 0L)), i -> i > 0))"
+            f"sort_array(filter(transform(_words, w -> if(length(w) > {SHORT} or (_slots[{SLOT}] = 0), 0, if(_common[_slots[{SLOT}] - 1] = w, _slots[{SLOT}], "
+            "if(array_contains(_others, w), cast(array_position(_common, w) as int), 0)))), i -> i > 0))"
         ),
     )
     # The last place of each run, then how many hits each run has. A common word that is absent
@@ -144,7 +156,7 @@ def distances(docs: DataFrame, reference: DataFrame) -> DataFrame:
         "_present",
         F.expr(
             "zip_with(_ends, concat(array(0), slice(transform(_ends, x -> x.k), 1, greatest(size(_ends) - 1, 0))), "
-            "(x, b) -> struct((x.k - b) / greatest(n_words, 1L) as p, _shares[cast(x.h as int) - 1] as q))"
+            "(x, b) -> struct((x.k - b) / greatest(n_words, 1L) as p, _shares[x.h - 1] as q))"
         ),
     )
     out = out.withColumn("_present", F.expr("filter(_present, x -> x.p is not null)"))
@@ -159,7 +171,7 @@ def distances(docs: DataFrame, reference: DataFrame) -> DataFrame:
             "char_distance": F.expr(f"if(_q is null or n_chars_all = 0, null, sqrt(greatest(0D, {chars})))"),
             "word_distance": F.expr(f"if(_shares is null or n_words = 0, null, sqrt(greatest(0D, {words})))"),
         }
-    ).drop("_lang", "_q", "_common", "_shares", "_p", "_hits", "_ends", "_present", "_rest_p", "_rest_q", "_words")
+    ).drop("_lang", "_q", "_common", "_slots", "_others", "_shares", "_p", "_hits", "_ends", "_present", "_rest_p", "_rest_q", "_words")
 
 
 def far_off() -> Column:
