@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
+from tilewright.llm import extraction
 from tilewright.llm.extraction import extract, main_text
 
 SF = "/root/testdata/sf0.01"
@@ -84,3 +86,40 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x</p>", 2), (1, "u", "<p>x</p>", 2)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, extract(pages).collect()), key=str) == sorted([(None, None, "", 0), (1, "u", "x", 1), (1, "u", "x", 1)], key=str)
     assert extract(pages.limit(0)).count() == 0
+
+
+def para(n):
+    return f"<p>Paragraph {n} has enough words, commas, and sense to count as text of the article.</p>"
+
+
+def words(*numbers):
+    return " ".join(f"Paragraph {n} has enough words, commas, and sense to count as text of the article." for n in numbers)
+
+
+def test_quotes_in_bare_attribute_values():
+    page = "<body><div><p data-x=it's>First paragraph, long enough to count, it's here.</p><p>Second one, which is as long as that, too.</p></div></body>"
+    assert extraction.main_text(page) == "First paragraph, long enough to count, it's here. Second one, which is as long as that, too."
+    page = """<div><p>One, with <a href=/o'neil>a link</a> and <a href=/x"y title='a > b' b="c>d">another</a>, and more text.</p></div>"""
+    assert extraction.main_text(page) == "One, with a link and another, and more text."
+    page = "<div><p a=' b>Quote never closed, but the text goes on here.</p><p>And here, where it is long enough.</p></div>"
+    assert extraction.main_text(page) == "Quote never closed, but the text goes on here. And here, where it is long enough."
+
+
+def test_sections_in_wrappers_all_stay():
+    wrapped = "".join(f"<div class=sec><div>{para(3 * k)}{para(3 * k + 1)}{para(3 * k + 2)}</div></div>" for k in range(2))
+    page = f"<body><div class=menu><ul><li><a href=/>Home</a></li></ul></div><div id=content>{wrapped}</div><div class=sidebar><div>{para(9)}{para(9)}{para(9)}</div></div></body>"
+    assert extraction.main_text(page) == words(*range(6))
+
+
+def test_articles_side_by_side_stay():
+    page = f"<body><nav>menu</nav><article>{para(1)}</article><article>{para(2)}</article><article class=comment>{para(3)}</article></body>"
+    assert extraction.main_text(page) == words(1, 2)
+    page = f"<body><article>{para(1)}{para(2)}{para(3)}</article><article>{para(4)}</article></body>"
+    assert extraction.main_text(page) == words(1, 2, 3)
+
+
+def test_tags_are_read_in_linear_time():
+    start = time.process_time()
+    for page in ("<p " + "a=' " * 100_000, "<p " + "a b = / " * 100_000 + ">x", "<" * 300_000, "<a " + '"' * 300_000, "<p" + " " * 300_000 + ">t"):
+        extraction.main_text(page)
+    assert time.process_time() - start < 10

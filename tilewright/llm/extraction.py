@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import small
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?)*+)>?""", re.S)
+#: Quotes open a value only right after the equals sign; a bare value ends at white space or the tag's end.
+ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag, whatever it looks like.
@@ -53,7 +54,7 @@ DOUBTFUL = re.compile(
 #: What follows says how a page is laid out, not what an element is.
 LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:(?:has|no|non|with|without)[_-][^\s_-]+|side-by-side)(?=$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|entry|post|content|story|text|body|main)(?=$|[\s_-])", re.I)
-NEVER_UNLIKELY = {"html", "body", "article", "main"}
+NEVER_UNLIKELY = {"html", "body", "main"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Paragraphs shorter than this give no points; a point for so many characters, up to three.
@@ -63,6 +64,8 @@ PARAGRAPHS = {"p", "pre", "blockquote", "td", "li", "dd", "div", "section", "art
 #: A sibling is kept with this share of the best score, or as a paragraph of so many characters.
 SIBLING_SHARE = 0.2
 SIBLING_CHARS = 80
+#: Text goes on beside the best container, or around it, where something else has this share of its score.
+SIMILAR_SHARE = 0.5
 LINK_SHARE = 0.5
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Names say nothing about these and what is inside them.
@@ -245,7 +248,12 @@ def measure(order: list[Node]) -> None:
 
 
 def best_container(root: Node, order: list[Node]) -> list[Node]:
-    """The kept elements, in page order."""
+    """The kept elements, in page order.
+
+    Inside ``article`` or ``main`` the whole element is kept, with those of its siblings of the same
+    kind that have a similar amount of unlinked text. Elsewhere the container climbs as long as
+    something beside it holds a similar score, and is kept with its siblings that look like text.
+    """
     scored = [n for n in order if n.score and n.tag not in ("p", "pre", "li", "td", "dd", "html", "tr", "span", "a", "b", "i", "em", "strong")]
     if not scored:
         named = [n for n in order if n.tag in ("article", "main") and n.chars] or [n for n in order if n.tag == "body" and n.chars]
@@ -255,17 +263,29 @@ def best_container(root: Node, order: list[Node]) -> list[Node]:
     while top and top.tag not in ("article", "main"):
         top = top.parent
     if top:
-        return [top]
+        beside = [k for k in top.parent.kids if isinstance(k, Node) and k.tag == top.tag and not k.out and not k.doubt] if top.parent else []
+        return [k for k in beside if k is top or k.chars - k.linked >= SIMILAR_SHARE * (top.chars - top.linked)] if top in beside else [top]
     if best.tag == "body" or not best.parent:
         return [best]
+    # The best score in every element or below it.
+    held: dict[Node, float] = {}
+    for n in reversed(order):
+        own = n.score * (1 - n.linked / n.chars) if n.chars else 0.0
+        held[n] = max([own, *(held.get(k, 0.0) for k in n.kids if isinstance(k, Node) and not k.doubt)])
+    path = node = best
+    while node.parent and node.parent.tag != "html":
+        if any(isinstance(k, Node) and k is not node and not k.doubt and held.get(k, 0.0) >= SIMILAR_SHARE * held[best] for k in node.parent.kids):
+            path = node
+        node = node.parent
     least = SIBLING_SHARE * best.score
     kept = []
-    for k in best.parent.kids:
-        if not isinstance(k, Node) or k.out or k.doubt and k is not best:
+    for k in path.parent.kids:
+        if not isinstance(k, Node) or k.out or k.doubt and k is not path:
             continue
         links = k.linked / k.chars if k.chars else 1
         paragraph = k.tag in ("p", "pre", "blockquote") and k.chars >= SIBLING_CHARS and links < 0.25
-        if k is best or k.score * (1 - links) >= least or paragraph or (k.tag in HEADINGS and links < LINK_SHARE):
+        similar = held.get(k, 0.0) >= (least if path is best else SIMILAR_SHARE * held[best])
+        if k is path or k.score * (1 - links) >= least or similar or paragraph or (k.tag in HEADINGS and links < LINK_SHARE):
             kept.append(k)
     return kept
 
@@ -373,7 +393,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` per row of ``pages(page_id, url, html)``.
 
-    Nulls: a null html gives an empty text; page_id and url are passed on. Ties between containers:
+    Nulls: a null html gives an empty text; page_id and url are passed on. Pages are read whole. Ties between containers:
     the first in the page. Repeated rows: one result each. Empty table: empty result. Other
     columns are not read.
     """

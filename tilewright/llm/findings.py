@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import cut, small
 
-CANDIDATE = re.compile(r"(?=[A-Za-z_+/.@~\-]*[0-9])[A-Za-z0-9_+/.@~\-]{12,}={0,2}")
+#: Whole runs of token characters; they are candidates if they hold a digit.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/.@~\-])[A-Za-z0-9_+/.@~\-]{12,}={0,2}")
+DIGIT = re.compile("[0-9]")
 ASSIGNED = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,63})[\"']?[ \t]*[=:]>?[ \t]*(?i:(?:bearer|basic)[ \t]+)?[\"']?$")
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that credentials are named by; fixed by usage.
@@ -131,14 +133,15 @@ def label(value: str, before: str) -> int | None:
 
 def candidates(text: str) -> list[tuple[int, str]]:
     """Places and values, in order; a place and value that both ways give counts once."""
-    found = {(m.start(), m.group()) for m in CANDIDATE.finditer(text)}
+    found = {(m.start(), m.group()) for m in CANDIDATE.finditer(text) if DIGIT.search(m.group())}
     for m in NAMED_VALUE.finditer(text):
         value = m[m.lastindex]
         if m.lastindex == 3:
-            bare = value
-            while bare and bare[-1] in AFTER_BARE and OPENS.get(bare[-1], " ") not in bare:
-                bare = bare[:-1]
-            value = bare or value
+            end = len(value)
+            closing = {c for c in AFTER_BARE if OPENS.get(c, "\n") not in value}
+            while end and value[end - 1] in closing:
+                end -= 1
+            value = value[:end] or value
         found.add((m.start(m.lastindex), value))
     return sorted(found)
 
@@ -271,7 +274,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]`` and ``n_chars`` counted anew; no row goes.
 
     Every finding is replaced at its place, from the last to the first. Values in ``WIDE`` are then
-    replaced wherever they stand in the text, longest first.
+    replaced wherever they stand in the text, longest first. Texts are read whole, in time linear in
+    their length. Other columns pass unchanged, whatever their names. Nulls and repeated rows: as in
+    ``find_secrets``; empty table: empty result.
     """
     size = F.char_length("value").alias("n")
     per_text = (
@@ -282,7 +287,10 @@ def redact(docs: DataFrame) -> DataFrame:
         )
         .select(F.col("key").alias("_key"), "_places", "_secrets")
     )
-    joined = docs.withColumn("_own", text_key()).join(per_text, F.col("_own") == F.col("_key"), "left")
+    # Plain numbers for names, so that no column of the input can clash with the new ones.
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    numbered = docs.toDF(*places.values()).withColumn("_own", F.xxhash64(places["doc_id"], places["text"]))
+    joined = numbered.join(per_text, F.col("_own") == F.col("_key"), "left")
 
     def masked(done: Column, place: Column) -> Column:
         # What overlaps a later finding reaches up to it only.
@@ -290,15 +298,17 @@ def redact(docs: DataFrame) -> DataFrame:
         text = F.overlay(done["text"], F.lit(MASK), (place["start"] + 1).cast("int"), length)
         return F.struct(text.alias("text"), place["start"].alias("until"))
 
-    first = F.struct(F.col("text").cast("string").alias("text"), F.lit(2**31 - 1).cast("long").alias("until"))
+    whole = F.col(places["text"])
+    first = F.struct(whole.cast("string").alias("text"), F.lit(2**31 - 1).cast("long").alias("until"))
     at_places = F.aggregate("_places", first, masked, lambda done: done["text"])
     text = F.when(
         F.col("_secrets").isNotNull(), F.aggregate("_secrets", at_places, lambda t, s: F.replace(t, s["value"], F.lit(MASK)))
-    ).otherwise(F.col("text"))
-    cleaned = joined.withColumn("text", text)
+    ).otherwise(whole)
+    cleaned = joined.withColumn(places["text"], text)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_secrets").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+        size = F.length(places["text"]).cast(docs.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn(places["n_chars"], F.when(F.col("_secrets").isNotNull(), size).otherwise(F.col(places["n_chars"])))
+    return cleaned.select(*places.values()).toDF(*docs.columns)
 
 
 def digest(value: str) -> str:

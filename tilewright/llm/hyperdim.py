@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,10 @@ STEP_GRAMS = 2048
 #: Prototypes are brought to the driver, one per language value; more values are an error.
 MAX_LANGUAGES = 1024
 #: Words are runs of letters; what is between them counts as one gap.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no decimal digits (fractions, Roman numerals, superscripts) are word characters to
+#: regular expressions, but no letters.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 
 
 @lru_cache(KNOWN_LETTERS)

@@ -217,8 +217,15 @@ def place(
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as it is, its rows in the order of the mix: files and rows in them follow the slots."""
-    return mix(docs, **options).repartitionByRange("slot", "at").sortWithinPartitions("slot", "at").select(*docs.columns)
+    """``docs`` as it is, its rows in the order of the mix: files and rows in them follow the slots.
+
+    All columns pass, whatever their names; otherwise as ``mix``.
+    """
+    needed = ("doc_id", "source", "text")
+    # Plain numbers for the other names, so that no column of the input can clash with the new ones.
+    numbered = docs.toDF(*[c if c in needed else f"c{i}" for i, c in enumerate(docs.columns)])
+    mixed = mix(numbered, **options).repartitionByRange("slot", "at").sortWithinPartitions("slot", "at")
+    return mixed.select(*numbered.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -176,16 +176,22 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each component, with all columns of ``docs``.
 
     Rows that repeat a doc_id that stays are reduced to one. Rows without a doc_id stay: nothing
-    names them, so none can be told to be the copy.
+    names them, so none can be told to be the copy. All columns pass, whatever their names and types;
+    texts are read whole. Empty table: empty result.
     """
+    # Plain numbers for names, so that no column of the input can clash with the new ones.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = F.col(numbered.columns[docs.columns.index("doc_id")])
     ids = near_duplicates(docs).groupBy("doc_id").agg(
         F.min("component_id").alias("_component"), F.count(F.lit(1)).alias("_times")
     )
     ids = cut(ids.filter("doc_id = _component").select(F.col("doc_id").alias("_kept"), "_times"))
     once = ids.filter("_times = 1").select("_kept")
     more = ids.filter("_times > 1").select("_kept")
-    single = docs.join(once, docs.doc_id == F.col("_kept"), "left_semi")
-    repeated = docs.join(more, docs.doc_id == F.col("_kept"), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    repeated = repeated.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    single = numbered.join(once, own == F.col("_kept"), "left_semi")
+    repeated = numbered.join(more, own == F.col("_kept"), "left_semi")
+    # Any column can be part of the JSON form, also those that have no order.
+    form = F.to_json(F.struct(*numbered.columns))
+    w = Window.partitionBy(own).orderBy(F.xxhash64("_form"), "_form")
+    repeated = repeated.withColumn("_form", form).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_form")
+    return single.unionByName(repeated).unionByName(numbered.filter(own.isNull())).toDF(*docs.columns)
