@@ -142,3 +142,16 @@ def test_sequences_follow_the_mix(spark):
     assert len(runs) > 3
     for held in runs:
         assert all(abs(held[s] / sum(held.values()) - w / 10) < 0.15 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_thinned_memo_gives_the_same_ids(monkeypatch, name):
+    """Also when chunks met once are forgotten again and again, and when all are."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(f"{'Ab' * int(k % 3)}w{'xyzé'[int(k) % 4] * int(k % 7)}{m}" for k, m in zip(rng.zipf(1.3, 60) % 400, rng.choice(np.array([" ", ", ", "!!\n", "*** ", "'s ", "  "]), 60))) for _ in range(80)]
+    for most, slice_chars in ((50, 400), (3, 300), (10_000, 10**6)):
+        monkeypatch.setattr(tokens, "MEMO_CHUNKS", most)
+        monkeypatch.setattr(tokens, "SLICE_CHARS", slice_chars)
+        enc = tokens.Encoder(public_tokenizers.path(name))
+        got = [list(x) for x in enc.encode(texts)]
+        assert got == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

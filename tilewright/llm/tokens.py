@@ -69,6 +69,23 @@ class Memo(dict):
         self.chars = 0
         self.waiting: list[str] = []
         self.flat, self.start, self.length = array("i"), array("i"), array("i")
+        self.uses = np.zeros(0, np.int64)
+
+    def thin_out(self) -> None:
+        """Forget chunks that were met once; all of them, if that leaves more than half."""
+        often = np.flatnonzero(self.uses > 1)
+        chunks = list(self)  # in the order of their numbers
+        kept = [chunks[n] for n in often]
+        if 2 * len(kept) > MEMO_CHUNKS or 2 * sum(map(len, kept)) > MEMO_CHARS:
+            self.forget()
+            return
+        ids, ends = self.gather(often)
+        sizes = np.diff(ends, prepend=0)
+        self.forget()
+        self.update(zip(kept, range(len(kept)), strict=True))
+        self.chars = sum(map(len, kept))
+        for held, values in ((self.flat, ids), (self.start, ends - sizes), (self.length, sizes)):
+            held.frombytes(values.astype(np.int32).tobytes())
 
     def __missing__(self, chunk: str) -> int:
         n = self[chunk] = len(self)
@@ -109,7 +126,12 @@ class Memo(dict):
                 continue
             head, tail = p
             n = self.get(head, known)
-            first.append(n if n < known else known + new.setdefault(head, len(new)))
+            if n < known:
+                first.append(n)
+            elif self.spaced and head[0] != " ":
+                first.append(-1 - odd.setdefault(head, len(odd)))
+            else:
+                first.append(known + new.setdefault(head, len(new)))
             second.append(-1 - odd.setdefault(tail, len(odd)))
         # Words that have so far been met with marks only are kept as well.
         for head in new:
@@ -141,21 +163,13 @@ class Memo(dict):
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def _words(self, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of these plain words, and their number per word. Words with a space before them, or
-        that need none, go to the library as one text."""
-        apart = [i for i, h in enumerate(heads) if self.spaced and h[0] != " "]
-        joined = "".join([h if h[0] == " " else f" {h}" for h in heads]) if self.spaced else " ".join(heads)
-        found = self.tokenizer.encode(joined, add_special_tokens=False)
+        """All ids of these plain words, and their number per word: one text, each word of which is one."""
+        found = self.tokenizer.encode(("" if self.spaced else " ").join(heads), add_special_tokens=False)
         counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(heads))
-        ids = np.array(found.ids, np.int32)
-        if len(counts) != len(heads) or not counts.all():
-            apart, counts, ids = list(range(len(heads))), np.ones(len(heads), np.int64), np.zeros(len(heads), np.int32)
-        if apart:
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            for i in apart:
-                parts[i] = np.array(self._alone(heads[i]), np.int32)
-            counts, ids = np.array([len(p) for p in parts]), np.concatenate(parts)
-        return ids, counts
+        if len(counts) == len(heads) and counts.all():
+            return np.array(found.ids, np.int32), counts
+        parts = [np.array(self._alone(h), np.int32) for h in heads]
+        return np.concatenate([*parts, np.zeros(0, np.int32)]), np.array([len(p) for p in parts], np.int64)
 
 
 class Encoder:
@@ -199,13 +213,17 @@ class Encoder:
             yield from map(self._whole, texts)
             return
         if len(memo) > MEMO_CHUNKS or memo.chars > MEMO_CHARS:
-            memo.forget()
+            memo.thin_out()
         sure = [not any(s in t for s in (*UNSURE, *self.special)) for t in texts]
         numbers = [
             np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
             for found in (self.chunks(t) if ok else [] for t, ok in zip(texts, sure, strict=True))
         ]
-        ids, ends = memo.gather(np.concatenate([*numbers, np.zeros(0, np.int64)]))
+        every = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        ids, ends = memo.gather(every)
+        uses = np.bincount(every, minlength=len(memo))
+        uses[: len(memo.uses)] += memo.uses
+        memo.uses = uses
         chunk_ends = np.cumsum([len(x) for x in numbers], dtype=np.int64)
         stops = np.r_[0, ends][chunk_ends]
         begin = 0
