@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.blocks import flat_map
-from tilewright.functions.draws import draw_integer, draw_key, draw_uniform
+from tilewright.functions.draws import counter_normals, counter_uniforms, draw_integer, draw_key, draw_uniform
 from tilewright.functions.pixels import clip, double
 from tilewright.operators.patches import PATCH_SCHEMA
 from tilewright.operators.tiles import axis_reflection
@@ -191,10 +191,10 @@ def _augment(sigma: float, alpha: float, hook: Callable | None):
         image, mask = np.rot90(image, row["quarter_turns"]), np.rot90(mask, row["quarter_turns"])
         grid_y, grid_x = np.mgrid[0:side, 0:side].astype(np.float64)
         if row["elastic_seed"] is not None:
-            noise = np.random.default_rng(row["elastic_seed"])
             reach = max(1, int(3 * sigma))
-            shift_y = _smooth(noise.uniform(-1, 1, (side, side)), reach, sigma) * alpha
-            shift_x = _smooth(noise.uniform(-1, 1, (side, side)), reach, sigma) * alpha
+            shift_y, shift_x = (
+                _smooth(2 * counter_uniforms(row["elastic_seed"], stream, (side, side)) - 1, reach, sigma) * alpha for stream in (0, 1)
+            )
             image = _sample(image, grid_y + shift_y, grid_x + shift_x, nearest=False)
             mask = _sample(mask, grid_y + shift_y, grid_x + shift_x, nearest=True)
         if row["zoom"] is not None:
@@ -206,8 +206,7 @@ def _augment(sigma: float, alpha: float, hook: Callable | None):
         if row["blur_size"] is not None:
             image = _smooth(image, row["blur_size"] // 2, row["blur_sigma"])
         if row["noise_std"] is not None:
-            noise = np.random.default_rng(row["noise_seed"])
-            image = image + noise.normal(0.0, row["noise_std"] * top, image.shape)
+            image = image + row["noise_std"] * top * counter_normals(row["noise_seed"], image.shape)
         if row["contrast"] is not None:
             image = image * row["contrast"] + row["brightness"] * top
         image = np.clip(image, 0.0, top)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tilewright.plans import registry_files, registry_instances, registry_pixels, registry_tables
+from tilewright.plans import registry_augment, registry_files, registry_instances, registry_pixels, registry_tables
 from tilewright.session import ship_code
 
 
@@ -21,7 +21,7 @@ def _ready(fn):
 
 QUERIES = {
     name: _ready(fn)
-    for module in (registry_pixels, registry_instances, registry_tables, registry_files)
+    for module in (registry_pixels, registry_augment, registry_instances, registry_tables, registry_files)
     for name, fn in module.QUERIES.items()
 }
-ORACLES = {**registry_pixels.ORACLES, **registry_instances.ORACLES, **registry_tables.ORACLES, **registry_files.ORACLES}
+ORACLES = {**registry_pixels.ORACLES, **registry_augment.ORACLES, **registry_instances.ORACLES, **registry_tables.ORACLES, **registry_files.ORACLES}
