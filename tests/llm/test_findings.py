@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 
@@ -79,3 +80,13 @@ def test_assigned_values_of_any_form(spark):
         assert got[i] == text[10**6 + i]
     assert findings.candidates("password=x") == [(9, "x")] and findings.candidates("pwd: 'a b)'") == [(6, "a b)")]
     assert np.isfinite(findings.describe("x", "pwd=", "", "", FLAT)).all()
+
+
+def test_long_runs_take_linear_time():
+    start = time.process_time()
+    for text in ("-" * 1_000_000, "a" * 1_000_000, "ab/" * 300_000 + "1", "token=" + ")" * 500_000, "password: " + "x" * 500_000 + "." * 500_000, "a1 " * 300_000):
+        for _, value in findings.candidates(text):
+            assert value
+    assert time.process_time() - start < 6
+    assert findings.candidates("-" * 100 + "1" + "=" * 3) == [(0, "-" * 100 + "1==")]
+    assert findings.candidates("x abcdefghijklmnop y 12345678901") == []

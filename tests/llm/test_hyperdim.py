@@ -71,3 +71,10 @@ def test_only_the_text_decides(spark):
 @pytest.mark.parametrize("text", ["", "a", "ab"])
 def test_short(text):
     assert hyperdim.bundles([text], 32).shape == (1, 32)
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the house", "en"), (2, "² ½ Ⅷ ① 12", None), (3, "a½b", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in hyperdim.predict_documents(docs).collect()}
+    assert got[2].lang_pred == "und" and got[2].score == 0
+    assert hyperdim.LETTERS.findall("a½b ²c Ⅷ") == ["a", "b", "c"]

@@ -1,7 +1,7 @@
 """Quality rules from distribution divergence: a document against its language.
 
 Two histograms are compared by Jensen-Shannon distance (base 2, from 0 to 1): character classes,
-and the language's most common short words with everything else as one class. References are
+and the language's most common words with everything else as one class. References are
 counted over all documents of the language. Only DataFrame functions are used.
 """
 
@@ -17,8 +17,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "space": SPACE, "beyond": r"[^\x00-\x7F]+"}
 SYMBOLS = r"[#*$%&|<>]+"
 COMMON_WORDS = 50
-#: Common words are looked for among words of at most so many characters.
-SHORT = 5
 #: Common words are looked up by their hash in a table of so many slots.
 SLOTS = 4096
 SLOT = f"cast(pmod(xxhash64(w), {SLOTS}) as int)"
@@ -95,13 +93,13 @@ def references(docs: DataFrame) -> DataFrame:
     )
     total = sum((F.col(c) for c in classes), F.lit(0.0))
     chars = chars.filter(total > 0).select("lang", "all_words", F.array(*[F.col(c) / F.greatest(total, F.lit(1.0)) for c in classes]).alias("class_shares"))
-    short = (
+    counts = (
         known.select("lang", F.explode(F.split("text", SPACE, -1)).alias("word"))
-        .filter(F.length("word").between(1, SHORT))
+        .filter("word <> ''")
         .groupBy("lang", "word").count()
     )
     best = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    top = short.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= COMMON_WORDS)
+    top = counts.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= COMMON_WORDS)
     words = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("_rn", "word", "count"))).alias("w"))
     return chars.join(words, "lang", "left").select(
         "lang", "class_shares",
@@ -139,7 +137,7 @@ def distances(docs: DataFrame, reference: DataFrame) -> DataFrame:
     out = out.withColumn(
         "_hits",
         F.expr(
-            f"sort_array(filter(transform(_words, w -> if(length(w) > {SHORT} or (_slots[{SLOT}] = 0), 0, if(_common[_slots[{SLOT}] - 1] = w, _slots[{SLOT}], "
+            f"sort_array(filter(transform(_words, w -> if(_slots[{SLOT}] = 0, 0, if(_common[_slots[{SLOT}] - 1] = w, _slots[{SLOT}], "
             "if(array_contains(_others, w), cast(array_position(_common, w) as int), 0)))), i -> i > 0))"
         ),
     )
@@ -221,7 +219,7 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 again AS (SELECT doc_id, count(DISTINCT i + s) AS n_repeat_words FROM twice, range(3) AS r(s) GROUP BY doc_id),
 ref AS (SELECT lang, sum(len(ws)) AS all_words, {", ".join(f"sum(n_{c}) / sum(n) AS q_{c}" for c in _NAMES)}
         FROM c WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n) > 0),
-top AS (SELECT w.lang, word, count(*) AS k, count(*) / any_value(all_words) AS q FROM w JOIN ref USING (lang) WHERE length(word) <= {SHORT}
+top AS (SELECT w.lang, word, count(*) AS k, count(*) / any_value(all_words) AS q FROM w JOIN ref USING (lang)
         GROUP BY w.lang, word QUALIFY row_number() OVER (PARTITION BY w.lang ORDER BY k DESC, word) <= {COMMON_WORDS}),
 others AS (SELECT lang, all_words, (all_words - coalesce(sum(k), 0)) / all_words AS q FROM ref LEFT JOIN top USING (lang) GROUP BY lang, all_words),
 seen AS (SELECT doc_id, w.lang, word, count(*) AS k FROM w SEMI JOIN top ON w.lang = top.lang AND w.word = top.word GROUP BY doc_id, w.lang, word),
