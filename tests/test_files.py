@@ -379,3 +379,11 @@ def test_files_of_one_folder_have_one_header(spark, tmp_path):
     (tmp_path / "c.csv").write_text("magnification,image\n4x,c_4x.png\n")
     with pytest.raises(ValueError, match="header"):
         metadata.read_metadata_strict(spark, str(tmp_path))
+
+
+def test_store_names_for_arrow():
+    from tilewright.session import arrow_uri
+
+    assert arrow_uri("s3a://bucket/a b:c") == "s3://bucket/a b:c"
+    assert arrow_uri("abfs://c@h/x") == "abfss://c@h/x" and arrow_uri("gcs://b/x") == "gs://b/x"
+    assert arrow_uri("file:/tmp/x") == "file:/tmp/x" and arrow_uri("hdfs://n/x") == "hdfs://n/x"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import naming
 from tilewright.operators import annotation, batches, catalogue, overlays, splits, training_log
 from tilewright.plans import standins as s
-from tilewright.sources import runs
+from tilewright.sources import runs, synthetic
 
 QUERIES = {}
 ORACLES = {}
@@ -171,6 +171,18 @@ def pairing(spark, sf_dir):
     return catalogue.pair_files(_raw_files(spark, sf_dir), _mask_files(spark, sf_dir))
 
 
+@query(
+    f"""WITH {SQL_SIDES} SELECT 'same names' AS sides, count(*) > 0 AS any_pair FROM raw SEMI JOIN masks USING (image_id)
+UNION ALL SELECT 'other names', count(*) > 0 FROM raw SEMI JOIN (SELECT 'x' || image_id AS image_id FROM masks) USING (image_id)"""
+)
+def any_pairs(spark, sf_dir):
+    """Whether any stem is on both sides, for masks as they are and under other names."""
+    raw, masks = _raw_files(spark, sf_dir), _mask_files(spark, sf_dir)
+    other = masks.withColumn("image_id", F.concat(F.lit("x"), "image_id"))
+    found = [("same names", catalogue.has_pairs(raw, masks)), ("other names", catalogue.has_pairs(raw, other))]
+    return spark.createDataFrame(found, "sides string, any_pair boolean")
+
+
 @query(f"WITH {SQL_SIDES} SELECT image_id, max(path) AS path, count(*) AS n_files FROM raw GROUP BY 1")
 def one_file_per_stem(spark, sf_dir):
     """The last path per stem."""
@@ -376,6 +388,15 @@ SQL_CUSTOMER_META = """meta AS (SELECT 'c_' || c_custkey AS image_id,
 SPLIT_COLUMNS = ("image_id", "stratum", "rn", "group_size", "split")
 
 
+@query(
+    f"""WITH {_sql_split("meta AS (SELECT 'synth_' || CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 3, '0') ELSE CAST(p_partkey AS VARCHAR) END || CASE p_partkey % 2 WHEN 0 THEN '_4x' ELSE '_10x' END AS image_id, CASE p_partkey % 2 WHEN 0 THEN '4x' ELSE '10x' END AS magnification, '' AS condition FROM part)")}
+SELECT image_id, split FROM assigned"""
+)
+def synthetic_split_members(spark, sf_dir):
+    """Split of synthetic pictures, one per row of a table, within each magnification."""
+    return synthetic.splits_of(synthetic.named(s.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"))))
+
+
 @query(f"WITH {_sql_split(SQL_DOC_META)} SELECT {', '.join(SPLIT_COLUMNS)} FROM assigned")
 def strat_split(spark, sf_dir):
     """Falls back to one stratum per magnification."""

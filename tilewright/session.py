@@ -19,6 +19,8 @@ def build_session(app_name: str = "tilewright", cpus: str = "*", **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Stored intermediate tables go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else cpus)
         # Rows of the image tables are megabytes wide, so Arrow batches are bounded by bytes.
         .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
@@ -74,6 +76,16 @@ def qualify(spark: SparkSession, path: str) -> str:
     return hadoop_path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
 
+# Names that Hadoop gives to stores, and the names that pyarrow knows them by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "gcs": "gs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A qualified URI of Hadoop's in the form that pyarrow's file systems read."""
+    scheme, sep, rest = uri.partition(":")
+    return SCHEMES.get(scheme, scheme) + sep + rest
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

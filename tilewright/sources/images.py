@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions import naming
 from tilewright.functions.blocks import IMAGE_SCHEMA, flat_map, iter_rows, packed, pixels
-from tilewright.session import qualify
+from tilewright.session import arrow_uri, qualify
 
 # The supported extensions in any case, checked while listing.
 IMAGE_GLOB = "*.{" + ",".join(
@@ -281,7 +281,7 @@ def write_files(files: DataFrame, folder: str) -> None:
     A name may contain sub-folders. A file appears under its final name only when complete, and a
     repeated task writes it again with the same content.
     """
-    target = qualify(files.sparkSession, folder)
+    target = arrow_uri(qualify(files.sparkSession, folder))
 
     def write(batches: Iterator) -> Iterator:
         from pyarrow import fs as arrow_fs

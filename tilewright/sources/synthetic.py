@@ -175,10 +175,13 @@ def synthetic_dataset(
 
 def synthetic_splits(spark: SparkSession, n_images: int, seed: int = 42) -> DataFrame:
     """``image_id, split``: 70 / 15 / 15 within each magnification."""
-    names = synthetic_names(spark, n_images).select(
-        "image_id", "magnification", F.lit("").alias("condition")
-    )
-    return assign_splits(names, seed=seed).select("image_id", "split")
+    return splits_of(synthetic_names(spark, n_images), seed)
+
+
+def splits_of(names: DataFrame, seed: int = 42) -> DataFrame:
+    """``image_id, split`` of rows with ``image_id, magnification``."""
+    members = names.select("image_id", "magnification", F.lit("").alias("condition"))
+    return assign_splits(members, seed=seed).select("image_id", "split")
 
 
 def synthetic_split(
