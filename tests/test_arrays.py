@@ -356,3 +356,22 @@ def test_stripes_and_blobs(spark, arrays):
         assert set(np.unique(mask)) == {0, 1, 2} and raw.size == 512 * 512
         for label, (low, high) in ((0, (0, 80)), (1, (120, 180)), (2, (180, 255))):
             assert low <= raw[mask == label].min() and raw[mask == label].max() < high
+
+
+def test_counter_draws():
+    """Each number depends on seed, stream and place only, and they spread evenly."""
+    from tilewright.functions.draws import COUNTER_STEP, MIX, STREAM_STEP, counter_normals, counter_uniforms
+
+    def by_hand(seed, stream, i):
+        x = ((seed ^ stream * STREAM_STEP) & 0xFFFFFFFF) + i * COUNTER_STEP & 0xFFFFFFFF
+        for _ in range(2):
+            x = (x ^ x >> 16) * MIX & 0xFFFFFFFF
+        return ((x ^ x >> 16) + 0.5) / 2**32
+
+    for seed, stream in ((0, 0), (7, 1), (2**32 - 1, 3)):
+        u = counter_uniforms(seed, stream, (40, 50))
+        assert [u.ravel()[i] for i in (0, 1, 1999)] == [by_hand(seed, stream, i) for i in (0, 1, 1999)]
+        assert np.array_equal(counter_uniforms(seed, stream, (2, 50)), u[:2])
+        assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.03 and abs(u.std() - 12**-0.5) < 0.02
+    z = counter_normals(11, (200, 200))
+    assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03 and abs((abs(z) < 1.96).mean() - 0.95) < 0.01
