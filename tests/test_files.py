@@ -178,7 +178,7 @@ def test_inconsistent_folders_stop_the_split(spark, tmp_path):
     table = str(tmp_path / "table")
     onboarding.update_metadata(spark, raw, table)
     os.remove(os.path.join(masks, "synth_000_4x.png"))
-    with pytest.raises(ValueError, match="raw_without_mask: 1"):
+    with pytest.raises(ValueError, match="raw_without_mask: 1: synth_000_4x"):
         onboarding.make_splits(spark, raw, masks, metadata.latest_version(spark, table), str(tmp_path / "lists"))
 
 
@@ -362,6 +362,14 @@ def test_synthetic_pictures_stand_in(spark, tmp_path):
     args = (spark, str(tmp_path / "raw"), str(tmp_path / "masks"), str(tmp_path / "lists"), "test", synthetic.threshold_labels)
     rows = confusion.report(evaluation.evaluate_or_synthetic(*args, tile=128)).filter("grain = 'overall'").collect()
     assert rows and all(r["dice"] == 1.0 for r in rows)
+    # Options hold for synthetic pictures too: two classes after merging, and one more than there are.
+    merged = confusion.report(evaluation.evaluate_or_synthetic(*args[:-1], two_classes, tile=128, class_mapping={2: 1}, batch_size=2, normalise=False, num_classes=4), 4)
+    scores = {r["class"]: r for r in merged.filter("grain = 'overall'").collect()}
+    assert all(r["dice"] == 1.0 for r in scores.values()) and scores["aggregate"]["tp"] == 0 < scores["loose cell"]["tp"]
+
+
+def two_classes(batch):
+    return (synthetic.threshold_labels(batch) > 0).astype(np.uint8)
 
 
 def test_any_white_space_is_trimmed(spark, tmp_path):

@@ -62,6 +62,9 @@ def presence(raw: DataFrame, masks: DataFrame, metadata: DataFrame) -> DataFrame
     return everything.groupBy("image_id").agg(*[F.bool_or(f).alias(f) for f in flags])
 
 
+ISSUES = ("metadata_without_files", "raw_without_mask", "mask_without_raw")
+
+
 def consistency_issues(raw: DataFrame, masks: DataFrame, metadata: DataFrame) -> DataFrame:
     """All mismatches at once: ``issue, image_id, in_raw, in_mask``.
 
@@ -83,12 +86,18 @@ def consistency_issues(raw: DataFrame, masks: DataFrame, metadata: DataFrame) ->
     )
 
 
-def raise_on_issues(issues: DataFrame, shown: int = 20) -> None:
-    """Stop with a message when there are issues; counts are complete, examples are a few."""
-    counts = issues.groupBy("issue").agg(
-        F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first")
-    )
-    lines = [f"{r['issue']}: {r['n']} (first: {r['first']})" for r in counts.orderBy("issue").take(shown)]
+def raise_on_issues(issues: DataFrame, shown: int = 1000) -> None:
+    """Stop with a message that counts the issues of each kind and names their stems, in order.
+
+    The message is for a person, so it names at most ``shown`` of a kind; ``issues`` has all.
+    """
+    lines = []
+    for kind in ISSUES:
+        found = issues.filter(F.col("issue") == kind)
+        names = found.orderBy("image_id").select("image_id", "in_raw", "in_mask").take(shown)
+        if names:
+            each = [f"{r['image_id']} (raw {r['in_raw']}, mask {r['in_mask']})" if kind == ISSUES[0] else r["image_id"] for r in names]
+            lines.append(f"{kind}: {found.count()}: {', '.join(each)}")
     if lines:
         raise ValueError("raw files, masks and metadata do not agree\n" + "\n".join(lines))
 

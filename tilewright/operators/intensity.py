@@ -148,6 +148,18 @@ def remap_masks(masks: DataFrame, mapping: dict[int, int] | None) -> DataFrame:
     return masks.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(one, IMAGE_SCHEMA), IMAGE_SCHEMA)
 
 
+def remap_pairs(pairs: DataFrame, mapping: dict[int, int] | None) -> DataFrame:
+    """The same for the ``mask`` bytes of rows that hold image and mask."""
+    if not mapping:
+        return pairs
+    table = bytes(mapping.get(value, value) for value in range(256))
+
+    def one(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        yield {**row, "data": bytes(row["data"]), "mask": bytes(row["mask"]).translate(table)}
+
+    return pairs.mapInArrow(flat_map(one, pairs.schema), pairs.schema)
+
+
 def to_bytes(images: DataFrame) -> DataFrame:
     """Float rows in [0, 1] to uint8, cut off; colour is averaged over its channels first."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import naming
-from tilewright.operators import catalogue, confusion, scoring, tiles
+from tilewright.operators import catalogue, confusion, intensity, scoring, tiles
 from tilewright.operators.scoring import Predictor
 from tilewright.plans.loading import load_split
 from tilewright.sources import images, synthetic
@@ -117,19 +117,27 @@ def evaluate_synthetic(
     width: int = 512,
     seed: int = 42,
     batch_size: int = 4,
+    class_mapping: dict[int, int] | None = None,
+    num_classes: int = 3,
+    allow_out_of_range: bool = False,
 ) -> DataFrame:
     """The same for a split of synthetic pictures, when there is no annotated data yet."""
     pairs = synthetic.synthetic_split(
         spark, split, n_images, height=height, width=width, seed=seed
     )
-    return evaluate_pairs(pairs, predict, tile=tile, batch_size=batch_size)
+    pairs = intensity.remap_pairs(pairs, class_mapping)
+    return evaluate_pairs(pairs, predict, tile=tile, batch_size=batch_size, num_classes=num_classes, allow_out_of_range=allow_out_of_range)
 
 
 def evaluate_or_synthetic(
     spark: SparkSession, raw_dir: str, masks_dir: str, splits_dir: str, split: str, predict: Predictor, *, tile: int, **options
 ) -> DataFrame:
-    """``evaluate_split`` where there is any image with a mask, else the same on synthetic pictures."""
+    """``evaluate_split`` where there is any image with a mask, else the same on synthetic pictures.
+
+    Options about stored pictures (``channels``, ``normalise``) say nothing about synthetic ones.
+    """
     raw, masks = images.scan_images(spark, raw_dir), images.scan_images(spark, masks_dir)
     if catalogue.has_pairs(raw, masks):
         return evaluate_split(spark, raw_dir, masks_dir, splits_dir, split, predict, tile=tile, **options)
-    return evaluate_synthetic(spark, split, predict, tile=tile)
+    options = {k: v for k, v in options.items() if k not in ("channels", "normalise")}
+    return evaluate_synthetic(spark, split, predict, tile=tile, **options)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,13 +100,18 @@ def make_splits(
     seed: int = 42,
     force: bool = False,
 ) -> DataFrame:
-    """Check that files and metadata agree, assign splits, write the lists, return the summary."""
+    """Check that files and metadata agree, assign splits, write the lists, return the summary.
+
+    Warns if conditions are named but too rare to be stratified together with the magnification.
+    """
     splits.check_fractions(train, val)
     clean, errors = metadata.read_metadata_strict(spark, metadata_path)
     metadata.raise_on_errors(errors)
     raw = images.scan_images(spark, raw_dir)
     masks = images.scan_images(spark, masks_dir)
     catalogue.raise_on_issues(catalogue.consistency_issues(raw, masks, clean))
+    if not splits.joint_is_eligible(clean, train, val).first()["joint"] and not clean.filter("trim(coalesce(condition, '')) <> ''").isEmpty():
+        warnings.warn("some conditions do not fill all splits; splits are stratified by magnification alone", stacklevel=2)
     assigned = splits.assign_splits(clean, train, val, seed)
     split_lists.write_splits(assigned, splits_dir, force=force)
     return splits.split_summary(assigned)

@@ -566,7 +566,8 @@ def channels(spark, sf_dir):
 k AS (SELECT *, CASE cls WHEN 2 THEN 255 ELSE 0 END AS red, CASE cls WHEN 0 THEN 0 ELSE 255 END AS green FROM c)
 SELECT image_id, y, x, CAST(round_even(v * 5e-1 + red * 5e-1, 0) AS INT) AS tint_red,
 CAST(round_even(v * 5e-1 + green * 5e-1, 0) AS INT) AS tint_green, CAST(round_even(v * 5e-1, 0) AS INT) AS tint_blue,
-CAST(floor(CASE cls WHEN 1 THEN 255 ELSE 0 END * 4e-1 + v * 6e-1) AS INT) AS viewer_red FROM k"""
+CAST(floor(CASE cls WHEN 1 THEN 255 ELSE 0 END * 4e-1 + v * 6e-1) AS INT) AS viewer_red,
+CAST(floor(CASE cls WHEN 2 THEN 255 ELSE 0 END * 4e-1 + v * 6e-1) AS INT) AS viewer_green, CAST(floor(0 * 4e-1 + v * 6e-1) AS INT) AS viewer_blue FROM k"""
 )
 def overlay_tint(spark, sf_dir):
     """Class colours over raw gray, in both blends."""
@@ -580,7 +581,7 @@ def overlay_tint(spark, sf_dir):
         pixels.tint(v, colour[0]).alias("tint_red"),
         pixels.tint(v, colour[1]).alias("tint_green"),
         pixels.tint(v, colour[2]).alias("tint_blue"),
-        pixels.tint_viewer(v, viewer[0]).alias("viewer_red"),
+        *[pixels.tint_viewer(v, viewer[c]).alias(f"viewer_{name}") for c, name in enumerate(("red", "green", "blue"))],
     )
 
 
@@ -599,8 +600,7 @@ f AS (SELECT *, exp(l0 - t) / z AS p0, exp(l1 - t) / z AS p1, exp(l2 - t) / z AS
 
 @query(
     f"""{SQL_SOFT} SELECT vec_id, p, CASE WHEN l0 >= l1 AND l0 >= l2 AND l0 >= l3 THEN 0 WHEN l1 >= l2 AND l1 >= l3 THEN 1
-WHEN l2 >= l3 THEN 2 ELSE 3 END AS label, {s.sql_rounded('p0')} AS p0, {s.sql_rounded('l3 - t - ln(z)')} AS log3,
-CASE WHEN target = 2 THEN 1 ELSE 0 END AS hot2 FROM f"""
+WHEN l2 >= l3 THEN 2 ELSE 3 END AS label, {", ".join(f"{s.sql_rounded(f'p{c}')} AS p{c}, {s.sql_rounded(f'l{c} - t - ln(z)')} AS log{c}, CASE WHEN target = {c} THEN 1 ELSE 0 END AS hot{c}" for c in range(4))} FROM f"""
 )
 def softmax_argmax(spark, sf_dir):
     """Softmax, log-softmax, one-hot and argmax per pixel."""
@@ -609,9 +609,9 @@ def softmax_argmax(spark, sf_dir):
         "vec_id",
         "p",
         pixels.argmax(F.array(*columns)).alias("label"),
-        s.rounded(pixels.softmax(columns)[0]).alias("p0"),
-        s.rounded(pixels.log_softmax(columns)[3]).alias("log3"),
-        pixels.one_hot(F.col("target"), 4)[2].alias("hot2"),
+        *[s.rounded(pixels.softmax(columns)[c]).alias(f"p{c}") for c in range(4)],
+        *[s.rounded(pixels.log_softmax(columns)[c]).alias(f"log{c}") for c in range(4)],
+        *[pixels.one_hot(F.col("target"), 4)[c].alias(f"hot{c}") for c in range(4)],
     )
 
 
