@@ -35,9 +35,22 @@ STEP_GRAMS = 2048
 MAX_LANGUAGES = 1024
 #: Words are runs of letters; what is between them counts as one gap.
 #: Numbers that are no decimal digits (fractions, Roman numerals, superscripts) are word characters to
-#: regular expressions, but no letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+#: regular expressions, but no letters. They are looked for apart, the few beyond 16 bits only in texts
+#: with such characters: mixed sets would be tried one by one at every character.
+_NUMERALS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()]
+NUMERAL = re.compile("[" + "".join(c for c in _NUMERALS if c <= "\uffff") + "]")
+FAR_NUMERAL = re.compile("[" + "".join(c for c in _NUMERALS if c > "\uffff") + "]")
+FAR = re.compile("[\U00010000-\U0010ffff]")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters of a text."""
+    if not text.isascii():
+        text = NUMERAL.sub(" ", text)
+        if FAR.search(text):
+            text = FAR_NUMERAL.sub(" ", text)
+    return LETTERS.findall(text)
 
 
 @lru_cache(KNOWN_LETTERS)
@@ -82,7 +95,7 @@ def grams(dimensions: int) -> Grams:
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Runs of three code points, packed into integers, and how often each comes. No letter: none."""
-    words = LETTERS.findall((text or "").lower())
+    words = letter_runs((text or "").lower())
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
