@@ -148,6 +148,18 @@ def remap_masks(masks: DataFrame, mapping: dict[int, int] | None) -> DataFrame:
     return masks.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(one, IMAGE_SCHEMA), IMAGE_SCHEMA)
 
 
+def remap_channels(masks: DataFrame, mappings: Sequence[dict[int, int]]) -> DataFrame:
+    """Mask rows with one channel per mapping, each as by ``remap_masks``."""
+    tables = np.array([[m.get(value, value) for m in mappings] for value in range(256)], dtype=np.uint8)
+
+    def one(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        if (row["channels"] or 1) != 1 or row["dtype"] != "uint8":
+            raise ValueError(f"{row['image_id']}: a mask is one channel of uint8, got {row['channels']} of {row['dtype']}")
+        yield {"image_id": row["image_id"], **packed(tables[pixels(row)])}
+
+    return masks.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(one, IMAGE_SCHEMA), IMAGE_SCHEMA)
+
+
 def remap_pairs(pairs: DataFrame, mapping: dict[int, int] | None) -> DataFrame:
     """The same for the ``mask`` bytes of rows that hold image and mask."""
     if not mapping:

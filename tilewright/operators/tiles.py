@@ -12,6 +12,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.blocks import (
     BLOCK_SCHEMA,
@@ -112,8 +113,15 @@ def tile_spans(size: int, tile: int) -> list[tuple[int, int]]:
     return [(max(0, i * tile - before), min(size, (i + 1) * tile - before)) for i in range(count)]
 
 
-def cut_blocks(images: DataFrame, tile: int) -> DataFrame:
-    """``crop_tiles(cut_tiles(...))`` in one step, for rows that need no padding in between."""
+SIZED_SCHEMA = T.StructType([*BLOCK_SCHEMA.fields, *(T.StructField(c, T.IntegerType()) for c in ("image_height", "image_width"))])
+
+
+def cut_blocks(images: DataFrame, tile: int, *, sized: bool = False) -> DataFrame:
+    """``crop_tiles(cut_tiles(...))`` in one step, for rows that need no padding in between.
+
+    ``sized`` adds ``image_height`` and ``image_width``.
+    """
+    schema = SIZED_SCHEMA if sized else BLOCK_SCHEMA
 
     def cut(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
         image = pixels(row)
@@ -126,10 +134,12 @@ def cut_blocks(images: DataFrame, tile: int) -> DataFrame:
                     "tile_x": j,
                     "y0": top,
                     "x0": left,
+                    "image_height": image.shape[0],
+                    "image_width": image.shape[1],
                     **packed(image[top:bottom, left:right]),
                 }
 
-    return images.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(cut, BLOCK_SCHEMA), BLOCK_SCHEMA)
+    return images.select(*IMAGE_SCHEMA.names).mapInArrow(flat_map(cut, schema), schema)
 
 
 def coverage(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
