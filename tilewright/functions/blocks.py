@@ -51,8 +51,9 @@ TILE_SCHEMA = T.StructType(
     ]
 )
 
-OUTPUT_BATCH_BYTES = 32 << 20
-OUTPUT_BATCH_ROWS = 20_000
+# Several workers of an executor hold such batches at once, in steps that follow each other.
+OUTPUT_BATCH_BYTES = 4 << 20
+OUTPUT_BATCH_ROWS = 4096
 
 
 def pixels(row: dict[str, Any]) -> np.ndarray:
