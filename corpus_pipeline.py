@@ -39,9 +39,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents and their places in sequences of 2048, which follow the mix."""
+    """Token pieces of all documents and their places in sequences of 2048, which follow the order
+    in which ``source_mix`` has stored them."""
     ship_code(spark)
-    return packing.pack_mixed(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack_stored(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -11,6 +11,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+from tilewright.llm import packing
 from test_simhash import brute
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +121,33 @@ def test_columns_survive_every_stage(spark, name):
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_empty_table_in_every_stage(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, clashing(spark, ODD).limit(0), "").count() == 0
+
+
+def order_of_packing(spark, path):
+    packed = packing.pack_stored(spark.read.parquet(path), public_tokenizers.path("word_bpe_49k.json"), limit=64, group_pieces=20)
+    return {r.doc_id: r.sequence_id >> 32 for r in packed.filter("piece = 0").collect()}
+
+
+def test_packing_follows_the_order_that_the_mix_stored(spark, tmp_path):
+    """Groups are ranges of the stored order, files by name, whatever the documents hold."""
+    rows = [(i, f"word{i} the hill {i}", "en", "ab"[i % 2], 9) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, falling in (("up", False), ("down", True)):
+        key = -F.col("doc_id") if falling else F.col("doc_id")
+        docs.repartitionByRange(4, key).sortWithinPartitions(key).write.parquet(str(tmp_path / name))
+        got = order_of_packing(spark, str(tmp_path / name))
+        in_order = [got[i] for i in (reversed(range(300)) if falling else range(300))]
+        assert in_order == [i // 20 for i in range(300)]
+
+
+def test_the_mix_decides_on_sequences(spark, stages, tmp_path):
+    """Packing what the mix has stored differs from packing what it was given."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    groups = []
+    for n in (3, 4):
+        spark.createDataFrame([tuple(r) for r in stages[n]], schema).coalesce(1).write.parquet(str(tmp_path / str(n)))
+        groups.append(order_of_packing(spark, str(tmp_path / str(n))))
+    assert set(groups[0]) == set(groups[1]) and groups[0] != groups[1]
+    stage = dict(corpus_pipeline.STAGES)["best_fit_packing"]
+    given, mixed = ({(r.doc_id, r.piece): r.sequence_id for r in stage(spark, spark.read.parquet(str(tmp_path / str(n))), SF).collect()} for n in (3, 4))
+    assert set(given) == set(mixed) and given != mixed

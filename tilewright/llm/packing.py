@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +54,9 @@ def pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIM
     return narrow.mapInArrow(run, columns)
 
 
-def measured_pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT) -> DataFrame:
-    """One row per document of ``docs(doc_id, text, source)``: ``doc_id``, what ``mixing.place`` needs, and its ``pieces``."""
+def held_pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT) -> DataFrame:
+    """All columns of ``docs`` but ``text``, and the ``pieces`` of a document in one array."""
+    kept = [f for f in docs.schema if f.name != "text"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = ["piece", "start", "length", "ids_crc32"]
 
@@ -71,15 +73,19 @@ def measured_pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit:
                 ends.append(len(out[0]))
             held = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
-            kept = ["doc_id", "source", "_key", "_size"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), held], names=[*kept, "pieces"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns), held], names=[*columns, "pieces"])
+
+    columns = [f.name for f in kept]
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return docs.mapInArrow(run, f"{declared}, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
+
 
+def measured_pieces(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT) -> DataFrame:
+    """One row per document of ``docs(doc_id, text, source)``: ``doc_id``, what ``mixing.place`` needs, and its ``pieces``."""
     narrow = mixing.measured(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "_key", "_size", F.col("text").cast("string").alias("text")
     )
-    return narrow.mapInArrow(
-        run, "doc_id long, source string, _key long, _size long, pieces array<struct<piece: int, start: long, length: long, ids_crc32: long>>"
-    )
+    return held_pieces(narrow, path, end_id=end_id, limit=limit)
 
 
 class Pool:
@@ -224,3 +230,32 @@ def pack_mixed(
     placed = mixing.place(cut(measured_pieces(docs, path, end_id=end_id, limit=limit)), **options)
     parts = placed.select("doc_id", F.explode("pieces").alias("p"), "slot", "at").select("doc_id", "p.*", "slot", "at")
     return pack(parts, limit=limit, group_pieces=group_pieces, in_order=True)
+
+
+#: Rows of a file whose pieces are counted together.
+ROWS_SLOT = 1024
+
+
+def stored_order(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, slot, at``: the order of the rows in their files, and of the files by name.
+
+    Rows that come from no file keep the order of partitions.
+    """
+    narrow = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    try:
+        place = docs.metadataColumn("_metadata")
+        rows = docs.select(*narrow, place["file_path"].alias("_file"), place["row_index"].alias("at"))
+    except AnalysisException:
+        rows = cut(docs.select(*narrow)).withColumn("_at", F.monotonically_increasing_id())
+        return rows.select("doc_id", "text", F.expr(f"_at div {ROWS_SLOT}").alias("slot"), F.col("_at").alias("at"))
+    files = rows.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")))
+    # A file has less than 2 ** 34 rows. Positions count slots, so gaps between their numbers do no harm.
+    slot = F.shiftleft(F.col("_number").cast("long"), 24) + F.expr(f"at div {ROWS_SLOT}")
+    return rows.join(F.broadcast(files), "_file").select("doc_id", "text", slot.alias("slot"), "at")
+
+
+def pack_stored(docs: DataFrame, path: str, *, end_id: int = END_ID, limit: int = LIMIT, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """``docs(doc_id, text)`` tokenised and packed so that ``sequence_id`` follows their order in storage."""
+    held = cut(held_pieces(stored_order(docs), path, end_id=end_id, limit=limit))
+    parts = held.select("doc_id", F.explode("pieces").alias("p"), "slot", "at").select("doc_id", "p.*", "slot", "at")
+    return pack(parts, limit=limit, group_pieces=group_pieces, in_order=True)
