@@ -86,3 +86,22 @@ def test_letter_runs_are_as_quick_as_a_plain_pattern():
     start = time.process_time()
     hyperdim.letter_runs(text)
     assert time.process_time() - start < 2
+
+
+def test_a_worker_keeps_one_large_table():
+    """What one stage remembers goes when the next one in the same worker begins."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from tilewright.llm import tokens
+
+    known = weakref.ref(hyperdim.grams(64))
+    assert hyperdim.grams(64) is known()
+    memo = weakref.ref(tokens.encoder(public_tokenizers.path("word_bpe_49k.json")))
+    gc.collect()
+    assert known() is None and memo() is not None
+    hyperdim.grams(64)
+    gc.collect()
+    assert memo() is None

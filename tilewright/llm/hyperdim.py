@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import small
+from tilewright.llm.common import held_alone, small
 
 DIMENSIONS = 2048
 GRAM = 3
@@ -29,6 +29,8 @@ KNOWN_LETTERS = 4096
 KNOWN_GRAMS = 16_384
 #: Documents compared at a time.
 BLOCK_DOCS = 64
+#: Documents whose vectors are held at a time.
+HELD_DOCS = 256
 #: Runs whose vectors are multiplied at a time.
 STEP_GRAMS = 2048
 #: Prototypes are brought to the driver, one per language value; more values are an error.
@@ -88,9 +90,8 @@ class Grams:
         return out
 
 
-@lru_cache(1)
 def grams(dimensions: int) -> Grams:
-    return Grams(dimensions)
+    return held_alone(Grams, dimensions)
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +144,8 @@ def learn(docs: DataFrame, *, dimensions: int = DIMENSIONS) -> dict[str, np.ndar
             texts = np.array(batch.column("text").to_pylist(), dtype=object)
             for lang in set(langs.tolist()):
                 of = texts[langs == lang]
-                for s in range(0, len(of), 1024):
-                    sums[lang] = sums.get(lang, 0) + bundles(of[s : s + 1024].tolist(), dimensions).sum(axis=0)
+                for s in range(0, len(of), HELD_DOCS):
+                    sums[lang] = sums.get(lang, 0) + bundles(of[s : s + HELD_DOCS].tolist(), dimensions).sum(axis=0)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total)],
@@ -177,9 +178,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[
         for batch in small(batches):
             texts = batch.column(text).to_pylist()
             pred, score, margin, length = [], [], [], []
-            for s in range(0, len(texts), 1024):
-                runs = np.zeros(len(texts[s : s + 1024]), np.int64)
-                vectors = bundles(texts[s : s + 1024], dimensions, runs)
+            for s in range(0, len(texts), HELD_DOCS):
+                runs = np.zeros(len(texts[s : s + HELD_DOCS]), np.int64)
+                vectors = bundles(texts[s : s + HELD_DOCS], dimensions, runs)
                 length += runs.tolist()
                 size = np.linalg.norm(vectors, axis=1)
                 if names:
