@@ -148,6 +148,22 @@ def test_stitch_equals_whole_canvas(image_rows, pasted, shape, tile, overlap, by
     assert (got["a"] == brute_stitch(image, rough_logits, tile, stride)).all()
 
 
+def test_regions_ship_only_rims_as_logits(image_rows, pasted):
+    """Four regions of at most 16 x 16 tiles: few blocks, each in place, the crossing of rims too."""
+    images = {name: np.random.default_rng(8).integers(0, 256, shape, dtype=np.uint8) for name, shape in {"a": (300, 220), "b": (1, 230), "c": (196, 196), "d": (197, 196, 3)}.items()}
+    single = image_rows({k: v for k, v in images.items() if v.ndim == 2})
+    blocks = scoring.predict_stitched(single, rough_logits, tile=16, overlap=0.25, by_tile=True).cache()
+    got = pasted(blocks)
+    for name in ("a", "b", "c"):
+        assert (got[name] == brute_stitch(images[name], rough_logits, 16, 12)).all()
+    counts = {r["image_id"]: r["count"] for r in blocks.groupBy("image_id").count().collect()}
+    # Single rectangles of "a" would be about 47 x 35, of "c" 31 x 31.
+    assert counts["a"] < 250 and counts["c"] == 1
+    colour = image_rows({"d": images["d"]})
+    by_tile, in_place = (pasted(scoring.predict_stitched(colour, lambda b: rough_logits(b[..., :1]) + b[..., 1:2], tile=16, overlap=0.25, by_tile=t))["d"] for t in (True, False))
+    assert (by_tile == in_place).all()
+
+
 def test_two_tile_average(spark):
     """Tile 0 votes class 0, tile 1 votes class 1; the tie in the middle goes to class 0."""
     rows = []

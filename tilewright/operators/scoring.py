@@ -6,7 +6,7 @@ through in Arrow batches and are handed over in mini-batches of equal shape.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -27,12 +27,12 @@ from tilewright.functions.blocks import (
     pixels,
 )
 from tilewright.operators.confusion import split_codes
-from tilewright.operators.stitching import stitch_tiles
+from tilewright.operators.stitching import PIECE_SCHEMA, merge_pieces, tile_pieces
 from tilewright.operators.tiles import (
     axis_grid,
     axis_reflection,
     crop_tiles,
-    cut_overlapping,
+    cut_regions,
     cut_tiles,
 )
 
@@ -147,37 +147,45 @@ def count_pairs(pairs: DataFrame, predict: Predictor, *, tile: int, batch_size:
     return split_codes(counted)
 
 
-def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
-    """Cut, score and average one image row from top to bottom.
+def _band_lines(
+    strips: Iterable[np.ndarray], predict: Predictor, tile: int, stride: int, batch_size: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Score strips of canvas from top to bottom, each as high as a tile and a stride below the
+    one before: ``line, logits of its tiles, sums, counts``.
 
     Only the band of canvas that the current line of tiles touches is held, so the memory is
-    tile x width x classes, whatever the height.
+    tile x width x classes, whatever the height. Its first ``stride`` lines are complete.
     """
+    band = count = None
+    for i, strip in enumerate(strips):
+        cols = (strip.shape[1] - tile) // stride + 1
+        pieces = [strip[:, j * stride : j * stride + tile] for j in range(cols)]
+        logits = np.concatenate(
+            [_predicted(predict, pieces[at : at + batch_size], 4) for at in range(0, cols, batch_size)]
+        )
+        if band is None:
+            band = np.zeros((tile, strip.shape[1], logits.shape[-1]), dtype=np.float32)
+            count = np.zeros((tile, strip.shape[1], 1), dtype=np.float32)
+        for j in range(cols):
+            band[:, j * stride : j * stride + tile] += logits[j]
+            count[:, j * stride : j * stride + tile] += 1
+        yield i, logits, band, count
+        band[: tile - stride], count[: tile - stride] = band[stride:].copy(), count[stride:].copy()
+        band[tile - stride :], count[tile - stride :] = 0, 0
+
+
+def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
+    """Cut, score and average one image row from top to bottom, a band at a time."""
 
     def stitch(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
         image = pixels(row)
         height, width = image.shape[:2]
         rows, top = axis_grid(height, tile, stride)
         cols, left = axis_grid(width, tile, stride)
-        canvas_width = (cols - 1) * stride + tile
         source_y = axis_reflection(height, top, (rows - 1) * stride + tile)
-        source_x = axis_reflection(width, left, canvas_width)
-        band = count = None
-        for i in range(rows):
-            strip = image[source_y[i * stride : i * stride + tile]][:, source_x]
-            pieces = [strip[:, j * stride : j * stride + tile] for j in range(cols)]
-            logits = np.concatenate(
-                [
-                    _predicted(predict, pieces[at : at + batch_size], 4)
-                    for at in range(0, cols, batch_size)
-                ]
-            )
-            if band is None:
-                band = np.zeros((tile, canvas_width, logits.shape[-1]), dtype=np.float32)
-                count = np.zeros((tile, canvas_width, 1), dtype=np.float32)
-            for j in range(cols):
-                band[:, j * stride : j * stride + tile] += logits[j]
-                count[:, j * stride : j * stride + tile] += 1
+        source_x = axis_reflection(width, left, (cols - 1) * stride + tile)
+        strips = (image[source_y[i * stride : i * stride + tile]][:, source_x] for i in range(rows))
+        for i, _, band, count in _band_lines(strips, predict, tile, stride, batch_size):
             ready = stride if i + 1 < rows else tile
             first, last = max(i * stride, top), min(i * stride + ready, top + height)
             if first < last:
@@ -191,8 +199,53 @@ def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
                     "x0": 0,
                     **packed(as_bytes(np.argmax(part, axis=-1))),
                 }
-            band[: tile - stride], count[: tile - stride] = band[stride:].copy(), count[stride:].copy()
-            band[tile - stride :], count[tile - stride :] = 0, 0
+
+    return stitch
+
+
+def _region_stitcher(predict: Predictor, batch_size: int):
+    """Score one region and decide what only its own tiles cover; the rest stays logits."""
+
+    def own(first: int, n: int, count: int, tile: int, stride: int, low: int, size: int):
+        """The range of one axis, on the canvas and inside the picture, that no other tile covers."""
+        start = (first - 1) * stride + tile if first else 0
+        stop = (first + n) * stride if first + n < count else (count - 1) * stride + tile
+        return max(start, low), min(stop, low + size)
+
+    def stitch(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        canvas = pixels(row)
+        tile, stride, y0, x0 = row["tile"], row["stride"], row["y0"], row["x0"]
+        lines, across = ((side - tile) // stride + 1 for side in canvas.shape[:2])
+        top, bottom = own(row["tile_y"], lines, row["rows"], tile, stride, row["pad_top"], row["image_height"])
+        left, right = own(row["tile_x"], across, row["cols"], tile, stride, row["pad_left"], row["image_width"])
+        found = np.empty((max(0, bottom - top), max(0, right - left)), dtype=np.uint8)
+        strips = (canvas[i * stride : i * stride + tile] for i in range(lines))
+        for i, logits, band, count in _band_lines(strips, predict, tile, stride, batch_size):
+            begin = y0 + i * stride
+            ready = stride if i + 1 < lines else tile
+            first, last = max(begin, top), min(begin + ready, bottom)
+            if first < last and found.size:
+                at = np.s_[first - begin : last - begin, left - x0 : right - x0]
+                found[first - top : last - top] = as_bytes(np.argmax(band[at] / count[at], axis=-1))
+            for j, scored in enumerate(logits):
+                placed = {
+                    **row,
+                    "tile_y": row["tile_y"] + i,
+                    "tile_x": row["tile_x"] + j,
+                    "y0": begin,
+                    "x0": x0 + j * stride,
+                }
+                yield from tile_pieces(placed, scored, (top, bottom, left, right))
+        if found.size:
+            yield {
+                "image_id": row["image_id"],
+                "tile_y": row["tile_y"],
+                "tile_x": row["tile_x"],
+                "y0": top - row["pad_top"],
+                "x0": left - row["pad_left"],
+                "cover": 1,
+                **packed(found),
+            }
 
     return stitch
 
@@ -220,13 +273,16 @@ def predict_stitched(
     """Label blocks from overlapping tiles with averaged logits (the inference path).
 
     An image row is scored and averaged where it was read, without a shuffle. ``by_tile`` instead
-    deals the tiles of every image out to all tasks and averages them after a shuffle: for a few
-    huge images on many cores.
+    deals the tiles of every image out to all tasks, in regions of neighbours, for a few huge images
+    on many cores. A region averages its own tiles; only the logits on its rim, which tiles of other
+    regions cover too, are shuffled and averaged afterwards.
     """
     stride = max(1, round(tile * (1 - overlap)))
     if by_tile:
-        tiles = cut_overlapping(images, tile, stride).repartition("image_id", "tile_y", "tile_x")
-        return stitch_tiles(score_tiles(tiles, predict, batch_size=batch_size, as_labels=False))
+        regions = cut_regions(images, tile, stride).repartition("image_id", "tile_y", "tile_x")
+        return merge_pieces(
+            regions.mapInArrow(flat_map(_region_stitcher(predict, batch_size), PIECE_SCHEMA), PIECE_SCHEMA)
+        )
     return images.select(*IMAGE_SCHEMA.names).mapInArrow(
         flat_map(_band_stitcher(predict, tile, stride, batch_size), BLOCK_SCHEMA), BLOCK_SCHEMA
     )

@@ -1,8 +1,9 @@
 """Averaging the logits of overlapping tiles and taking the best class.
 
 Block form: tile edges cut the canvas into rectangles, each covered by a fixed set of tiles. A
-rectangle covered by one tile is decided where the tile is scored and travels as one byte per
-pixel; only rectangles in the overlap travel as logits and are added up after the shuffle.
+rectangle covered by one tile, or only by tiles of the region that a task scores, is decided there
+and travels as one byte per pixel; only rectangles that tiles from elsewhere cover too travel as
+logits and are added up after the shuffle.
 
 Long form: one row per pixel, tile and class, for logits that are columns already.
 """
@@ -52,7 +53,14 @@ def axis_pieces(
 
 
 def _pieces(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-    logits = pixels(row)
+    return tile_pieces(row, pixels(row))
+
+
+def tile_pieces(
+    row: dict[str, Any], logits: np.ndarray, inside: tuple[int, int, int, int] | None = None
+) -> Iterator[dict[str, Any]]:
+    """The rectangles of one tile, but for those in ``inside`` (top, bottom, left, right on the
+    canvas), whose limits are tile edges or the picture's."""
     tile, stride = row["tile"], row["stride"]
     # Only tiles within one tile length can share an edge, which bounds the edges looked at.
     spans = {}
@@ -75,6 +83,8 @@ def _pieces(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
         ]
     for y_start, y_stop, y_cover in spans["y"]:
         for x_start, x_stop, x_cover in spans["x"]:
+            if inside and inside[0] <= y_start < inside[1] and inside[2] <= x_start < inside[3]:
+                continue
             part = logits[
                 y_start - row["y0"] : y_stop - row["y0"], x_start - row["x0"] : x_stop - row["x0"]
             ]
@@ -130,9 +140,15 @@ def stitch_tiles(logit_tiles: DataFrame) -> DataFrame:
     A rectangle has at most ceil(tile / stride) ** 2 contributors. They are added in tile order
     in single precision, so the result does not depend on partitioning.
     """
-    pieces = logit_tiles.select(*TILE_SCHEMA.names).mapInArrow(
-        flat_map(_pieces, PIECE_SCHEMA), PIECE_SCHEMA
+    return merge_pieces(
+        logit_tiles.select(*TILE_SCHEMA.names).mapInArrow(
+            flat_map(_pieces, PIECE_SCHEMA), PIECE_SCHEMA
+        )
     )
+
+
+def merge_pieces(pieces: DataFrame) -> DataFrame:
+    """Label blocks from rectangles: labels (``cover`` 1), or the logits of every tile on it."""
     keys = ["image_id", "y0", "x0"]
     return (
         pieces.repartition(*keys)

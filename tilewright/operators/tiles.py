@@ -80,6 +80,65 @@ def cut_overlapping(images: DataFrame, tile: int, stride: int) -> DataFrame:
     )
 
 
+# A region is scored by one task as a whole: its canvas has at most so many pixels a side (one tile
+# at least), and as many tiles a side, or four times as many as share a pixel.
+REGION_SIDE = 1024
+REGION_TILES = 16
+
+
+def region_tiles(tile: int, stride: int) -> int:
+    """Tiles along one side of a region."""
+    wanted = max(REGION_TILES, 4 * -(-tile // stride))
+    return max(1, min(wanted, (REGION_SIDE - tile) // stride + 1))
+
+
+def _region_cutter(tile: int, stride: int):
+    step = region_tiles(tile, stride)
+
+    def cut(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        image = pixels(row)
+        height, width = image.shape[:2]
+        rows, top = axis_grid(height, tile, stride)
+        cols, left = axis_grid(width, tile, stride)
+        source_y = axis_reflection(height, top, (rows - 1) * stride + tile)
+        source_x = axis_reflection(width, left, (cols - 1) * stride + tile)
+        for i in range(0, rows, step):
+            band = image[source_y[i * stride : (min(i + step, rows) - 1) * stride + tile]]
+            for j in range(0, cols, step):
+                piece = band[:, source_x[j * stride : (min(j + step, cols) - 1) * stride + tile]]
+                yield {
+                    "image_id": row["image_id"],
+                    "tile_y": i,
+                    "tile_x": j,
+                    "y0": i * stride,
+                    "x0": j * stride,
+                    "image_height": height,
+                    "image_width": width,
+                    "rows": rows,
+                    "cols": cols,
+                    "tile": tile,
+                    "stride": stride,
+                    "pad_top": top,
+                    "pad_left": left,
+                    **packed(piece),
+                }
+
+    return cut
+
+
+def cut_regions(images: DataFrame, tile: int, stride: int) -> DataFrame:
+    """Regions of neighbouring tiles of ``cut_overlapping``: their canvas in one row, whose
+    ``tile_y, tile_x`` are those of the first tile.
+
+    Tiles of a region share their pixels, so a row is about as large as what it shows.
+    """
+    if tile < 1 or not 1 <= stride <= tile:
+        raise ValueError(f"need 1 <= stride <= tile, got tile {tile}, stride {stride}")
+    return images.select(*IMAGE_SCHEMA.names).mapInArrow(
+        flat_map(_region_cutter(tile, stride), TILE_SCHEMA), TILE_SCHEMA
+    )
+
+
 def cut_tiles(images: DataFrame, tile: int) -> DataFrame:
     """Tiles side by side. A step of one tile pads to the next multiple, half on each side."""
     return cut_overlapping(images, tile, tile)
