@@ -395,3 +395,43 @@ def test_store_names_for_arrow():
     assert arrow_uri("s3a://bucket/a b:c") == "s3://bucket/a b:c"
     assert arrow_uri("abfs://c@h/x") == "abfss://c@h/x" and arrow_uri("gcs://b/x") == "gs://b/x"
     assert arrow_uri("file:/tmp/x") == "file:/tmp/x" and arrow_uri("hdfs://n/x") == "hdfs://n/x"
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    """A partition to a file, but four tasks a core; the same files and pixels as before."""
+    rng = np.random.default_rng(3)
+    arrays = {f"p{i}_4x": rng.integers(0, 256, (5, 3), dtype=np.uint8) for i in range(90)}
+    for name, array in arrays.items():
+        (tmp_path / f"{name}.png").write_bytes(images.encode_png(array))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        for files in (images.scan_images(spark, str(tmp_path)), images.scan_headers(spark, str(tmp_path)), images.decode_images(spark, str(tmp_path))):
+            assert files.rdd.getNumPartitions() <= 16
+            assert files.count() == 90
+        (tmp_path / "none.png").write_bytes(b"no image")
+        decoded = images.decode_images(spark, str(tmp_path))
+        assert decoded.rdd.getNumPartitions() <= 16
+        rows = {r["image_id"]: r["data"] for r in decoded.collect()}
+        assert rows.pop("none") is None and {k: bytes(v) for k, v in rows.items()} == {k: v.tobytes() for k, v in arrays.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_plain_png():
+    """Lines as they are, against the pixel before and against the line above; nothing else."""
+    import struct
+    import zlib
+
+    def png(lines, width, height, depth=8, colour=2, lace=0, extra=b""):
+        chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+        head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, lace)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    image = np.random.default_rng(4).integers(0, 256, (4, 5, 3), dtype=np.uint8)
+    left = np.concatenate([image[:, :1], np.diff(image.astype(int), axis=1) % 256], axis=1).astype(np.uint8)
+    above = np.concatenate([image[:1], np.diff(image.astype(int), axis=0) % 256]).astype(np.uint8)
+    lines = b"".join(bytes([k]) + (image, left, above)[k][y].tobytes() for y, k in enumerate((2, 1, 2, 0)))
+    whole = png(lines, 5, 4)
+    assert (images.plain_png(whole) == image).all() and (images.plain_png(images.encode_png(image[..., 0])) == image[..., 0]).all()
+    for other in (png(lines, 5, 4, depth=16), png(lines, 5, 4, colour=3), png(lines, 5, 4, lace=1), png(lines, 5, 3), png(b"\x04" + lines[1:], 5, 4), png(lines, 5, 4, extra=struct.pack(">I", 0) + b"tRNS" + bytes(4)), whole[:-20], whole[:9], b"", b"no image at all"):
+        assert images.plain_png(other) is None

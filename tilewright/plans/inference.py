@@ -63,8 +63,7 @@ def predict_folder(
     overlay per image.
     """
     images.require_images(images.scan_images(spark, input_path))
-    images.reject_deep(spark, input_path)
-    pictures = images.readable(images.decode_images(spark, input_path))
+    pictures = images.readable(images.decode_images(spark, input_path, refuse_deep=True))
     prepared = (
         intensity.prepare_images(pictures, channels)
         if normalise
