@@ -268,6 +268,17 @@ def test_patch_quota(spark, image_rows):
     assert sorted(again) == sorted(rows)
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.8, 1.0])
+def test_only_pickable_candidates_leave_a_mask(spark, image_rows, ratio):
+    masks = image_rows({n: (np.random.default_rng(i).random((60, 50)) < p).astype(np.uint8) for i, (n, p) in enumerate({"some": 0.05, "none": 0.0, "all": 1.0}.items())})
+    options = dict(patch=32, per_image=10, min_object_fraction=0.05, seed=1)
+    every = patches.score_candidates(masks, **options)
+    few = patches.score_candidates(masks, **options, object_ratio=ratio)
+    assert every.count() == 3000 and few.count() <= 30
+    pick = lambda c: sorted(map(tuple, patches.select_patches(c, per_image=10, object_ratio=ratio, seed=1).collect()))
+    assert pick(few) == pick(every)
+
+
 def test_short_pick_is_filled_with_repeats(image_rows):
     """No background exists, so only the object quota is filled and the rest repeats it."""
     masks = image_rows({"s": np.ones((40, 20), np.uint8)})

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tilewright.functions import geometry
-from tilewright.functions.blocks import IMAGE_SCHEMA, flat_map, iter_rows, packed, pixels
+from tilewright.functions.blocks import IMAGE_SCHEMA, OUTPUT_BATCH_ROWS, flat_map, iter_rows, packed, pixels
 from tilewright.functions.draws import draw_integer, draw_key
 from tilewright.operators.tiles import axis_reflection
 
@@ -74,11 +74,30 @@ def _padded(image: np.ndarray, patch: int) -> np.ndarray:
     return image
 
 
-def _foreground_counter(patch: int):
-    """For ``mapInArrow``: foreground pixels under every candidate, a column batch per picture."""
+def _foreground_counter(patch: int, pickable: tuple[float, int, int] | None = None):
+    """For ``mapInArrow``: foreground pixels under every candidate, in column batches.
+
+    ``pickable`` (threshold, object quota, background quota) keeps the earliest of each kind only.
+    """
     schema = to_arrow_schema(CANDIDATE_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for counted in count(batches):
+            waiting.append(counted)
+            held += counted.num_rows
+            if held >= OUTPUT_BATCH_ROWS:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, held = [], 0
+        if held:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    def earliest(counts: np.ndarray) -> np.ndarray:
+        threshold, objects, others = pickable
+        is_object = counts / float(patch * patch) > threshold
+        return np.where(is_object, is_object.cumsum() <= objects, (~is_object).cumsum() <= others)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drawn = batch.column("candidates")
             bare = batch.drop_columns(["candidates"])
@@ -92,7 +111,7 @@ def _foreground_counter(patch: int):
                 counts = (
                     area[y + patch, x + patch] - area[y, x + patch] - area[y + patch, x] + area[y, x]
                 )
-                yield pa.RecordBatch.from_arrays(
+                counted = pa.RecordBatch.from_arrays(
                     [
                         pa.repeat(pa.scalar(row["image_id"]), len(counts)),
                         places.field("attempt"),
@@ -102,6 +121,7 @@ def _foreground_counter(patch: int):
                     ],
                     schema=schema,
                 )
+                yield counted.filter(pa.array(earliest(counts))) if pickable else counted
 
     return run
 
@@ -114,8 +134,17 @@ def score_candidates(
     min_object_fraction: float,
     seed: int,
     attempts: int | None = None,
+    object_ratio: float | None = None,
 ) -> DataFrame:
-    """``image_id, attempt, y0, x0, fg_fraction, is_object`` for every candidate of every mask."""
+    """``image_id, attempt, y0, x0, fg_fraction, is_object`` for every candidate of every mask.
+
+    With ``object_ratio`` only for those that ``select_patches`` can pick, the earliest of each kind
+    up to its quota. All candidates of a mask are in its row, so the others never leave it.
+    """
+    pickable = None
+    if object_ratio is not None:
+        quota = object_quota(per_image, object_ratio)
+        pickable = (min_object_fraction, quota, per_image - quota)
     drawn = candidate_origins(
         masks.select(*IMAGE_SCHEMA.names),
         patch=patch,
@@ -123,7 +152,7 @@ def score_candidates(
         seed=seed,
         attempts=attempts,
     )
-    counted = drawn.mapInArrow(_foreground_counter(patch), CANDIDATE_SCHEMA)
+    counted = drawn.mapInArrow(_foreground_counter(patch, pickable), CANDIDATE_SCHEMA)
     return with_object_flag(counted, patch, min_object_fraction)
 
 
@@ -266,6 +295,7 @@ def build_patches(
         per_image=per_image,
         min_object_fraction=min_object_fraction,
         seed=seed,
+        object_ratio=object_ratio,
     )
     selected = select_patches(
         candidates, per_image=per_image, object_ratio=object_ratio, seed=seed

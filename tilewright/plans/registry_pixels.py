@@ -704,9 +704,9 @@ def _vector_masks(spark, sf_dir):
     return intensity.remap_masks(s.vector_images(spark, sf_dir), {v: int(v > 150) for v in range(256)})
 
 
-def _candidates(spark, sf_dir):
+def _candidates(spark, sf_dir, object_ratio=None):
     return patches.score_candidates(
-        _vector_masks(spark, sf_dir), patch=PATCH, per_image=PER_IMAGE, min_object_fraction=MIN_SHARE, seed=11
+        _vector_masks(spark, sf_dir), patch=PATCH, per_image=PER_IMAGE, min_object_fraction=MIN_SHARE, seed=11, object_ratio=object_ratio
     )
 
 
@@ -741,7 +741,7 @@ sel AS (SELECT image_id, attempt, y0, x0, fg_fraction, is_object, CAST(rank AS I
 @query(f"{SQL_SELECTED} SELECT * FROM sel")
 def patch_quota(spark, sf_dir):
     """Eight patches per picture by quota, short picks filled up with repeats."""
-    return patches.select_patches(_candidates(spark, sf_dir), per_image=PER_IMAGE, object_ratio=RATIO, seed=11)
+    return patches.select_patches(_candidates(spark, sf_dir, RATIO), per_image=PER_IMAGE, object_ratio=RATIO, seed=11)
 
 
 PATCH_SUMS = T.StructType(
