@@ -25,7 +25,9 @@ from tilewright.functions.blocks import (
 
 
 def axis_grid(size: int, tile: int, stride: int) -> tuple[int, int]:
-    """Tile count and padding before, for one axis of an overlapping grid."""
+    """Tile count and padding before, for one axis of an overlapping grid. No pixels make no tile."""
+    if size == 0:
+        return 0, 0
     count = 1 if size <= tile else -(-(size - tile) // stride) + 1
     total = max((count - 1) * stride + tile - size, 0)
     return count, total // 2

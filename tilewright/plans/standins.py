@@ -87,8 +87,11 @@ px AS (
 
 
 def document_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image rows of whole texts: ``doc_<id>_4x`` and so on, as tall as the text is long."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    """Image rows of whole texts: ``doc_<id>_4x`` and so on, as tall as the text is long.
+
+    An empty text is a picture without pixels; a null text is no picture.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), suffix(F.col("doc_id"))).alias("image_id"),
         F.encode("text", "UTF-8").alias("_bytes"),
     )
