@@ -15,6 +15,7 @@ NAMES = [
     "block_percentiles",
     "stripe_objects",
     "mixed_objects",
+    "evaluate_pairs",
 ]
 
 
