@@ -16,6 +16,7 @@ NAMES = [
     "stripe_objects",
     "mixed_objects",
     "evaluate_pairs",
+    "evaluate_tiles",
 ]
 
 
