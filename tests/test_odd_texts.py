@@ -18,6 +18,7 @@ NAMES = [
     "evaluate_pairs",
     "evaluate_tiles",
     "overlapping_tiles",
+    "reflect_tiles",
 ]
 
 
