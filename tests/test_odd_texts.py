@@ -19,6 +19,7 @@ NAMES = [
     "evaluate_tiles",
     "overlapping_tiles",
     "reflect_tiles",
+    "stitch_blocks",
 ]
 
 
