@@ -20,6 +20,7 @@ NAMES = [
     "overlapping_tiles",
     "reflect_tiles",
     "stitch_blocks",
+    "tile_coverage",
 ]
 
 

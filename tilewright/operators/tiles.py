@@ -204,12 +204,12 @@ def cut_blocks(images: DataFrame, tile: int, *, sized: bool = False) -> DataFram
 
 
 def coverage(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``image_id, area, covered`` per image. ``sizes``: image_id, height, width."""
+    """``image_id, area, covered`` per image, 0 where it has no block. ``sizes``: image_id, height, width."""
     covered = blocks.groupBy("image_id").agg(
         F.sum(F.col("height").cast("bigint") * F.col("width")).alias("covered")
     )
     area = (F.col("height").cast("bigint") * F.col("width")).alias("area")
-    return sizes.select("image_id", area).join(covered, "image_id", "left")
+    return sizes.select("image_id", area).join(covered, "image_id", "left").fillna(0, ["covered"])
 
 
 def incomplete_images(blocks: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -408,8 +408,8 @@ def tile_roundtrip(spark, sf_dir):
     f"""WITH {s.SQL_DOC_PIXELS} SELECT image_id, count(*) AS area, count(*) AS covered FROM doc_px GROUP BY 1"""
 )
 def tile_coverage(spark, sf_dir):
-    """The area of every picture and what its blocks cover."""
-    images = s.document_images(spark, sf_dir)
+    """The area of every picture with pixels and what its blocks cover."""
+    images = s.document_images(spark, sf_dir).filter("height > 0")
     return tiles.coverage(tiles.crop_tiles(tiles.cut_tiles(images, TILE)), images)
 
 
