@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 from test_registry import plain
 
+from tilewright.operators import scoring, tiles
 from tilewright.plans.registry import ORACLES, QUERIES
+from tilewright.plans.registry_pixels import positional_labels, positional_logits
 
 TEXTS = ["", "one short line", None, "two é\n" * 40, "", "x" * 64, None, "a longer text of several tiles. " * 70, ""]
 NAMES = [
@@ -21,6 +24,7 @@ NAMES = [
     "reflect_tiles",
     "stitch_blocks",
     "tile_coverage",
+    "stitch_in_place",
 ]
 
 
@@ -42,3 +46,13 @@ def test_query_equals_sql_with_empty_and_null_texts(spark, folder, name):
         places = [[c[0] for c in cursor.description].index(c) for c in columns]
         expected = sorted(tuple(plain(r[i]) for i in places) for r in cursor.fetchall())
     assert expected and sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == expected
+
+
+@pytest.mark.parametrize("shape", [(0, 64), (5, 0), (0, 0)])
+def test_a_picture_without_pixels_has_no_tiles(image_rows, shape):
+    rows = image_rows({"none": np.zeros(shape, np.uint8), "one": np.ones((5, 7), np.uint8)})
+    stitched = (scoring.predict_stitched(rows, positional_logits, tile=4, overlap=0.25, by_tile=by) for by in (False, True))
+    labelled = (scoring.predict_labels(rows, positional_labels, tile=4, by_tile=by) for by in (False, True))
+    for cut in (tiles.cut_tiles(rows, 4), tiles.cut_overlapping(rows, 4, 3), tiles.cut_blocks(rows, 4), *stitched, *labelled):
+        assert {r["image_id"] for r in cut.select("image_id").collect()} == {"one"}
+    assert tiles.incomplete_images(tiles.cut_blocks(rows, 4), rows).count() == 0

@@ -179,6 +179,8 @@ def _band_stitcher(predict: Predictor, tile: int, stride: int, batch_size: int):
 
     def stitch(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
         image = pixels(row)
+        if not image.size:
+            return
         height, width = image.shape[:2]
         rows, top = axis_grid(height, tile, stride)
         cols, left = axis_grid(width, tile, stride)
