@@ -25,6 +25,7 @@ NAMES = [
     "stitch_blocks",
     "tile_coverage",
     "stitch_in_place",
+    "tile_roundtrip",
 ]
 
 
