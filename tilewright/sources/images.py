@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from tilewright.functions import naming
 from tilewright.functions.blocks import IMAGE_SCHEMA, flat_map, iter_rows, packed, pixels
-from tilewright.session import arrow_uri, qualify
+from tilewright.session import arrow_uri, qualify, scratch_path
 
 # The supported extensions in any case, checked while listing.
 IMAGE_GLOB = "*.{" + ",".join(
@@ -225,6 +227,27 @@ def image_path(origin):
 DECODED_SCHEMA = T.StructType([T.StructField("path", T.StringType()), *IMAGE_SCHEMA.fields])
 
 
+def _not_plain(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+    if plain_png(row["content"]) is None:
+        yield {"path": row["path"], "image_id": row["image_id"], **_header(row["content"])}
+
+
+def _plain(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+    array = plain_png(row["content"])
+    if array is None:
+        raise ValueError(f"{row['path']} was changed while it was read")
+    yield {"path": row["path"], "image_id": row["image_id"], **packed(array)}
+
+
+def _all_plain(others: DataFrame, refuse_deep: bool) -> bool:
+    """Whether ``others``, the headers of files that numpy cannot decode, has no rows."""
+    deep = F.col("dtype").isNotNull() & (F.col("dtype") != "uint8")
+    found = others.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(deep, F.struct("path", "dtype"))).alias("deep")).head()
+    if refuse_deep and found["deep"]:
+        raise ValueError(f"only 8 bits per channel can be decoded, {found['deep']['path']} holds {found['deep']['dtype']}")
+    return not found["n"]
+
+
 def decode_images(spark: SparkSession, path: str | list[str], *, refuse_deep: bool = False) -> DataFrame:
     """``path`` and image rows (8 bits per channel, colour as red-green-blue).
 
@@ -233,26 +256,9 @@ def decode_images(spark: SparkSession, path: str | list[str], *, refuse_deep: bo
     off what a file holds beyond 8 bits; with ``refuse_deep`` such files are an error.
     """
     files = _contents(spark, path)
-
-    def check(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        if plain_png(row["content"]) is None:
-            yield {"path": row["path"], "image_id": row["image_id"], **_header(row["content"])}
-
-    def plain(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        array = plain_png(row["content"])
-        if array is None:
-            raise ValueError(f"{row['path']} was changed while it was read")
-        yield {"path": row["path"], "image_id": row["image_id"], **packed(array)}
-
-    deep = F.col("dtype").isNotNull() & (F.col("dtype") != "uint8")
-    others = files.mapInArrow(flat_map(check, HEADER_SCHEMA), HEADER_SCHEMA).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(deep, F.struct("path", "dtype"))).alias("deep")
-    ).head()
-    if refuse_deep and others["deep"]:
-        raise ValueError(f"only 8 bits per channel can be decoded, {others['deep']['path']} holds {others['deep']['dtype']}")
-    if others["n"]:
-        return _image_source(spark, path)
-    return files.mapInArrow(flat_map(plain, DECODED_SCHEMA), DECODED_SCHEMA)
+    if _all_plain(files.mapInArrow(flat_map(_not_plain, HEADER_SCHEMA), HEADER_SCHEMA), refuse_deep):
+        return files.mapInArrow(flat_map(_plain, DECODED_SCHEMA), DECODED_SCHEMA)
+    return _image_source(spark, path)
 
 
 def _image_source(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -289,22 +295,67 @@ def _image_source(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return decoded.mapInArrow(flat_map(one, DECODED_SCHEMA), DECODED_SCHEMA)
 
 
+# So many chosen files are opened by one task at most.
+OPENED_TOGETHER = 2048
+
+
+@lru_cache(maxsize=16)
+def _store(root: str) -> tuple[Any, str]:
+    from pyarrow import fs as arrow_fs
+
+    filesystem, base = arrow_fs.FileSystem.from_uri(arrow_uri(root))
+    return filesystem, base.rstrip("/")
+
+
+def read_file(path: str) -> bytes:
+    """The bytes of a file by its path as a listing spells it: a scheme, and nothing is escaped."""
+    scheme, authority, inside = re.fullmatch(r"([^:/]+):(?://([^/]*))?/*(.*)", path, re.DOTALL).groups()
+    filesystem, base = _store(f"{scheme}://{authority or ''}/")
+    with filesystem.open_input_file(f"{base}/{inside}") as file:
+        return file.read()
+
+
+def _opening(fn: Callable[[dict[str, Any]], Iterator[dict[str, Any]]]) -> Callable[[dict[str, Any]], Iterator[dict[str, Any]]]:
+    """``fn`` for rows that have a ``path`` instead of the ``content``."""
+
+    def run(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        return fn({**row, "content": read_file(row["path"])})
+
+    return run
+
+
 def decode_chosen(spark: SparkSession, chosen: DataFrame) -> DataFrame:
     """Image rows of the files in ``chosen`` (one ``path`` per row); nothing else is opened.
 
-    Spark's readers take files as paths and keep their listing on the driver, whatever their
-    number, so the paths go there in pieces and one way serves all counts. Files that hold more
-    than 8 bits are an error.
+    Spark's readers would take the files as a list of paths, which the driver holds and lists one by
+    one. So the paths stay a table, stored in the shared folder, and the tasks that get them open
+    the files. If some need Spark's image source, all are copied to the shared folder, which it can
+    read as a whole. Files that hold more than 8 bits are an error.
     """
-    paths = [as_pattern(r["path"]) for r in chosen.select("path").distinct().toLocalIterator()]
-    if not paths:
-        return spark.createDataFrame([], DECODED_SCHEMA)
-    return decode_images(spark, paths, refuse_deep=True)
-
-
-def as_pattern(path: str) -> str:
-    """A listed path as a reader pattern: glob characters stand for themselves."""
-    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+    folder = scratch_path(spark, "chosen")
+    chosen.select("path").distinct().write.parquet(f"{folder}/paths")
+    paths = spark.read.parquet(f"{folder}/paths")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-paths.count() // OPENED_TOGETHER))
+    files = paths.repartition(tasks).withColumn("image_id", naming.stem(F.col("path")))
+
+    def opened(fn: Callable[[dict[str, Any]], Iterator[dict[str, Any]]], schema: T.StructType) -> DataFrame:
+        return files.mapInArrow(flat_map(_opening(fn), schema), schema)
+
+    if _all_plain(opened(_not_plain, HEADER_SCHEMA), refuse_deep=True):
+        return opened(_plain, DECODED_SCHEMA)
+
+    def copy(row: dict[str, Any]) -> Iterator[dict[str, Any]]:
+        parent, _, name = row["path"].rpartition("/")
+        yield {"name": f"{hashlib.md5(parent.encode()).hexdigest()}/{name}", "content": row["content"]}
+
+    write_files(opened(copy, FILE_SCHEMA), f"{folder}/copies")
+    # The copies of a folder's files are in a folder of their own; there are few of these.
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    parents = paths.select(parent.alias("_parent")).distinct().withColumn("_key", F.md5("_parent"))
+    decoded = _image_source(spark, f"{folder}/copies/*").withColumn("_key", F.element_at(F.split("path", "/"), -2))
+    return decoded.join(F.broadcast(parents), "_key").select(
+        F.concat("_parent", F.lit("/"), naming.base_name(F.col("path"))).alias("path"), *IMAGE_SCHEMA.names
+    )
 
 
 def readable(decoded: DataFrame) -> DataFrame:
