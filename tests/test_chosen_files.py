@@ -74,3 +74,13 @@ def test_a_chosen_file_that_is_gone_is_an_error(spark, tmp_path):
     chosen = spark.createDataFrame([(f"file:{tmp_path}/one/gone.png",)], "path string")
     with pytest.raises(Exception, match="gone.png"):
         images.decode_chosen(spark, chosen)
+
+
+def test_a_listing_is_not_kept(spark, tmp_path):
+    """Names are stored, so that no later step refers to the listing on the driver."""
+    arrays = write(tmp_path / "raw")
+    (tmp_path / "raw" / "notes.txt").write_text("no image")
+    stored = images.stored_scan(spark, str(tmp_path / "raw"))
+    assert "binaryFile" not in stored._jdf.queryExecution().toString()
+    assert sorted(stored.collect()) == sorted(images.scan_images(spark, str(tmp_path / "raw")).select("image_id", "path").collect())
+    assert stored.count() == len(arrays)

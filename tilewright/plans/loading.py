@@ -25,8 +25,8 @@ def load_split(
     Listings are compared first, so a name without files stops the job before anything is decoded.
     """
     members = split_lists.read_split(spark, splits_dir, split)
-    raw_files = images.scan_images(spark, raw_dir)
-    mask_files = images.scan_images(spark, masks_dir)
+    raw_files = images.stored_scan(spark, raw_dir)
+    mask_files = images.stored_scan(spark, masks_dir)
     missing = catalogue.missing_members(members, raw_files, mask_files)
     gap = missing.agg(F.count(F.lit(1)).alias("n"), F.min("image_id").alias("first")).head()
     if gap["n"]:

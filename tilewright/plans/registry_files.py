@@ -264,18 +264,19 @@ g AS (SELECT CASE WHEN GROUPING(magnification) = 1 THEN 'overall' ELSE magnifica
 SELECT "group", class, {px.SQL_SCORES}, n_images, CAST(0 AS BIGINT) AS n_out_of_range FROM g"""
 
 
-def _evaluated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, masks = _raw_folder(spark, sf_dir), _mask_folder(spark, sf_dir)
+def _split_lists(spark: SparkSession, raw: str) -> str:
+    """Split lists of the pictures of a folder, by magnification."""
     lists = scratch_path(spark, "splits")
-    files = images.scan_images(spark, raw)
-    split_lists.write_splits(
-        splits.assign_splits(
-            files.select(
-                "image_id", naming.magnification(F.col("name")).alias("magnification"), F.lit("").alias("condition")
-            )
-        ),
-        lists,
+    names = images.stored_scan(spark, raw).select(
+        "image_id", naming.magnification(F.col("path")).alias("magnification"), F.lit("").alias("condition")
     )
+    split_lists.write_splits(splits.assign_splits(names), lists)
+    return lists
+
+
+def _evaluated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, masks = _raw_folder(spark, sf_dir), _mask_folder(spark, sf_dir)
+    lists = _split_lists(spark, raw)
     return evaluation.evaluate_split(
         spark,
         raw,
@@ -310,12 +311,9 @@ WHERE y BETWEEN y0 AND y0 + 3 AND x BETWEEN x0 AND x0 + 3 GROUP BY 1, 2""".repla
 )
 def training_patches(spark, sf_dir):
     """The patch table of the training split, from files."""
-    raw, masks, lists = _raw_folder(spark, sf_dir), scratch_path(spark, "masks"), scratch_path(spark, "splits")
+    raw, masks = _raw_folder(spark, sf_dir), scratch_path(spark, "masks")
     images.write_png(px._vector_masks(spark, sf_dir), masks)
-    names = images.scan_images(spark, raw).select(
-        "image_id", naming.magnification(F.col("name")).alias("magnification"), F.lit("").alias("condition")
-    )
-    split_lists.write_splits(splits.assign_splits(names), lists)
+    lists = _split_lists(spark, raw)
     table = training_data.split_patch_table(
         spark,
         raw,

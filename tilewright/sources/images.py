@@ -61,6 +61,17 @@ def scan_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return list_files(spark, path).filter("supported").drop("supported")
 
 
+def stored_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``image_id, path`` of the supported files as a table in the shared folder.
+
+    The driver holds a listing, about a kilobyte to a file, as long as something refers to it; this
+    one is let go once its names are stored.
+    """
+    folder = scratch_path(spark, "listing")
+    scan_images(spark, path).select("image_id", "path").write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def skipped_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return list_files(spark, path).filter("not supported").drop("supported")
 
